@@ -6,21 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import quality_rules
+from loamdex.llm import mixing, quality_rules
 from loamdex.session import read_table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_source_mixing": op2_source_mixing,
         "op7_quality_rules": op7_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_source_mixing": mixing.oracle(),
         "op7_quality_rules": quality_rules.oracle(),
     }
