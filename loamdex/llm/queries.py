@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import mixing, quality_rules
+from loamdex.llm import bpe, mixing, quality_rules
 from loamdex.session import read_table
 
 
@@ -14,6 +14,18 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The vocabulary file that the queries use, from the installed package of public tokenizers."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -21,6 +33,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
+        "op6_bpe_codec": op6_bpe_codec,
         "op7_quality_rules": op7_quality_rules,
     }
 
