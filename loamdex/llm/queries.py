@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import bpe, mixing, quality_rules
+from loamdex.llm import bpe, html_text, mixing, quality_rules
 from loamdex.session import read_table
 
 
@@ -30,11 +30,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
         "op6_bpe_codec": op6_bpe_codec,
         "op7_quality_rules": op7_quality_rules,
+        "op9_html_main_text": op9_html_main_text,
     }
 
 
