@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import bpe, html_text, mixing, quality_rules
+from loamdex.llm import bpe, html_text, mixing, quality_rules, rule_ensemble
 from loamdex.session import read_table
 
 
@@ -14,6 +14,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def vocabulary() -> str:
     """The vocabulary file that the queries use, from the installed package of public tokenizers."""
     import public_tokenizers
@@ -37,6 +41,7 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
+        "op3_quality_classifier": op3_quality_classifier,
         "op6_bpe_codec": op6_bpe_codec,
         "op7_quality_rules": op7_quality_rules,
         "op9_html_main_text": op9_html_main_text,
