@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import bpe, html_text, mixing, quality_rules, rule_ensemble
+from loamdex.llm import bpe, html_text, mixing, quality_rules, rule_ensemble, toxicity
 from loamdex.session import read_table
 
 
@@ -38,6 +38,10 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_codec": op6_bpe_codec,
         "op7_quality_rules": op7_quality_rules,
         "op9_html_main_text": op9_html_main_text,
+        "op10_toxicity": op10_toxicity,
     }
 
 
