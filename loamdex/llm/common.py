@@ -32,3 +32,12 @@ def sub_batches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def hash_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """At most `size` rows by the order of the keys' hash. Rows beyond a multiple of `size` are left out before the sort,
+    so that what tasks send on stays in proportion to `size`, not to the number of tasks."""
+    n, h = df.count(), F.xxhash64(*keys)
+    if n > 2 * size:
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 1.5 * size / n))
+    return df.orderBy(h, *keys).limit(size)

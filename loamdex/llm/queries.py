@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import bpe, html_text, mixing, quality_rules, rule_ensemble, toxicity
+from loamdex.llm import bpe, html_text, mixing, multi_index, quality_rules, rule_ensemble, toxicity
 from loamdex.session import read_table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_multi_index": op1_multi_index,
         "op2_source_mixing": op2_source_mixing,
         "op3_quality_classifier": op3_quality_classifier,
         "op6_bpe_codec": op6_bpe_codec,
