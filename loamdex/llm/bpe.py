@@ -37,6 +37,8 @@ COUNT_MEMORY = 300_000
 ENCODE_MEMORY = 400_000
 #: Characters in a row that are handled at once.
 BATCH_CHARS = 1 << 21
+#: No merge; and what makes one key of two ids.
+NONE, PAIR = 1 << 60, 1 << 24
 
 
 def byte_letters() -> list[str]:
@@ -61,6 +63,14 @@ class Vocabulary:
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(data["model"]["merges"]):
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self._inner, self._last = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        ranked = sorted((rank, a * PAIR + b, new) for (a, b), (rank, new) in self.pairs.items())
+        self._keys, self._new = np.array([k for _, k, _ in ranked], np.int64), np.array([n for _, _, n in ranked], np.int64)
+        self._table = np.full(1 << 20, -1, np.int64)
+        for i, slot in enumerate(self._slot(self._keys).tolist()):
+            while self._table[slot] >= 0:
+                slot = (slot + 1) & (len(self._table) - 1)
+            self._table[slot] = i
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
         self.find = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{space}\p{{L}}\p{{N}}]")).findall
@@ -98,6 +108,75 @@ class Vocabulary:
             ids = out
         return ids
 
+    def merge_many(self, pieces: list[str]) -> list[list[int]]:
+        """`merge` of many pieces at once: in each round every piece makes its best merge wherever that occurs in it."""
+        out: list[list[int]] = [[]] * len(pieces)
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        short = [i for i, d in enumerate(data) if len(d) <= 64]
+        for i, d in enumerate(data):
+            if len(d) > 64:
+                out[i] = self.merge(pieces[i])
+        if not short:
+            return out
+        size = np.fromiter((len(data[i]) for i in short), np.int64, len(short))
+        flat = np.frombuffer(b"".join(data[i] for i in short), np.uint8)
+        ends = np.cumsum(size) - 1
+        ids = self._inner[flat]
+        ids[ends] = self._last[flat[ends]]
+        owner = np.repeat(np.array(short), size)
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            rank, new = np.full(len(ids), NONE), np.zeros(len(ids), np.int64)
+            inside = np.flatnonzero(owner[1:] == owner[:-1])
+            rank[inside], new[inside] = self._ranks(ids[inside], ids[inside + 1])
+            best = np.minimum.reduceat(rank, first)
+            counts = np.diff(np.append(first, len(ids)))
+            done = best == NONE
+            if done.any():
+                flags = np.repeat(done, counts)
+                for o, b, e in zip(owner[first[done]].tolist(), (c := np.cumsum(counts[done]) - counts[done]).tolist(), (c + counts[done]).tolist(), strict=True):
+                    out[o] = (b, e)
+                ready = ids[flags].tolist()
+                for o in owner[first[done]].tolist():
+                    b, e = out[o]
+                    out[o] = ready[b:e]
+                ids, owner, rank, new = ids[~flags], owner[~flags], rank[~flags], new[~flags]
+                best, counts = best[~done], counts[~done]
+                if not len(ids):
+                    break
+            hit = rank == np.repeat(best, counts)
+            # In a run of hits (the same letter again and again) every second one is merged.
+            at = np.flatnonzero(hit)
+            fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[place % 2 == 0]
+            ids[at] = new[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner = ids[keep], owner[keep]
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and results of merges, from a table with open addresses; `NONE` where there is no merge."""
+        key = a * PAIR + b
+        slot = self._slot(key)
+        entry = self._table[slot]
+        rank, new = np.full(len(key), NONE), np.zeros(len(key), np.int64)
+        open_ = np.flatnonzero(entry >= 0)
+        while len(open_):
+            found = self._keys[entry[open_]] == key[open_]
+            good = open_[found]
+            rank[good], new[good] = entry[good], self._new[entry[good]]
+            open_ = open_[~found]
+            slot[open_] = (slot[open_] + 1) & (len(self._table) - 1)
+            entry[open_] = self._table[slot[open_]]
+            open_ = open_[entry[open_] >= 0]
+        return rank, new
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same in n log n steps: a heap of (rank, place) over a linked list."""
         import heapq
@@ -128,24 +207,42 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, words: lexicon.Lexicon | None):
         self.v, self.words, self.known = vocabulary, words, {}
 
-    def __missing(self, piece: str) -> list[int]:
-        found = self.words.get(piece.encode("utf-8", "surrogatepass")) if self.words is not None and len(piece) <= LONGEST else None
-        return self.v.merge(piece) if found is None else found
-
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for part in self.v.split(text) if "<|" in text else [text]:
-            if part in self.v.special:
-                out.append(self.v.special[part])
-                continue
-            pieces = self.v.pieces(part)
-            for new in set(pieces).difference(known):
-                known[new] = self.__missing(new)
-            out += itertools.chain.from_iterable(map(known.__getitem__, pieces))
-            if len(known) > ENCODE_MEMORY:
-                known.clear()
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text. The pieces that are new in all the texts are looked up together."""
+        parts = [[self.v.special[p] if p in self.v.special else self.v.pieces(p) for p in self.v.split(t)] if "<|" in t else [self.v.pieces(t)] for t in texts]
+        known = self.known
+        if len(known) > ENCODE_MEMORY:
+            known.clear()
+        new = set()
+        for text in parts:
+            for part in text:
+                if isinstance(part, list):
+                    new.update(part)
+        self._learn([p for p in new if p not in known])
+        get, out = known.__getitem__, []
+        for text in parts:
+            ids: list[int] = []
+            for part in text:
+                if isinstance(part, list):
+                    ids += itertools.chain.from_iterable(map(get, part))
+                else:
+                    ids.append(part)
+            out.append(ids)
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        found = self.words.get_many([p.encode("utf-8", "surrogatepass") for p in pieces]) if self.words is not None and pieces else [None] * len(pieces)
+        left = []
+        for piece, ids in zip(pieces, found, strict=True):
+            if ids is None:
+                left.append(piece)
+            else:
+                self.known[piece] = ids
+        self.known.update(zip(left, self.v.merge_many(left), strict=True))
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b" ".join(map(self.v.token_bytes.__getitem__, ids))
 
@@ -203,8 +300,7 @@ def _mapped(docs: DataFrame, vocabulary: str, words: bytes | None, size: int, di
         for batch in batches:
             for begin, end in sub_batches(pa.compute.fill_null(pa.compute.utf8_length(batch.column(1)), 0).to_pylist(), BATCH_CHARS):
                 part, rows = batch.slice(begin, end - begin), ([], [], [])
-                for text in part.column(1):
-                    ids = encoder.encode(text.as_py() or "")
+                for ids in encoder.encode_many([text or "" for text in part.column(1).to_pylist()]):
                     packed, decoded = np.array(ids, "<u4").tobytes(), encoder.decode_bytes(ids)
                     rows[0].append(len(ids))
                     rows[1].append(hashlib.sha256(packed).hexdigest() if digests else packed)

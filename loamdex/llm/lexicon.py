@@ -88,19 +88,30 @@ class Lexicon:
             setattr(self, p, np.frombuffer(self._map, kinds[p], int(size) // np.dtype(kinds[p]).itemsize, at))
             at += int(size) + -int(size) % 8
         self.root = len(self.final) - 1
-
-    def number(self, word: bytes) -> int:
-        """The word's number, its transducer output; -1 if it isn't there."""
-        first, label, target, skip, state, out = self.first, self.label, self.target, self.skip, self.root, 0
-        for byte in word:
-            begin, end = int(first[state]), int(first[state + 1])
-            i = begin + int(label[begin:end].searchsorted(byte))
-            if i == end or label[i] != byte:
-                return -1
-            out += int(skip[i])
-            state = int(target[i])
-        return out if self.final[state] else -1
-
-    def get(self, word: bytes) -> list[int] | None:
-        n = self.number(word)
-        return None if n < 0 else self.ids[self.offset[n] : self.offset[n + 1]].tolist()
+        # Arcs stand by state, then label, so that one sorted key finds an arc.
+        self._arcs = (np.repeat(np.arange(len(self.final), dtype=np.int64), np.diff(self.first)) << 8) | self.label
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number, its transducer output; -1 if it isn't there. All words take a step at a time."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data, begin = np.frombuffer(b"".join(words) or b"\0", np.uint8), np.cumsum(size) - size
+        state, out, live, step = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64), np.arange(len(words)), 0
+        missing = np.zeros(len(words), bool)
+        while True:
+            live = live[size[live] > step]
+            if not len(live):
+                break
+            key = (state[live] << 8) | data[begin[live] + step]
+            arc = np.minimum(np.searchsorted(self._arcs, key), max(0, len(self._arcs) - 1))
+            good = self._arcs[arc] == key if len(self._arcs) else np.zeros(len(live), bool)
+            missing[live[~good]] = True
+            live, arc = live[good], arc[good]
+            out[live] += self.skip[arc]
+            state[live] = self.target[arc]
+            step += 1
+        return np.where(missing | (self.final[state] == 0), -1, out)
+
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        numbers = self.numbers(words)
+        begin, end = self.offset[numbers].tolist(), self.offset[numbers + 1].tolist()
+        return [None if n < 0 else self.ids[b:e].tolist() for n, b, e in zip(numbers.tolist(), begin, end, strict=True)]

@@ -33,6 +33,13 @@ def test_texts_match_the_library():
         same(e, text)
 
 
+def test_many_at_once():
+    pieces = sorted({p for t in TEXTS for p in V.pieces(t)} | {"a" * n for n in range(1, 70)} | {"ab" * n + "a" for n in range(40)} | {"!" * n for n in range(1, 50)})
+    assert V.merge_many(pieces) == [V.merge(p) for p in pieces]
+    e = encoder(["hello", "world"])
+    assert e.encode_many(TEXTS) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs", "Cn"]), max_size=60))
 def test_any_text_matches_the_library(text):
@@ -43,9 +50,9 @@ def test_any_text_matches_the_library(text):
 @given(st.dictionaries(st.binary(min_size=0, max_size=6), st.lists(st.integers(0, 9), max_size=3), max_size=40))
 def test_lexicon_gives_back_its_words(words):
     x = lexicon.Lexicon(lexicon.dump(lexicon.build(list(words.items()))))
-    assert {w: x.get(w) for w in words} == words
-    assert sorted(map(x.number, words)) == list(range(len(words)))
-    assert x.get(b"not a word") is None
+    assert dict(zip(words, x.get_many(list(words)), strict=True)) == words
+    assert sorted(x.numbers(list(words)).tolist()) == list(range(len(words)))
+    assert x.get_many([b"not a word"]) == [None]
 
 
 def test_suffixes_are_shared():
