@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import bpe, html_text, mixing, multi_index, quality_rules, rule_ensemble, suffix_dedup, toxicity
+from loamdex.llm import bpe, html_text, mixing, multi_index, phrase_dedup, quality_rules, rule_ensemble, suffix_dedup, toxicity
 from loamdex.session import read_table
 
 
@@ -30,6 +30,10 @@ def vocabulary() -> str:
         return f.read()
 
 
+def op4_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_multi_index": op1_multi_index,
         "op2_source_mixing": op2_source_mixing,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_phrase_automata_dedup": op4_phrase_automata_dedup,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_bpe_codec": op6_bpe_codec,
         "op7_quality_rules": op7_quality_rules,
@@ -66,5 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_source_mixing": mixing.oracle(),
+        "op4_phrase_automata_dedup": phrase_dedup.oracle(),
         "op7_quality_rules": quality_rules.oracle(),
     }
