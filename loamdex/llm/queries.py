@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import bpe, html_text, mixing, multi_index, phrase_dedup, quality_rules, rule_ensemble, suffix_dedup, toxicity
+from loamdex.llm import bpe, chosen_path, html_text, mixing, multi_index, phrase_dedup, quality_rules, rule_ensemble, suffix_dedup, toxicity
 from loamdex.session import read_table
 
 
@@ -46,6 +46,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.group(read_table(spark, sf_dir, "documents"))
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_bpe_codec": op6_bpe_codec,
         "op7_quality_rules": op7_quality_rules,
+        "op8_chosen_path_dedup": op8_chosen_path_dedup,
         "op9_html_main_text": op9_html_main_text,
         "op10_toxicity": op10_toxicity,
     }
