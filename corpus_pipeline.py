@@ -39,9 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document of which nothing is left stays as an empty text; n_chars is counted again."""
-    kept = suffix_dedup.kept_texts(docs).withColumnRenamed("text", "rest")
-    joined = _with(docs.drop("text", "n_chars"), kept)
-    return joined.select("doc_id", F.col("rest").alias("text"), "lang", "source", F.length("rest").cast("long").alias("n_chars"))
+    kept = suffix_dedup.kept_texts(docs, carry=("lang", "source"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

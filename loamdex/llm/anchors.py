@@ -5,10 +5,10 @@ equal ones). The anchor depends on the window's units alone, so equal windows ha
 windows mostly share theirs: a text has about one anchor in (window - gram + 2) / 2 units. A segment is what the
 windows of one anchor cover. Anchors that occur once need no look at the text at all.
 
-    occurrences   (fp, id, place) of all anchors, a narrow table                  one pass over the texts
+    occurrences   (fp, id) of all anchors, a narrow table                         one pass over the texts
     repeated      anchors that occur again, by a count with map-side sums         shuffle of fp
-    candidates    occurrences of repeated anchors, gathered by text               join on fp, which skew joins may split
-    segments      (fp, id, tag, start, segment) cut from the texts                join on id
+    candidates    the repeated anchors of each id                                 join on fp, which skew joins may split
+    segments      (fp, id, tag, start, segment) cut from the texts                join on id; anchors are found again
     solve         for each fp, in order of id and start: what is a repeat         shuffle of segments by fp
     apply         what remains of each text                                       join on id, the texts' shuffle is used again
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import sub_batches
+from loamdex.llm.common import text_slices
 
 #: Stands for a null doc_id, which is larger than all others.
 LAST = (1 << 63) - 1
@@ -165,28 +165,22 @@ def raw(texts: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
 
 
-def narrow(docs: DataFrame) -> DataFrame:
-    """(id, text): a null doc_id is `LAST`, a null text is empty."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def narrow(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text) and the columns to carry: a null doc_id is `LAST`, a null text is empty."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id")
+    return docs.select(own, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in carry])
 
 
 def occurrences(texts: DataFrame, unit, window: int, gram: int) -> DataFrame:
-    """(fp, id, place): place packs anchor's place, tag and the windows' reach to both sides."""
-    assert window < 256
+    """(fp, id) of each anchor of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts, ids = raw(batch.column(1)), batch.column(0).to_numpy()
-            for b, e in sub_batches([len(t) for t in all_texts], BATCH_BYTES):
-                part = all_texts[b:e]
-                values, lengths = unit.values(part)
-                fp, text, at, first, last = anchors(values, lengths, window, gram)
-                base = (np.cumsum(lengths) - lengths)[text]
-                tags = np.fromiter(map(tag_of, part), np.int64, len(part))[text]
-                place = ((at - base) << 31) | (tags << 16) | ((at - first) << 8) | (last - first)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[b:e][text]), pa.array(place)], ["fp", "id", "place"])
+            for part, data in text_slices(batch, 1, BATCH_BYTES):
+                fp, text, *_ = anchors(*unit.values(data), window, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(part.column(0).to_numpy()[text])], ["fp", "id"])
 
-    return texts.mapInArrow(run, "fp long, id long, place long")
+    return texts.select("id", "text").mapInArrow(run, "fp long, id long")
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -200,45 +194,45 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
     """(fp, id, tag, start, segment) of anchors that repeat; with `between`, in texts of different ids."""
     count = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     repeated = count.filter("lo < hi" if between else "n > 1").select("fp", (F.col("n") > HOT).alias("hot"))
-    candidates = found.join(repeated, "fp").groupBy("id").agg(F.collect_list(F.struct("fp", "place", "hot")).alias("at"))
+    candidates = found.join(repeated, "fp").groupBy("id").agg(F.collect_set(F.struct("fp", "hot")).alias("at"))
     candidates = candidates.join(copies(texts), "id", "left_anti")
     side = (window - gram) // 2
+    column = len(texts.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["fp", "id", "tag", "start", "segment"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        size = 0
         for batch in batches:
-            ids, texts_, lists = batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2)
-            for r in range(len(ids)):
-                anchor = lists[r].values
-                own, cutter = tag_of(texts_[r]), unit.Cutter(texts_[r])
-                for fp, place, hot in zip(anchor.field(0).to_pylist(), anchor.field(1).to_pylist(), anchor.field(2).to_pylist(), strict=True):
-                    if (place >> 16 & 0x7FFF) != own:
-                        continue
-                    at = place >> 31
-                    first = at - (place >> 8 & 0xFF)
-                    last = first + (place & 0xFF)
-                    parts = [(fp, first, last)]
-                    if hot:
-                        parts = []
-                        if first <= at - side:
-                            parts.append((_refined(fp, b"<" + cutter.cut(at - side, at)), first, min(last, at - side)))
-                        if last > at - side:
-                            parts.append((_refined(fp, b">" + cutter.cut(at + gram, at + gram + side)), max(first, at - side + 1), last))
-                    for key, begin, end in parts:
-                        segment = cutter.cut(begin, end + window)
-                        size += len(segment)
-                        for column, value in zip(rows, (key, ids[r], own, begin, segment), strict=True):
-                            column.append(value)
-                if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
-                    rows, size = ([], [], [], [], []), 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
-
-    joined = texts.join(candidates, "id").select("id", "text", "at")
-    return joined.mapInArrow(run, "fp long, id long, tag int, start int, segment binary")
+            for part, data in text_slices(batch, 1, BATCH_BYTES):
+                rows: tuple[list, ...] = ([], [], [], [], [])
+                values, lengths = unit.values(data)
+                fps, text, ats, firsts, lasts = anchors(values, lengths, window, gram)
+                base = (np.cumsum(lengths) - lengths)[text]
+                found_ = [x.tolist() for x in (fps.view(np.int64), ats - base, firsts - base, lasts - base)]
+                bounds = np.searchsorted(text, np.arange(len(data) + 1)).tolist()
+                ids = part.column(0).to_pylist()
+                for r, source in enumerate(data):
+                    wanted = part.column(column)[r].values
+                    wanted = dict(zip(wanted.field(0).to_pylist(), wanted.field(1).to_pylist(), strict=True))
+                    own, cutter = tag_of(source), unit.Cutter(source)
+                    for fp, at, first, last in zip(*(x[bounds[r] : bounds[r + 1]] for x in found_), strict=True):
+                        hot = wanted.get(fp)
+                        if hot is None:
+                            continue
+                        pieces = [(fp, first, last)]
+                        if hot:
+                            pieces = []
+                            if first <= at - side:
+                                pieces.append((_refined(fp, b"<" + cutter.cut(at - side, at)), first, min(last, at - side)))
+                            if last > at - side:
+                                pieces.append((_refined(fp, b">" + cutter.cut(at + gram, at + gram + side)), max(first, at - side + 1), last))
+                        for key, begin, end in pieces:
+                            for c, value in zip(rows, (key, ids[r], own, begin, cutter.cut(begin, end + window)), strict=True):
+                                c.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+
+    # All columns of the texts go along, so that this shuffle of the texts serves `apply` too.
+    return texts.join(candidates, "id").select(*texts.columns, "at").mapInArrow(run, "fp long, id long, tag int, start int, segment binary")
 
 
 def _refined(fp: int, context: bytes) -> int:
@@ -304,24 +298,30 @@ def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window:
 
 
 def apply(texts: DataFrame, removed: DataFrame, finish: Callable[[bytes, list[tuple[int, int]], bool], tuple], names: list[str], schema: str, kinds: list) -> DataFrame:
-    """One row for each text: doc_id and what `finish` makes of the text, its merged runs to remove, and whether it is a copy."""
+    """One row for each text: doc_id, the carried columns and what `finish` makes of the text, its merged runs to
+    remove, and whether it is a copy."""
     runs = removed.groupBy("id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("runs"))
     marked = runs.join(copies(texts).withColumn("copy", F.lit(True)), "id", "full_outer")
+    carried, column = texts.columns[2:], len(texts.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [None if i == LAST else i for i in batch.column(0).to_pylist()]
-            rows: list[list] = [[] for _ in names]
-            for text, own, copy in zip(raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                tag = tag_of(text) if own else 0
-                spans: list[tuple[int, int]] = []
-                for lo, hi in sorted((r["lo"], r["hi"]) for r in own or () if r["tag"] == tag):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
-                    else:
-                        spans.append((lo, hi))
-                for column, value in zip(rows, finish(text, spans, bool(copy)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["doc_id", *names])
-
-    return texts.join(marked, "id", "left").select("id", "text", "runs", "copy").mapInArrow(run, f"doc_id long, {schema}")
+            for part, data in text_slices(batch, 1, BATCH_BYTES):
+                ids = [None if i == LAST else i for i in part.column(0).to_pylist()]
+                rows: list[list] = [[] for _ in names]
+                for text, own, copy in zip(data, part.column(column).to_pylist(), part.column(column + 1).to_pylist(), strict=True):
+                    tag = tag_of(text) if own else 0
+                    spans: list[tuple[int, int]] = []
+                    for lo, hi in sorted((r["lo"], r["hi"]) for r in own or () if r["tag"] == tag):
+                        if spans and lo <= spans[-1][1]:
+                            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
+                        else:
+                            spans.append((lo, hi))
+                    for c, value in zip(rows, finish(text, spans, bool(copy)), strict=True):
+                        c.append(value)
+                columns = [pa.array(ids, pa.int64()), *part.columns[2:column], *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *carried, *names])
+
+    types = dict(texts.dtypes)
+    full = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in carried), schema])
+    return texts.join(marked, "id", "left").select(*texts.columns, "runs", "copy").mapInArrow(run, full)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ def sub_batches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch whose texts have `most` bytes at most (or one text), with the texts as UTF-8; null is empty."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for begin, end in sub_batches(sizes, most):
+        part = batch.slice(begin, end - begin)
+        yield part, [b"" if t is None else t for t in part.column(column).cast(pa.binary()).to_pylist()]
+
+
 def hash_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
     """At most `size` rows by the order of the keys' hash. Rows beyond a multiple of `size` are left out before the sort,
     so that what tasks send on stays in proportion to `size`, not to the number of tasks."""

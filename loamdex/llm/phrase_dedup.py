@@ -138,9 +138,9 @@ def _units(segment: bytes) -> int:
     return segment.count(b" ") + 1
 
 
-def removed_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(texts, runs of words to remove)."""
-    texts = anchors.narrow(docs)
+    texts = anchors.narrow(docs, carry)
     found = anchors.occurrences(texts, Words, WINDOW, GRAM)
     cut = anchors.segments(texts, found, Words, WINDOW, GRAM, between=True)
     return texts, anchors.solve(cut, solver, _units, WINDOW, between=True)
@@ -165,9 +165,9 @@ def digests(docs: DataFrame) -> DataFrame:
     return anchors.apply(texts, removed, finish, ["n_words", "n_removed", "kept_sha256"], "n_words long, n_removed long, kept_sha256 string", [pa.int64(), pa.int64(), pa.string()])
 
 
-def kept_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the kept words, joined by one space."""
-    texts, removed = removed_runs(docs)
+def kept_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry and the kept words, joined by one space."""
+    texts, removed = removed_runs(docs, carry)
     return anchors.apply(texts, removed, lambda *x: (b" ".join(_kept(*x)[1]).decode(),), ["text"], "text string", [pa.string()])
 
 

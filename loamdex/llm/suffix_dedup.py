@@ -121,13 +121,12 @@ def solver(parts: list[bytes], ids: list[int], starts: list[int]) -> Iterator[tu
         yield int(owner[a]), int(inside[a]), int(inside[b])
 
 
-def removed_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(texts, runs of bytes to remove)."""
-    assert window == WINDOW
-    texts = anchors.narrow(docs)
-    found = anchors.occurrences(texts, Bytes, window, gram)
-    cut = anchors.segments(texts, found, Bytes, window, gram, between=False)
-    return texts, anchors.solve(cut, solver, len, window, between=False)
+    texts = anchors.narrow(docs, carry)
+    found = anchors.occurrences(texts, Bytes, WINDOW, GRAM)
+    cut = anchors.segments(texts, found, Bytes, WINDOW, GRAM, between=False)
+    return texts, anchors.solve(cut, solver, len, WINDOW, between=False)
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]], copy: bool) -> tuple[bytes, list[tuple[int, int]]]:
@@ -151,11 +150,11 @@ def digests(docs: DataFrame) -> DataFrame:
     return anchors.apply(texts, removed, finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", kinds)
 
 
-def kept_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the text that remains. Bytes of a cut character are dropped with it."""
+def kept_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry and the text that remains. Bytes of a cut character are dropped with it."""
 
     def finish(text: bytes, spans: list[tuple[int, int]], copy: bool) -> tuple:
         return (_kept(text, spans, copy)[0].decode("utf-8", "ignore"),)
 
-    texts, removed = removed_runs(docs)
+    texts, removed = removed_runs(docs, carry)
     return anchors.apply(texts, removed, finish, ["text"], "text string", [pa.string()])
