@@ -161,10 +161,6 @@ def tag_of(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text) & 0x7FFF
 
 
-def raw(texts: pa.Array) -> list[bytes]:
-    return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
-
-
 def narrow(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, text) and the columns to carry: a null doc_id is `LAST`, a null text is empty."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id")
