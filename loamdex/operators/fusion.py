@@ -114,7 +114,11 @@ def per_pool(databases: int, k: int, offset: int = 0, pool: int = RERANK_POOL) -
 def facets(hits: DataFrame, columns: Sequence[str] = ("source", "space", "author"), lists: Sequence[str] = ("tags",)) -> DataFrame:
     """(facet, value, n) over the hits' columns and lists."""
     single = [F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]
-    many = [F.transform(F.col(c), lambda x, c=c: F.struct(F.lit(c).alias("facet"), x.cast("string").alias("value"))) for c in lists]
+
+    def each(c: str) -> Column:
+        return F.transform(F.col(c), lambda x: F.struct(F.lit(c).alias("facet"), x.cast("string").alias("value")))
+
+    many = [each(c) for c in lists]
     rows = F.array(*single) if single else None
     for m in many:
         rows = F.concat(rows, F.coalesce(m, F.array().cast("array<struct<facet:string,value:string>>"))) if rows is not None else m
@@ -165,12 +169,12 @@ def expand(query: str, entries: Sequence[Entry], most: int = MOST_TERMS) -> tupl
 
 
 def expand_batch(queries: DataFrame, entries: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    """(query_id, expanded) of many queries (query_id, query) by a dictionary table (term, synonyms): an equi-join of
-    words and forms."""
+    """(query_id, expanded) of many queries (query_id, query) by a dictionary table (priority, term, synonyms): an
+    equi-join of words and forms. Entries of one word stand by priority."""
     words = queries.select("query_id", F.posexplode(F.split(F.trim("query"), r"\s+")).alias("at", "word")).withColumn("word", F.lower("word"))
     forms = entries.withColumn("forms", F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>"))))
-    keyed = forms.select("term", "forms", F.explode(F.array_distinct(F.transform("forms", F.lower))).alias("word"))
-    hits = words.join(keyed, "word").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "term", "forms"))).alias("hits"))
+    keyed = forms.select("priority", "forms", F.explode(F.array_distinct(F.transform("forms", F.lower))).alias("word"))
+    hits = words.join(keyed, "word").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "priority", "forms"))).alias("hits"))
     added = F.flatten(F.transform("hits", lambda h: h["forms"]))
     joined = queries.join(hits, "query_id", "left")
     listed = F.concat(F.array("query"), F.coalesce(added, F.array().cast("array<string>")))

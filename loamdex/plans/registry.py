@@ -27,8 +27,15 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _ORACLES
+
+
+def load() -> None:
+    """Imports the modules whose queries register themselves."""
+    from loamdex.plans import data_queries, search_queries, text_queries  # noqa: F401
