@@ -130,7 +130,7 @@ def commit_type(subject: Column) -> Column:
 
 def first_heading(body: Column) -> Column:
     """The first line that begins with #, without the marks; null if there is none or it is empty."""
-    lines = F.filter(F.transform(F.split(body, r"\r?\n"), F.trim), lambda x: x.startswith("#"))
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.startswith("#"))
     return F.nullif(F.trim(F.regexp_replace(F.get(lines, F.lit(0)), "^#+", "")), F.lit(""))
 
 

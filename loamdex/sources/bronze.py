@@ -149,7 +149,7 @@ def repo_files(spark: SparkSession, path: str, repo: str, base: str | None = Non
 def parse_commit_log(log: DataFrame, repo: str, column: str = "log") -> DataFrame:
     """(source_id, commit, author, at, subject, body, doc_type) of a log with separators: hash, author, date, subject, body."""
     records = log.select(F.explode(F.split(column, RECORD)).alias("r")).select(F.split("r", FIELD).alias("f")).filter(F.size("f") >= 4)
-    get = lambda i: F.trim(F.get("f", F.lit(i)))
+    get = lambda i: F.regexp_replace(F.get("f", F.lit(i)), r"^\s+|\s+$", "")
     kind = F.coalesce(T.commit_type(get(3)), F.lit("commit"))
     return records.select(F.concat(F.lit(f"{repo}@"), F.substring(get(0), 1, 12)).alias("source_id"), get(0).alias("commit"), get(1).alias("author"), T.parse_iso8601(get(2)).alias("at"), get(3).alias("subject"), F.coalesce(get(4), F.lit("")).alias("body"), kind.alias("doc_type"))
 
