@@ -29,7 +29,7 @@ def rule_client(kind: str, text: str) -> str:
     if kind == "spec":
         parts = re.split(r"(?m)^#{1,6}\s+(.*)$", text)
         return json.dumps({"segments": [], "sections": [{"title": t.strip(), "content": c.strip()} for t, c in zip(parts[1::2], parts[2::2], strict=True)]}, ensure_ascii=False)
-    turns = [m for m in re.findall(r"(?m)^([^:\n]{1,40}):\s*(.+)$", text)]
+    turns = [m for m in re.findall(r"(?m)^([^:\n\d][^:\n]{0,39}):\s*(.+)$", text)]
     made = [{"topic": who, "summary": said[:200], "action_items": [], "contains_decision": bool(re.search(r"(?i)decid|결정", said))} for who, said in turns]
     return json.dumps({"segments": made, "sections": []}, ensure_ascii=False)
 
