@@ -106,7 +106,7 @@ def plan(docs: DataFrame, budget: int | str, entropy: float, max_epochs: float,
     power = F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(exponent))
     z, top = totals.agg(F.coalesce(F.sum(power), F.lit(1.0)), F.coalesce(F.max(power), F.lit(1.0))).first()
     if tokens is None:
-        tokens = round(largest * z / top)
+        tokens = math.ceil(largest * z / top - 1e-6)  # rounded down, the largest source would lose a document
     quota = F.floor(F.round(power / F.lit(z) * F.lit(float(tokens)), 3)).cast("long")
     quotas = totals.select("source", "tokens", quota.alias("quota"))
     quotas = quotas.select("source", F.floor(F.col("quota") / F.col("tokens")).cast("int").alias("epochs"), (F.col("quota") % F.col("tokens")).alias("left"))
