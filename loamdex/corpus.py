@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.operators import evaluate
-from loamdex.session import read_table
+from loamdex.session import read_table, spread
 
 #: The date from which ages are counted.
 AS_OF = "2024-12-31 00:00:00"
@@ -18,7 +18,7 @@ def as_of():
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, space, title (the first line, 120 characters), body, tags, hierarchy, author, updated_at."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     at = F.timestamp_add("DAY", (F.col("doc_id") % 365).cast("int"), F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     return d.select(
         "doc_id", "source", F.col("source").alias("space"), F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.col("text").alias("body"), F.array("lang").alias("tags"),

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loamdex.functions.text import query_terms, recency_decay, sigmoid
-from loamdex.operators.index import ID_TOKENS, TermIndex, tokenized
+from loamdex.functions.text import WORD_CHARS, query_terms, recency_decay, sigmoid, tokens
+from loamdex.operators.index import ID_TOKENS, TermIndex
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
@@ -31,16 +31,27 @@ def scan_scores(docs: DataFrame, terms: list[str], field: str | None = None, tit
     frequencies to title or body."""
     distinct = list(dict.fromkeys(terms))
     weight = {"title": title_weight * (field != "body"), "body": body_weight * (field != "title")}
-    count = lambda c, t: F.size(F.filter(c, lambda x: x == t)).cast("double")
+
+    def words(column: str) -> Column:
+        """The column's tokens, where it has a term as a substring at all; else nothing is split."""
+        low, near = F.lower(F.coalesce(column, F.lit(""))), F.lit(False)
+        for t in distinct:
+            near = near | low.contains(t)
+        return F.when(near, tokens(F.col(column))).otherwise(F.array().cast("array<string>"))
+
+    count = lambda c, t: (F.size(c) - F.size(F.array_remove(c, t))).cast("double")
+    length = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"[{WORD_CHARS}]+"))
+    split = docs.select("doc_id", (length("title") + length("body") + ID_TOKENS).alias("length"), words("title").alias("title_tokens"), words("body").alias("body_tokens"))
     tf = [weight["title"] * count("title_tokens", t) + weight["body"] * count("body_tokens", t) for t in distinct]
-    rows = tokenized(docs).select("doc_id", (F.size("title_tokens") + F.size("body_tokens") + ID_TOKENS).alias("length"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
+    # The row number keeps the filter below from being pushed down, which would split the texts again for each condition.
+    rows = split.select("doc_id", "length", F.monotonically_increasing_id().alias("row"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
     stats = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     times = Counter(terms)
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
         part = _part(F.col(f"tf{i}"), _idf(F.col("n_docs"), F.col(f"df{i}")), F.col("length"), F.col("avg_length"))
         score = score + times[t] * part
-    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(distinct))], F.lit(0.0)) > 0
+    hit = (F.greatest(*[F.col(f"tf{i}") for i in range(len(distinct))], F.lit(0.0)) > 0) & (F.col("row") >= 0)
     return rows.filter(hit).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("bm25"))  # stats is one row
 
 

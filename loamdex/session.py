@@ -29,6 +29,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if the scan has less than half as many parts (a small table in one file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`. Only where that is unset (tests, a laptop) a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
