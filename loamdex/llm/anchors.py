@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm.common import text_slices
+from loamdex.session import materialize
 
 #: Stands for a null doc_id, which is larger than all others.
 LAST = (1 << 63) - 1
@@ -189,7 +190,8 @@ def copies(texts: DataFrame) -> DataFrame:
 def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, between: bool) -> DataFrame:
     """(fp, id, tag, start, segment) of anchors that repeat; with `between`, in texts of different ids."""
     count = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    repeated = count.filter("lo < hi" if between else "n > 1").select("fp", (F.col("n") > HOT).alias("hot"))
+    # Written, so that the join below is one of two plain shuffles, whose skewed parts can be split.
+    repeated = materialize(count.filter("lo < hi" if between else "n > 1").select("fp", (F.col("n") > HOT).alias("hot")), "anchors")
     candidates = found.join(repeated, "fp").groupBy("id").agg(F.collect_set(F.struct("fp", "hot")).alias("at"))
     candidates = candidates.join(copies(texts), "id", "left_anti")
     side = (window - gram) // 2
