@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,16 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("loamdex.shared.dir", None)
         if not found:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="loamdex-")
+            folder = tempfile.mkdtemp(prefix="loamdex-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = f"file://{folder}"
             spark.conf.set("loamdex.shared.dir", found)
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the stages that this process has written. What reads them must be done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cuts the lineage: writes `df` as Parquet to the shared folder and reads it again with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
