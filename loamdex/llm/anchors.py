@@ -8,7 +8,7 @@ windows of one anchor cover. Anchors that occur once need no look at the text at
     occurrences   (fp, id) of all anchors, a narrow table                         one pass over the texts
     repeated      anchors that occur again, by a count with map-side sums         shuffle of fp
     candidates    the repeated anchors of each id                                 join on fp, which skew joins may split
-    segments      (fp, id, tag, start, segment) cut from the texts                join on id; anchors are found again
+    segments      (fp, id, tag, starts, segment), each once a text                join on id; anchors are found again
     solve         for each fp, in order of id and start: what is a repeat         shuffle of segments by fp
     apply         what remains of each text                                       join on id, the texts' shuffle is used again
 
@@ -188,7 +188,8 @@ def copies(texts: DataFrame) -> DataFrame:
 
 
 def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, between: bool) -> DataFrame:
-    """(fp, id, tag, start, segment) of anchors that repeat; with `between`, in texts of different ids."""
+    """(fp, id, tag, starts, segment) of anchors that repeat; with `between`, in texts of different ids. A text's equal
+    segments are one row with all their starts, in order."""
     count = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     # Written, so that the join below is one of two plain shuffles, whose skewed parts can be split.
     repeated = materialize(count.filter("lo < hi" if between else "n > 1").select("fp", (F.col("n") > HOT).alias("hot")), "anchors")
@@ -198,8 +199,8 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
     column = len(texts.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["fp", "id", "tag", "start", "segment"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["fp", "id", "tag", "starts", "segment"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
         for batch in batches:
             for part, data in text_slices(batch, 1, BATCH_BYTES):
                 rows: tuple[list, ...] = ([], [], [], [], [])
@@ -213,6 +214,7 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
                     wanted = part.column(column)[r].values
                     wanted = dict(zip(wanted.field(0).to_pylist(), wanted.field(1).to_pylist(), strict=True))
                     own, cutter = tag_of(source), unit.Cutter(source)
+                    cuts: dict[tuple[int, bytes], list[int]] = {}
                     for fp, at, first, last in zip(*(x[bounds[r] : bounds[r + 1]] for x in found_), strict=True):
                         hot = wanted.get(fp)
                         if hot is None:
@@ -225,19 +227,21 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
                             if last > at - side:
                                 pieces.append((_refined(fp, b">" + cutter.cut(at + gram, at + gram + side)), max(first, at - side + 1), last))
                         for key, begin, end in pieces:
-                            for c, value in zip(rows, (key, ids[r], own, begin, cutter.cut(begin, end + window)), strict=True):
-                                c.append(value)
+                            cuts.setdefault((key, cutter.cut(begin, end + window)), []).append(begin)
+                    for (key, segment), starts in cuts.items():
+                        for c, value in zip(rows, (key, ids[r], own, starts, segment), strict=True):
+                            c.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
     # All columns of the texts go along, so that this shuffle of the texts serves `apply` too.
-    return texts.join(candidates, "id").select(*texts.columns, "at").mapInArrow(run, "fp long, id long, tag int, start int, segment binary")
+    return texts.join(candidates, "id").select(*texts.columns, "at").mapInArrow(run, "fp long, id long, tag int, starts array<int>, segment binary")
 
 
 def _refined(fp: int, context: bytes) -> int:
     return xxhash.xxh64_intdigest(context, seed=fp & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-#: (segment, id, start) of distinct segments -> (index, first and last removed window) of each.
+#: (segment, id, first start) of distinct segments -> (index, first and last removed window) of each.
 Solver = Callable[[list[bytes], list[int], list[int]], Iterator[tuple[int, int, int]]]
 
 
@@ -258,40 +262,40 @@ def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window:
                 column.clear()
             return batch
 
-        kept: list[tuple[bytes, int, int, int]] = []
+        kept: list[tuple[bytes, int, int, list[int]]] = []
         size, now, seen = 0, None, {}
 
         def settle() -> None:
             if len(kept) > 1 or kept and not between:
-                for i, first, last in solver([k[0] for k in kept], [k[1] for k in kept], [k[3] for k in kept]):
-                    _, id_, tag, start = kept[i]
-                    add(id_, tag, start + first, start + last + window)
+                for i, first, last in solver([k[0] for k in kept], [k[1] for k in kept], [k[3][0] for k in kept]):
+                    _, id_, tag, starts = kept[i]
+                    for start in starts if between else starts[:1]:
+                        add(id_, tag, start + first, start + last + window)
             kept.clear()
 
         for batch in batches:
-            for fp, id_, tag, start, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for fp, id_, tag, starts, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if fp != now:
                     if size > SOLVE_BYTES:
                         settle()
                         size = 0
                     now, seen = fp, {}
-                first = seen.get(segment)
-                if first is None:
-                    seen[segment] = (id_, start)
-                    kept.append((segment, id_, tag, start))
+                first = seen.setdefault(segment, (id_, starts[0]))
+                if between:
+                    repeats = starts if first[0] < id_ else []  # within one document nothing repeats
+                else:
+                    repeats = [s for s in starts if first < (id_, s)]
+                if len(repeats) < len(starts):
+                    kept.append((segment, id_, tag, starts))
                     size += len(segment)
-                elif first[0] < id_ or not between and first != (id_, start):
+                for start in repeats:
                     add(id_, tag, start, start + units(segment))
-                elif first == (id_, start):  # a repeated row, or one with another tag
-                    kept.append((segment, id_, tag, start))
-                elif between:
-                    kept.append((segment, id_, tag, start))  # again in the same text, which isn't a repeat by itself
             if len(out[0]) > 100_000:
                 yield flush()
         settle()
         yield flush()
 
-    ordered = cut.repartition("fp").sortWithinPartitions("fp", "id", "start")
+    ordered = cut.repartition("fp").sortWithinPartitions("fp", "id", "starts")
     return ordered.mapInArrow(run, "id long, tag int, lo int, hi int")
 
 
