@@ -44,6 +44,7 @@ _MARK = re.compile(
     r"sidenav|social|sponsor|sponsored|subscribe|tags|toolbar|widget)(?:$|[\s_\d-])",
     re.I,
 )
+_TAG = re.compile(r"<[a-zA-Z/!?]")
 #: What an opening tag closes implicitly, up to the nearest of these ends.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -142,6 +143,13 @@ class _Lines(HTMLParser):
         if not (self.silent or self.boilerplate):
             self.text.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section is a comment up to the next >, as in browsers; the library stops at names it doesn't know."""
+        if self.rawdata.startswith("<![", i):
+            end = self.rawdata.find(">", i + 3)
+            return end + 1 or -1
+        return super().parse_html_declaration(i)
+
     def close(self) -> None:
         super().close()
         self._line()
@@ -175,6 +183,10 @@ def main_text(html: str | None) -> str:
     """The blocks of the page's content regions, joined by line feeds."""
     if not html:
         return ""
+    # A tag that the end of the page cuts off is no text. Without it, no < is tried again and again for want of a >.
+    end = html.rfind(">") + 1
+    if cut := _TAG.search(html, end):
+        html = html[: cut.start()]
     parser = _Lines()
     parser.feed(html)
     parser.close()

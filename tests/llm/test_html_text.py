@@ -24,6 +24,8 @@ def test_page_without_article():
 
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p> </p><script>x") == ""
+    assert main_text("<![foo[bar]]>x") == "x" and main_text("a <![ b") == "a" and main_text("<p>a < b</p><p>c <a hre") == "a < b\nc"
+    assert main_text("x " + "<a " * 30_000) == "x"
     assert main_text("only text &am") == "only text &am"
     assert main_text("<div class=ad>unclosed<article><p>x y</p>") == "x y"
     assert main_text("<article><p>a" + "<b>" * 3000 + "b") == "ab"
