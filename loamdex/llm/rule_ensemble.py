@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import SPACE, only, words
+from loamdex.llm.common import SPACE, hash_sample, only, words
 from loamdex.session import materialize
 
 FOLDS = 5
@@ -194,14 +194,8 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Column:
     """The score as a column expression over `stats`, learnt from the labelled rows of the training folds."""
     names = [c for c in stats.columns if c != "doc_id"]
     marks = only(labels, doc_id="long", quality="int").filter("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = (
-        stats.filter(fold(F.col("doc_id"), FOLDS) != 0)
-        .join(marks, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *names)
-        .limit(sample)
-        .select(*names, "quality")
-        .toPandas()
-    )
+    labelled = stats.filter(fold(F.col("doc_id"), FOLDS) != 0).join(marks, "doc_id")
+    rows = hash_sample(labelled, sample, "doc_id", *names).select(*names, "quality").toPandas()
     return compile_score(names, *fit(rows[names].to_numpy(float), rows["quality"].to_numpy(float)))
 
 
