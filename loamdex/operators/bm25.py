@@ -58,15 +58,14 @@ def scan_scores(docs: DataFrame, terms: list[str], field: str | None = None, tit
 def index_scores(index: TermIndex, terms: list[str], field: str | None = None, title_weight: float = TITLE_WEIGHT, body_weight: float = BODY_WEIGHT) -> DataFrame:
     """(doc_id, bm25) from a built index. Only the postings of the query's terms are read."""
     times = Counter(terms)
-    weighted = title_weight * (field != "body") * F.col("tf_title") + body_weight * (field != "title") * F.col("tf_body")
-    found = index.postings.filter(F.col("term").isin(*times)).withColumn("tf", weighted).filter("tf > 0")
+    n_docs, average = index.stats()
+    tf = title_weight * (field != "body") * F.col("tf_title") + body_weight * (field != "title") * F.col("tf_body")
+    df = F.col({"title": "df_title", "body": "df_body"}.get(field or "", "df"))
     repeat = F.lit(0)
     for t, n in times.items():
         repeat = F.when(F.col("term") == t, n).otherwise(repeat)
-    frequency = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(index.totals))  # a row for each term of the query
-    parts = found.join(F.broadcast(frequency), "term").join(index.lengths, "doc_id")
-    part = repeat * _part(F.col("tf"), _idf(F.col("n_docs"), F.col("df")), F.col("length"), F.col("avg_length"))
-    return parts.groupBy("doc_id").agg(F.sum(part).alias("bm25"))
+    part = repeat * _part(tf, _idf(F.lit(n_docs), df), F.col("length"), F.lit(average))
+    return index.postings.filter(F.col("term").isin(*times)).filter(tf > 0).groupBy("doc_id").agg(F.sum(part).alias("bm25"))
 
 
 def ranked(scores: DataFrame, k: int, offset: int = 0, by: str = "bm25") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.functions.text import tokens
+from loamdex.session import materialize
 
 #: The identifier's column counts as one token of a document's length, as in the score's definition.
 ID_TOKENS = 1
@@ -15,11 +16,21 @@ ID_TOKENS = 1
 
 @dataclass
 class TermIndex:
-    """postings(term, doc_id, tf_title, tf_body), lengths(doc_id, length) and one row of totals(n_docs, avg_length)."""
+    """postings(term, doc_id, tf_title, tf_body, length, df, df_title, df_body), lengths(doc_id, length) and one row of
+    totals(n_docs, avg_length). A posting has its document's length and its term's document frequencies (in any field, in
+    titles, in bodies), which sorted columns hold in little space, so that a search reads one table."""
 
     postings: DataFrame
     lengths: DataFrame
     totals: DataFrame
+    _stats: tuple[int, float] | None = field(default=None, repr=False)
+
+    def stats(self) -> tuple[int, float]:
+        """(number of documents, average length), read once."""
+        if self._stats is None:
+            row = self.totals.first()
+            self._stats = (row.n_docs, row.avg_length or 1.0)
+        return self._stats
 
 
 def tokenized(docs: DataFrame, stem: bool = False) -> DataFrame:
@@ -32,17 +43,23 @@ def tokenized(docs: DataFrame, stem: bool = False) -> DataFrame:
     return docs.select("doc_id", t.alias("title_tokens"), b.alias("body_tokens"))
 
 
+def _marked(tokens: str, in_title: int) -> Column:
+    return F.transform(tokens, lambda w: F.struct(w.alias("term"), F.lit(in_title).alias("t")))
+
+
 def build(docs: DataFrame, stem: bool = False) -> TermIndex:
-    """One pass over the texts. A document's equal tokens are counted before the shuffle."""
-    words = tokenized(docs, stem)
-    lengths = words.select("doc_id", (F.size("title_tokens") + F.size("body_tokens") + ID_TOKENS).alias("length"))
-    field = lambda c, title, body: words.select("doc_id", F.explode(c).alias("term"), F.lit(title).alias("t"), F.lit(body).alias("b"))
-    postings = (
-        field("title_tokens", 1, 0)
-        .unionAll(field("body_tokens", 0, 1))
-        .groupBy("term", "doc_id")
-        .agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
+    """One pass over the texts for postings. A document's equal tokens are counted before the shuffle."""
+    words = tokenized(docs, stem).withColumn("length", F.size("title_tokens") + F.size("body_tokens") + ID_TOKENS)
+    lengths = words.select("doc_id", "length")
+    both = F.concat(_marked("title_tokens", 1), _marked("body_tokens", 0))
+    counted = (
+        words.select("doc_id", "length", F.explode(both).alias("w"))
+        .groupBy(F.col("w.term").alias("term"), "doc_id", "length")
+        .agg(F.sum("w.t").alias("tf_title"), F.sum(1 - F.col("w.t")).alias("tf_body"))
     )
+    counted = materialize(counted, "postings")  # it is read for the frequencies, and twice for the ranges of terms
+    frequency = counted.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("tf_title") > 0).alias("df_title"), F.count_if(F.col("tf_body") > 0).alias("df_body"))
+    postings = counted.join(frequency, "term").select("term", "doc_id", "tf_title", "tf_body", "length", "df", "df_title", "df_body")
     return TermIndex(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length")))
 
 

@@ -87,12 +87,14 @@ class Service:
         terms = query_terms(query)
         kept = self.docs if where is None else self.docs.filter(where)
         scores = bm25.index_scores(self.terms, terms)
+        if where is not None:
+            scores = scores.join(kept.select("doc_id"), "doc_id", "left_semi")
         if self.settings.rerank:
-            pool = bm25.ranked(scores.join(kept.select("doc_id"), "doc_id", "left_semi"), fusion.per_pool(1, k, offset, self.settings.rerank_pool))
+            pool = bm25.ranked(scores, fusion.per_pool(1, k, offset, self.settings.rerank_pool))
             hits = pool.join(kept, "doc_id").select("doc_id", "title", F.substring("body", 1, 300).alias("passage"), "static_score")
             return fusion.rerank(hits, query, k, offset, self.settings.static_alpha, self.scorer)
         kw, vec = fusion.pools(k, offset)
-        keyword = bm25.ranked(scores.join(kept.select("doc_id"), "doc_id", "left_semi"), kw)
+        keyword = bm25.ranked(scores, kw)
         near = keyword.select("doc_id", F.lit(0.0).alias("score")).limit(0)
         if self.chunks is not None:
             vectors = self.chunks.join(kept.select("doc_id"), "doc_id", "left_semi")
