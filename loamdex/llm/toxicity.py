@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import only
+from loamdex.llm.common import hash_sample, only
 from loamdex.session import materialize
 
 FOLDS, HELD_OUT = 3, 1
@@ -181,7 +181,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, model, sample: int) -> DataFram
     """(doc_id, toxic, half, tokens) of the sampled labelled rows; of near copies one."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     marks = only(labels, doc_id="long", toxic="int").filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(fold != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = materialize(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxic-sample")
+    chosen = materialize(hash_sample(marks, sample, "doc_id"), "toxic-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
