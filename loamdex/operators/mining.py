@@ -36,6 +36,8 @@ QUERY_STOP_NOUNS = (*STOP_NOUNS, "경우", "위해", "통해", "또는", "그리
 QUERY_STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "http", "https", "www", "com", "api", "url", "html", "json", "true", "false", "null", "data", "type", "name", "list")
 VERB_ENDS = ("하고", "하기", "하는", "해서", "하여", "합니다", "했다", "한다", "됩니다", "되어", "입니다", "이다", "있다", "없다", "였다", "보고", "받고", "되는", "하지", "되고")
 
+# The patterns of bracketed synonyms, abbreviations, column comments and defining sentences, and of what is
+# no glossary title, no prose or no definition.
 PAREN_LATIN = r"([A-Za-z][A-Za-z0-9 ]{1,18})\s*[(（]([가-힣]{2,12})[)）]"
 PAREN_HANGUL = r"([가-힣]{2,12})\s*[(（]([A-Za-z][A-Za-z0-9 ]{1,18})[)）]"
 ABBREVIATION = r"(?<![A-Za-z])([A-Z]{2,5})(?![A-Za-z0-9])"
