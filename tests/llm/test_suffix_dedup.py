@@ -35,7 +35,7 @@ def check(spark, rows):
     assert sorted(map(tuple, suffix_dedup.digests(frame).collect())) == brute(rows)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=150, deadline=None, derandomize=True)
 @given(st.one_of(st.binary(max_size=400), st.text("ab", max_size=500).map(str.encode), st.text("abc\0", max_size=300).map(str.encode)))
 def test_suffix_array_is_sorted(data):
     text = np.frombuffer(data, np.uint8)
