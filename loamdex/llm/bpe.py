@@ -14,8 +14,9 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
+import re
+import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +49,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+#: The pattern of pieces that has a twin for the standard library, and that twin. They find the same pieces in texts without
+#: the characters of `_RARE`: controls that only one takes for white space, numbers that are no digits, and all beyond Latin.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_TWIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_RARE = re.compile("[\x1c-\x1f\x85\xa0²³¹¼-¾\u0250-\U0010ffff]")
+
+
 class Vocabulary:
     """What encoding needs of a vocabulary file."""
 
@@ -72,6 +80,7 @@ class Vocabulary:
                 slot = (slot + 1) & (len(self._table) - 1)
             self._table[slot] = i
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.twin = _TWIN.findall if pattern == _PIECES else None
         space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
         self.find = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{space}\p{{L}}\p{{N}}]")).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
@@ -81,6 +90,8 @@ class Vocabulary:
         """The pieces of a text without special tokens, normalised."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
+        if self.twin and (text.isascii() and text.isprintable() or not _RARE.search(text)):
+            return self.twin(text.lower())
         # Lower case is taken letter by letter, so a final sigma is an ordinary one.
         return self.find(text.lower() if "Σ" not in text else "".join(map(str.lower, text)))
 
@@ -202,17 +213,18 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes texts: lexicon first, then exact merges."""
+    """Encodes and decodes texts: lexicon first, then exact merges. Ids are packed as little-endian 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary, words: lexicon.Lexicon | None):
-        self.v, self.words, self.known = vocabulary, words, {}
+        self.v, self.words = vocabulary, words
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return unpack(self.encode_many([text])[0])
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text. The pieces that are new in all the texts are looked up together."""
-        parts = [[self.v.special[p] if p in self.v.special else self.v.pieces(p) for p in self.v.split(t)] if "<|" in t else [self.v.pieces(t)] for t in texts]
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text. The pieces that are new in all the texts are looked up together."""
+        parts = [[pack([self.v.special[p]]) if p in self.v.special else self.v.pieces(p) for p in self.v.split(t)] if "<|" in t else [self.v.pieces(t)] for t in texts]
         known = self.known
         if len(known) > ENCODE_MEMORY:
             known.clear()
@@ -222,16 +234,8 @@ class Encoder:
                 if isinstance(part, list):
                     new.update(part)
         self._learn([p for p in new if p not in known])
-        get, out = known.__getitem__, []
-        for text in parts:
-            ids: list[int] = []
-            for part in text:
-                if isinstance(part, list):
-                    ids += itertools.chain.from_iterable(map(get, part))
-                else:
-                    ids.append(part)
-            out.append(ids)
-        return out
+        get = known.__getitem__
+        return [b"".join(b"".join(map(get, part)) if isinstance(part, list) else part for part in text) for text in parts]
 
     def _learn(self, pieces: list[str]) -> None:
         found = self.words.get_many([p.encode("utf-8", "surrogatepass") for p in pieces]) if self.words is not None and pieces else [None] * len(pieces)
@@ -240,8 +244,8 @@ class Encoder:
             if ids is None:
                 left.append(piece)
             else:
-                self.known[piece] = ids
-        self.known.update(zip(left, self.v.merge_many(left), strict=True))
+                self.known[piece] = pack(ids)
+        self.known.update(zip(left, map(pack, self.v.merge_many(left)), strict=True))
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b" ".join(map(self.v.token_bytes.__getitem__, ids))
@@ -250,11 +254,41 @@ class Encoder:
         return self.decode_bytes(ids).decode("utf-8", "surrogatepass")
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpack(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, "<u4").tolist()
+
+
+_vocabularies: dict[bytes, Vocabulary] = {}
+_encoders: dict[bytes, Encoder] = {}
+
+
+def _vocabulary(text: str) -> Vocabulary:
+    """The vocabulary of a file's text, which a worker reads once for all its tasks."""
+    key = hashlib.sha256(text.encode()).digest()
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[key] = Vocabulary(text)
+    return _vocabularies[key]
+
+
+def _encoder(text: str, words: bytes) -> Encoder:
+    """The encoder of a file and a lexicon. What a worker's tasks have learnt is kept for its later ones."""
+    key = hashlib.sha256(text.encode() + words).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(_vocabulary(text), lexicon.Lexicon(words))
+    return _encoders[key]
+
+
 def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(piece, n) over all texts. A piece that a worker met only once between two flushes isn't counted there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, seen = Vocabulary(vocabulary), Counter()
+        v, seen = _vocabulary(vocabulary), Counter()
 
         def flush() -> pa.RecordBatch:
             often = [(p, n) for p, n in seen.items() if n > 1 and len(p) <= LONGEST]
@@ -295,14 +329,13 @@ def _mapped(docs: DataFrame, vocabulary: str, words: bytes | None, size: int, di
     kinds = [pa.int64(), pa.int64(), *([pa.string()] * 2 if digests else [pa.binary(), pa.string()])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, data = shared.value
-        encoder = Encoder(Vocabulary(file), lexicon.Lexicon(data))
+        encoder = _encoder(*shared.value)
         for batch in batches:
             for begin, end in sub_batches(pa.compute.fill_null(pa.compute.utf8_length(batch.column(1)), 0).to_pylist(), BATCH_CHARS):
                 part, rows = batch.slice(begin, end - begin), ([], [], [])
-                for ids in encoder.encode_many([text or "" for text in part.column(1).to_pylist()]):
-                    packed, decoded = np.array(ids, "<u4").tobytes(), encoder.decode_bytes(ids)
-                    rows[0].append(len(ids))
+                for packed in encoder.encode_many([text or "" for text in part.column(1).to_pylist()]):
+                    decoded = encoder.decode_bytes(unpack(packed))
+                    rows[0].append(len(packed) // 4)
                     rows[1].append(hashlib.sha256(packed).hexdigest() if digests else packed)
                     rows[2].append(hashlib.sha256(decoded).hexdigest() if digests else decoded.decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds[1:], strict=True))], names)
