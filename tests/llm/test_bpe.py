@@ -83,3 +83,12 @@ def test_encode_rows(spark):
         assert row.decoded_sha256 == hashlib.sha256(LIBRARY.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode(docs.limit(0), vocabulary()).count() == 0
     assert [r.decoded for r in bpe.encode(docs.filter("doc_id = 1"), vocabulary()).collect()] == ["hello</w> hello</w> world</w>"]
+
+
+def test_lexicon_of_the_most_frequent_pieces(spark):
+    text = " ".join(f"w{chr(97 + i)}x " * (2 * i + 2) for i in range(20))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    words = lexicon.Lexicon(bpe.compile_lexicon(docs, vocabulary(), 4))
+    found = words.get_many([f"w{chr(97 + i)}x".encode() for i in range(20)])
+    assert [f is not None for f in found] == [False] * 16 + [True] * 4
+    assert found[19] == LIBRARY.encode("wtx", add_special_tokens=False).ids
