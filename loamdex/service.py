@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions import markdown
-from loamdex.functions.text import query_terms
+from loamdex.functions.text import highlight, query_terms
 from loamdex.operators import bm25, filters, fusion, graph, index, ingest, vector
 from loamdex.sources import bronze
 
@@ -116,7 +116,8 @@ class Service:
         found = self.candidates(expanded, 2 * (k + offset), 0, condition).join(self.docs.drop("score"), "doc_id")
         profile = self.profiles.get(user or "")
         page = fusion.personalize(found, profile, matched, k, offset)
-        shown = page.join(self.docs, "doc_id").select("rank", "doc_id", "title", "source", "space", "score")
+        snippet = highlight(F.col("body"), words).alias("snippet")
+        shown = page.join(self.docs, "doc_id").select("rank", "doc_id", "title", "source", "space", "author", snippet, "score")
         self.log.append({"query": query, "k": k, "user": user})
         return shown.orderBy("rank"), fusion.facets(found)
 

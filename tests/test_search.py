@@ -104,6 +104,7 @@ def test_service_round_trip(spark, toy, tmp_path):
     s = service.Service.open(spark, str(tmp_path), dictionary=[fusion.Entry("sneaker", ("shoes",))])
     hits, facets = s.search("sneaker")
     assert values(hits, "rank", "doc_id") == [(1, "d4")]
+    assert values(s.search("fast shoes")[0], "snippet")[0] == ("<b>shoes</b> <b>shoes</b> <b>fast</b>",)
     assert ("source", "web", 1) in values(facets, "facet", "value", "n")
     assert values(s.search("   ")[0], "doc_id") == []
     fused = service.Service.open(spark, str(tmp_path), settings=service.Settings(rerank=False))
