@@ -3,8 +3,11 @@
 A document is the set of its 5-word shingles, and its signature the `TOKENS` minwise tokens of that set. A tree
 branches the documents recursively: at each node a few positions of the signature are chosen (by the path's hash, so
 1 / `SIMILARITY` of them on average), and a document follows, for each, the branch of its token there. Nodes of `SMALL`
-documents at most are compared exhaustively by their signatures. Nodes that stay large down to `DEPTH` are dense: most
-of their documents are alike, and each is compared with the node's leaders. Independent trees are repeated: two
+documents at most are compared exhaustively by their signatures. Nodes that stay large down to `DEPTH` are dense: often
+most of their documents are alike, so each is compared with the node's leaders first. Where the confirmed links leave a
+dense node in several components, the full set of each document outside its largest one is compared with all of the
+node, in blocks of `BLOCK` that are dealt out, and what connects them is a link. This work grows with the product of both
+numbers, but only where the leaders left documents unconnected; what it returns grows with the documents. Independent trees are repeated: two
 documents that are just similar enough share a leaf of one tree with probability 0.54 at worst (three levels), so
 `TREES` = 8 trees miss 0.2 percent of them in the densest nodes, and far less in others.
 
@@ -40,6 +43,8 @@ TOKENS, TREES, DEPTH, SMALL, LEADERS = 64, 8, 3, 24, 2
 LIKELY = 32
 #: Pairs of a node are left out where likelier ones, of so many equal tokens, already connect their documents.
 ALMOST_SURE = 58
+#: Documents, and shingles on average, of a block of a dense node.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 BATCH_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -200,24 +205,74 @@ def compare_dense(dense: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, equal int")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, equal) of the likely pairs that the trees bring together. `reps` is (id, tokens, short), written."""
-    pairs, rows = [], reps
+def compare_open(dense: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of confirmed links that connect the components in each block of a dense node, of all its pairs that lie
+    across components. `dense` is (node, id, n), `labels` (id, label); a node of one component has none."""
+    rows = materialize(dense.join(labels, "id", "left").select("node", "id", "n", F.coalesce("label", "id").alias("label")), "dense-labels")
+    sizes = rows.groupBy("node", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    sizes = sizes.groupBy("node").agg(F.max(F.struct("size", "label", "n")).alias("main"), F.sum("size").alias("size"), F.sum("n").alias("n")).filter("size > main.size")
+    blocks = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+    few = blocks(F.col("size") - F.col("main.size"), F.col("n") - F.col("main.n"))
+    # Written, so that the join below is one of two plain shuffles, whose skewed parts can be split.
+    sizes = materialize(sizes.select("node", F.col("main.label").alias("main"), blocks(F.col("size"), F.col("n")).alias("all"), few.alias("few")), "dense-open")
+    rows = rows.join(sizes, "node").select("node", "id", "label", "all", "few", (F.col("label") != F.col("main")).alias("outside"))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    probes = rows.filter("outside").select("node", F.pmod(F.xxhash64("id"), "few").alias("x"), to("all").alias("y"), "id", "label", F.lit(True).alias("probe"))
+    others = rows.select("node", to("few").alias("x"), F.pmod(F.xxhash64("id"), "all").alias("y"), "id", "label", F.lit(False).alias("probe"))
+    # An id's classes are one row each, and all its texts meet, as in `confirm`.
+    met = materialize(probes.union(others).distinct(), "dense-blocks")
+    own = materialize(texts.join(met.select("id").distinct().hint("merge"), "id"), "dense-texts")
+
+    def run(block: pa.Table) -> pa.Table:
+        sets = shingle_sets(block["text"].cast(pa.binary()).to_pylist())
+        full = [i for i, s in enumerate(sets) if len(s)]
+        ids, labels, probe = (block[c].to_numpy()[full] for c in ("id", "label", "probe"))
+        sets = [sets[i] for i in full]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        inverse = sets and np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+        at = np.flatnonzero(~probe)
+        out: tuple[list, list] = ([], [])
+        if len(at):
+            joined, starts = np.concatenate([inverse[i] for i in at]), np.cumsum(sizes[at]) - sizes[at]
+            groups = np.unique(labels, return_inverse=True)[1]
+            root = np.arange(len(groups))
+            mark = np.zeros(sizes.sum(), np.int32)
+            for i in np.flatnonzero(probe).tolist():
+                mark[inverse[i]] = 1
+                common = np.add.reduceat(mark[joined], starts)
+                mark[inverse[i]] = 0
+                similar = 100 * common >= SIMILARITY * (sizes[i] + sizes[at] - common)
+                for j in at[similar & (root[groups[at]] != root[groups[i]])].tolist():
+                    x, y = root[groups[j]], root[groups[i]]
+                    if x != y:
+                        root[root == x] = y
+                        out[0].append(min(ids[i], ids[j]))
+                        out[1].append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return met.hint("merge").join(own, "id").select("node", "x", "y", "id", "label", "probe", "text").groupBy("node", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, equal) of the likely pairs that the trees bring together, and (node, id, n) of dense nodes, of which
+    only pairs with leaders are among them. `reps` is (id, tokens, short, n), written."""
+    pairs, rows, dense = [], reps, None
     for level in range(DEPTH):
         nodes = materialize(branch(rows, level), "path-nodes")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         nodes = materialize(nodes.join(sizes, "node"), "path-level")
         leaves = nodes.filter(F.col("size") <= SMALL).select("node", "id")
         pairs.append(compare_leaves(leaves.join(reps.select("id", "short"), "id").select("node", "id", "short")))
-        rows = materialize(nodes.filter(F.col("size") > SMALL).join(reps, "id").select("id", "tokens", "node", "short"), "path-large")
+        rows = materialize(nodes.filter(F.col("size") > SMALL).join(reps, "id").select("id", "tokens", "node", "short", "n"), "path-large")
         if rows.isEmpty():
             break
         if level == DEPTH - 1:
             pairs.append(compare_dense(rows.select("node", "id", "short")))
+            dense = rows.select("node", "id", "n")
     found = pairs[0]
     for more in pairs[1:]:
         found = found.unionByName(more)
-    return found.groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    return found.groupBy("a", "b").agg(F.max("equal").alias("equal")), dense
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -263,26 +318,41 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
 
 
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that lie across components."""
+    label = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
+    left = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return left.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(*pairs.columns)
+
+
+def pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return materialize(texts.join(wanted.hint("merge"), "id"), "pair-texts")
+
+
 def group(docs: DataFrame, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs`."""
     texts = anchors.narrow(docs)
     signed = materialize(signatures(texts), "signatures")
-    classes = materialize(signed.filter("n > 0").groupBy("set_hi", "set_lo").agg(F.min(F.struct("id", "tokens", "short")).alias("r")).select("set_hi", "set_lo", "r.*"), "set-classes")
-    reps = classes.select("id", "tokens", "short")
-    pairs = materialize(candidates(reps), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own = materialize(texts.join(wanted.hint("merge"), "id"), "pair-texts")
+    classes = materialize(signed.filter("n > 0").groupBy("set_hi", "set_lo").agg(F.min(F.struct("id", "tokens", "short", "n")).alias("r")).select("set_hi", "set_lo", "r.*"), "set-classes")
+    reps = classes.select("id", "tokens", "short", "n")
+    pairs, dense = candidates(reps)
+    pairs = materialize(pairs, "pairs")
+    own = pair_texts(pairs, texts)
     # First each document's likeliest pair, with a smaller and with a larger id; then what still lies across components.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
     best = best.union(pairs.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))).distinct()
     links = materialize(confirm(best, own), "confirmed")
     labels = components(links)
-    label = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
-    left = pairs.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    left = left.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+    left = across(pairs.join(best, ["a", "b"], "left_anti"), labels)
     more = materialize(confirm(left.select("a", "b"), own), "confirmed")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        links = links.union(more)
+        labels = components(links)
+    if dense is not None:
+        more = materialize(compare_open(dense, labels, texts), "confirmed")
+        if not more.isEmpty():
+            labels = components(links.union(more))
     found = (
         signed.drop("tokens", "short")
         .join(classes.select("set_hi", "set_lo", F.col("id").alias("rep")), ["set_hi", "set_lo"], "left")

@@ -55,6 +55,13 @@ def test_groups(spark):
     check(spark, list(enumerate(rows, 10)))
 
 
+def test_edited_copies_that_only_meet_in_their_original(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(500)]
+    rows = [" ".join(edited(base, rng, 0.02)) for _ in range(200)]
+    check(spark, list(enumerate([*rows[:100], " ".join(base), *rows[100:]], 10)))
+
+
 def test_null_ids_and_repeated_rows(spark):
     t = " ".join(map(str, range(50)))
     rows = [(None, t), (1, t), (1, t), (2, None), (None, "x")]
