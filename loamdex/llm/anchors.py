@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm.common import text_slices
@@ -181,10 +181,15 @@ def occurrences(texts: DataFrame, unit, window: int, gram: int) -> DataFrame:
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """(id) of texts that a smaller id has as a whole."""
-    hashed = texts.select("id", F.md5("text").alias("h"))
+    """(id, copied): hashes of those texts of an id that a smaller id has as a whole. Rows of one id can have others."""
+    hashed = texts.select("id", F.md5("text").alias("h"), F.xxhash64("text").alias("own"))
     first = hashed.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return hashed.join(first, "h").filter("id > first").select("id").distinct()
+    return hashed.join(first, "h").filter("id > first").groupBy("id").agg(F.collect_set("own").alias("copied"))
+
+
+def _is_copy() -> Column:
+    """Whether `text` is among `copied`, which is null for an id without copies."""
+    return F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False))
 
 
 def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, between: bool) -> DataFrame:
@@ -194,7 +199,7 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
     # Written, so that the join below is one of two plain shuffles, whose skewed parts can be split.
     repeated = materialize(count.filter("lo < hi" if between else "n > 1").select("fp", (F.col("n") > HOT).alias("hot")), "anchors")
     candidates = found.join(repeated, "fp").groupBy("id").agg(F.collect_set(F.struct("fp", "hot")).alias("at"))
-    candidates = candidates.join(copies(texts), "id", "left_anti")
+    candidates = candidates.join(copies(texts), "id", "left")
     side = (window - gram) // 2
     column = len(texts.columns)
 
@@ -234,7 +239,7 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
     # All columns of the texts go along, so that this shuffle of the texts serves `apply` too.
-    return texts.join(candidates, "id").select(*texts.columns, "at").mapInArrow(run, "fp long, id long, tag int, starts array<int>, segment binary")
+    return texts.join(candidates, "id").filter(~_is_copy()).select(*texts.columns, "at").mapInArrow(run, "fp long, id long, tag int, starts array<int>, segment binary")
 
 
 def _refined(fp: int, context: bytes) -> int:
@@ -303,7 +308,7 @@ def apply(texts: DataFrame, removed: DataFrame, finish: Callable[[bytes, list[tu
     """One row for each text: doc_id, the carried columns and what `finish` makes of the text, its merged runs to
     remove, and whether it is a copy."""
     runs = removed.groupBy("id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("runs"))
-    marked = runs.join(copies(texts).withColumn("copy", F.lit(True)), "id", "full_outer")
+    marked = runs.join(copies(texts), "id", "full_outer")
     carried, column = texts.columns[2:], len(texts.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,4 +331,4 @@ def apply(texts: DataFrame, removed: DataFrame, finish: Callable[[bytes, list[tu
 
     types = dict(texts.dtypes)
     full = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in carried), schema])
-    return texts.join(marked, "id", "left").select(*texts.columns, "runs", "copy").mapInArrow(run, full)
+    return texts.join(marked, "id", "left").select(*texts.columns, "runs", _is_copy().alias("copy")).mapInArrow(run, full)

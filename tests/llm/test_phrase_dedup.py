@@ -55,6 +55,15 @@ def test_repeats_within_a_document_stay(spark):
     assert phrase_dedup.digests(frame.limit(0)).count() == 0
 
 
+def test_a_copy_among_rows_of_one_id(spark):
+    text = maker(5)
+    a, b, c, d = (text(70) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (2, c), (3, c), (3, d)]
+    found = phrase_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((str(r.doc_id), r.kept_sha256) for r in found) == sorted([("1", sha(a)), ("None", sha("")), ("None", sha(b)), ("2", sha(c)), ("3", sha("")), ("3", sha(d))])
+
+
 def test_hot_phrase(spark, monkeypatch):
     monkeypatch.setattr("loamdex.llm.anchors.HOT", 5)
     text = maker(4)

@@ -66,6 +66,14 @@ def test_repeated_rows_and_ids(spark):
     assert suffix_dedup.digests(frame.limit(0)).count() == 0
 
 
+def test_a_copy_among_rows_of_one_id(spark):
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(70)) for x in "wxyz")
+    rows = [(1, a), (None, a), (None, b), (2, c), (3, c), (3, d)]
+    found = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((str(r.doc_id), r.kept_sha256) for r in found) == sorted([("1", sha(a)), ("None", sha("")), ("None", sha(b)), ("2", sha(c)), ("3", sha("")), ("3", sha(d))])
+
+
 def test_hot_phrase(spark, monkeypatch):
     monkeypatch.setattr("loamdex.llm.anchors.HOT", 5)
     rng = random.Random(1)
