@@ -1,19 +1,25 @@
 """Near-duplicate documents by a chosen-path set similarity join over minwise tokens.
 
 A document is the set of its 5-word shingles, and its signature the `TOKENS` minwise tokens of that set. A tree
-branches the documents recursively: at each node a few positions of the signature are chosen (by the path's hash, so
-1 / `SIMILARITY` of them on average), and a document follows, for each, the branch of its token there. Nodes of `SMALL`
-documents at most are compared exhaustively by their signatures. Nodes that stay large down to `DEPTH` are dense: often
-most of their documents are alike, so each is compared with the node's leaders first. Where the confirmed links leave a
-dense node in several components, the full set of each document outside its largest one is compared with all of the
-node, in blocks of `BLOCK` that are dealt out, and what connects them is a link. This work grows with the product of both
-numbers, but only where the leaders left documents unconnected; what it returns grows with the documents. Independent trees are repeated: two
-documents that are just similar enough share a leaf of one tree with probability 0.54 at worst (three levels), so
-`TREES` = 8 trees miss 0.2 percent of them in the densest nodes, and far less in others.
-
-Candidate pairs are confirmed on the full sets: first the likeliest pair of each document, then all pairs that still
-lie across components. Documents of equal sets are folded before, and components are found by contraction, so that a
-group's copies are never expanded into pairs.
+branches the documents recursively: at each node one or two positions of the signature are chosen (by the path's hash,
+1 / `SIMILARITY` of them on average, two from `DEPTH` levels on), and a document follows, for each, the branch of its
+token there. Small nodes (`SMALL` documents, `BLOCK` from the last of `DEPTH` levels on) are compared exhaustively by
+their signatures. Larger ones are branched on, at any depth, until they are small, or coherent: a node where
+`COHERENT` of the pairs are likely holds documents that are mostly alike, which no position tells apart. Independent
+trees are repeated: two documents that are just similar enough share a leaf of one tree with probability 0.54 at worst
+(three levels), so `TREES` = 8 trees miss 0.2 percent of them in the densest nodes, and far less in others.
+
+Links are always confirmed on the full sets, and nothing is left out for an unconfirmed one:
+
+    forests    each node gives a spanning forest of its likely pairs, likeliest ones first, so a group's copies are
+               never expanded into pairs; a coherent node gives those of its blocks of `BLOCK`, tied by common leaders
+    confirm    the likeliest pair of each document, then all pairs of forests that still lie across components
+    open       where a pair of a tree has failed and the tree has further likely pairs, or a coherent node isn't tied,
+               the full set of each document outside the node's largest component is compared with all of the tree or
+               node, in blocks that are dealt out, and what connects them is a link
+
+The work on open nodes grows with the product of both numbers, but only where confirmed links left documents apart; what
+it returns grows with the documents. Documents of equal sets are folded before, and components are found by contraction.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than 5
 words are one shingle; a null doc_id is larger than any other; rows that share a doc_id share their links; an empty
@@ -38,13 +44,13 @@ from loamdex.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
-TOKENS, TREES, DEPTH, SMALL, LEADERS = 64, 8, 3, 24, 2
-#: Share of equal tokens from which a pair is confirmed on the full sets: 4.6 deviations below the similarity.
+TOKENS, TREES, DEPTH, SMALL = 64, 8, 3, 24
+#: Equal tokens from which a pair is likely: 4.6 deviations below the similarity.
 LIKELY = 32
-#: Pairs of a node are left out where likelier ones, of so many equal tokens, already connect their documents.
-ALMOST_SURE = 58
-#: Documents, and shingles on average, of a block of a dense node.
+#: Documents, and shingles on average, of a block of a large node.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Share of likely pairs from which a large node isn't branched on, and the level from which none is.
+COHERENT, DEEPEST = 0.5, 64
 BATCH_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -104,9 +110,10 @@ def branch(rows: DataFrame, level: int, trees: int = TREES) -> DataFrame:
     """(node, id): the branches that each row (id, tokens and, below the root, node) follows."""
 
     def chosen(path: int) -> list[int]:
-        """One position, and in a third of the paths a second one."""
+        """One position, and in a third of the paths a second one; two from `DEPTH` levels on, where each must go on."""
         h = xxhash.xxh64_intdigest(path.to_bytes(8, "little", signed=True), seed=level)
-        return [h % TOKENS, *([(h // TOKENS) % TOKENS] if (h >> 32) % 3 == 0 else [])]
+        more = level >= DEPTH or (h >> 32) % 3 == 0
+        return [h % TOKENS, *([(h + 1 + (h // TOKENS) % (TOKENS - 1)) % TOKENS] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,94 +141,124 @@ def branch(rows: DataFrame, level: int, trees: int = TREES) -> DataFrame:
     return rows.select(*(["id", "tokens"] if level == 0 else ["id", "tokens", "node"])).mapInArrow(run, "node long, id long")
 
 
-def compare_leaves(leaves: DataFrame) -> DataFrame:
-    """(a, b, equal) of likely pairs of small nodes. `leaves` is (node, id, short)."""
+def forest(tokens: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """A spanning forest of likely pairs, likeliest ones first, as (row, row, equal tokens), the tree of each row (its
+    first row), and with how many rows each makes a likely pair."""
+    m = len(tokens)
+    tree, likely = np.arange(m), np.zeros(m, np.int64)
+    if m <= 2 * SMALL:
+        equal = np.count_nonzero(tokens[:, None] == tokens[None], axis=2)
+        likely = (equal >= LIKELY).sum(1) - 1
+        if not likely.any():
+            return [], tree, likely
+    edges, open_, best, parent = [], np.ones(m, bool), np.full(m, -1), np.zeros(m, np.int64)
+    for _ in range(m):
+        i = int(np.argmax(np.where(open_, best, -2)))
+        if best[i] >= LIKELY:
+            edges.append((int(parent[i]), i, int(best[i])))
+            tree[i] = tree[parent[i]]
+        else:
+            i = int(np.argmax(open_))
+        row = equal[i] if m <= 2 * SMALL else np.count_nonzero(tokens == tokens[i], axis=1)
+        likely[i] = np.count_nonzero(row >= LIKELY) - 1
+        open_[i] = False
+        better = open_ & (row > best)
+        best[better], parent[better] = row[better], i
+    return edges, tree, likely
+
+
+PAIR, TREE, BLOCKS = 0, 1, 2
+_FOUND = "kind int, g long, a long, b long, n long, ids array<long>"
+
+
+def compare(rows: DataFrame) -> DataFrame:
+    """What the signatures of each node's documents tell. `rows` is (node, block, id, short); a node that isn't split has
+    the block -1. A node of n documents gives n rows at most:
+
+        PAIR    g (tree of a node, or a split node), a < b, n equal tokens: the pairs of the forest
+        TREE    g, ids: a tree of a node that isn't split, with further likely pairs
+        BLOCKS  g (a split node), a trees of the block, b likely pairs of n pairs
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, tokens = None, [], []
-        out: tuple[list, list, list] = ([], [], [])
+        out: list[tuple] = []
 
         def settle() -> None:
-            if len(ids) > 1:
-                t = np.stack(tokens)
-                i, j = np.triu_indices(len(ids), 1)
-                equal = (t[i] == t[j]).sum(1)
-                root = list(range(len(ids)))
-
-                def find(x: int) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for k in np.argsort(-equal, kind="stable").tolist():
-                    if equal[k] < LIKELY:
-                        break
-                    x, y = find(int(i[k])), find(int(j[k]))
-                    a, b = ids[i[k]], ids[j[k]]
-                    if x != y and a != b:
-                        for column, value in zip(out, (min(a, b), max(a, b), int(equal[k])), strict=True):
-                            column.append(value)
-                        if equal[k] >= ALMOST_SURE:
-                            root[x] = y
-            ids.clear()
-            tokens.clear()
+            if len(ids) < 2:
+                return
+            node, split = now[0], now[1] >= 0
+            edges, tree, likely = forest(np.stack(tokens))
+            if split:
+                m = len(ids)
+                out.append((BLOCKS, node, m - len(edges), int(likely.sum()) // 2, m * (m - 1) // 2, None))
+            if not edges:
+                return
+            roots, member = np.unique(tree, return_inverse=True)
+            name = [node if split else xxhash.xxh64_intdigest(f"{node}:{ids[r]}".encode()) - (1 << 63) for r in roots.tolist()]
+            for i, j, n in edges:
+                if ids[i] != ids[j]:
+                    out.append((PAIR, name[member[i]], min(ids[i], ids[j]), max(ids[i], ids[j]), n, None))
+            if not split:
+                all_, size = np.bincount(member, likely) / 2, np.bincount(member)
+                for t in np.flatnonzero(all_ > size - 1).tolist():
+                    out.append((TREE, name[t], None, None, None, sorted({ids[r] for r in np.flatnonzero(member == t).tolist()})))
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["a", "b", "equal"])
-            for column in out:
-                column.clear()
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "g", "a", "b", "n", "ids"])
+            out.clear()
             return made
 
         for batch in batches:
-            short = _tokens(batch.column(2), "u1")
-            for r, (node, id_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if node != now:
+            short = _tokens(batch.column(3), "u1")
+            for r, (node, block, id_) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if (node, block) != now:
                     settle()
-                    now = node
+                    now = (node, block)
+                    ids.clear()
+                    tokens.clear()
                 ids.append(id_)
                 tokens.append(short[r])
             yield flush()
         settle()
         yield flush()
 
-    return leaves.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, equal int")
+    ordered = rows.select("node", "block", "id", "short").repartition("node", "block").sortWithinPartitions("node", "block", "id")
+    return ordered.mapInArrow(run, _FOUND)
 
 
-def compare_dense(dense: DataFrame) -> DataFrame:
-    """(a, b, equal) of likely pairs of a dense node's leaders and its other documents."""
-    order = F.xxhash64("id")
+def split(large: DataFrame, block: int) -> DataFrame:
+    """(node, block, id, short): each node of `large` (node, size, id, short) in blocks of about `block` documents, and
+    its leaders in each of them."""
+    blocks, order = F.ceil(F.col("size") / block), F.xxhash64("id", "node")
+    own = large.select("node", F.pmod(F.xxhash64("id", "node", F.lit(1)), blocks).cast("int").alias("block"), "id", "short")
     leader = F.struct(order.alias("h"), F.col("id"), F.col("short"))
-    leaders = dense.groupBy("node").agg(F.min(leader).alias("first"), F.max(leader).alias("last"), F.min(F.struct(F.col("id"), F.lit(0).alias("x"), F.col("short"))).alias("least"))
-    leaders = leaders.select("node", F.explode(F.array(*[F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.short").alias("short")) for c in ("first", "last", "least")])).alias("l"))
-    met = dense.join(leaders, "node").filter("id <> l.id").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"), "short", F.col("l.short").alias("other"))
+    leaders = large.groupBy("node").agg(F.min(leader).alias("x"), F.max(leader).alias("y"), F.min(F.struct(F.col("id"), F.lit(0).alias("h"), F.col("short"))).alias("z"), F.max(blocks).alias("blocks"))
+    leaders = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    each = F.explode(F.array(*[F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.short").alias("short")) for c in "xyz"]))
+    return own.union(leaders.select("node", "block", each.alias("l")).select("node", "block", "l.id", "l.short"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            equal = (_tokens(batch.column(2), "u1") == _tokens(batch.column(3), "u1")).sum(1)
-            keep = np.flatnonzero(equal >= LIKELY)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(equal[keep], pa.int32())], ["a", "b", "equal"])
-
-    return met.mapInArrow(run, "a long, b long, equal int")
 
-
-def compare_open(dense: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of confirmed links that connect the components in each block of a dense node, of all its pairs that lie
-    across components. `dense` is (node, id, n), `labels` (id, label); a node of one component has none."""
-    rows = materialize(dense.join(labels, "id", "left").select("node", "id", "n", F.coalesce("label", "id").alias("label")), "dense-labels")
+def compare_open(rows: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of confirmed links that connect the components in each block of a node, of all its pairs that lie across
+    components. `rows` is (node, id), `labels` (id, label); a node of one component has none."""
+    rows = rows.join(labels, "id", "left").join(reps.select("id", "n"), "id").select("node", "id", "n", F.coalesce("label", "id").alias("label"))
+    rows = materialize(rows, "open-labels")
     sizes = rows.groupBy("node", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     sizes = sizes.groupBy("node").agg(F.max(F.struct("size", "label", "n")).alias("main"), F.sum("size").alias("size"), F.sum("n").alias("n")).filter("size > main.size")
     blocks = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES))
     few = blocks(F.col("size") - F.col("main.size"), F.col("n") - F.col("main.n"))
     # Written, so that the join below is one of two plain shuffles, whose skewed parts can be split.
-    sizes = materialize(sizes.select("node", F.col("main.label").alias("main"), blocks(F.col("size"), F.col("n")).alias("all"), few.alias("few")), "dense-open")
+    sizes = materialize(sizes.select("node", F.col("main.label").alias("main"), blocks(F.col("size"), F.col("n")).alias("all"), few.alias("few")), "open-sizes")
     rows = rows.join(sizes, "node").select("node", "id", "label", "all", "few", (F.col("label") != F.col("main")).alias("outside"))
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     probes = rows.filter("outside").select("node", F.pmod(F.xxhash64("id"), "few").alias("x"), to("all").alias("y"), "id", "label", F.lit(True).alias("probe"))
     others = rows.select("node", to("few").alias("x"), F.pmod(F.xxhash64("id"), "all").alias("y"), "id", "label", F.lit(False).alias("probe"))
     # An id's classes are one row each, and all its texts meet, as in `confirm`.
-    met = materialize(probes.union(others).distinct(), "dense-blocks")
-    own = materialize(texts.join(met.select("id").distinct().hint("merge"), "id"), "dense-texts")
+    met = materialize(probes.union(others).distinct(), "open-blocks")
+    own = materialize(texts.join(met.select("id").distinct().hint("merge"), "id"), "open-texts")
 
     def run(block: pa.Table) -> pa.Table:
         sets = shingle_sets(block["text"].cast(pa.binary()).to_pylist())
@@ -253,26 +290,38 @@ def compare_open(dense: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     return met.hint("merge").join(own, "id").select("node", "x", "y", "id", "label", "probe", "text").groupBy("node", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b, equal) of the likely pairs that the trees bring together, and (node, id, n) of dense nodes, of which
-    only pairs with leaders are among them. `reps` is (id, tokens, short, n), written."""
-    pairs, rows, dense = [], reps, None
-    for level in range(DEPTH):
+def candidates(reps: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """What `compare` found in all nodes, and (node, id) of the coherent ones. `reps` is (id, tokens, short, n), written."""
+    found, coherent, rows, level = [], [], reps, 0
+    while True:
+        last = level >= DEPTH - 1
+        small = block if last else min(SMALL, block)
         nodes = materialize(branch(rows, level), "path-nodes")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         nodes = materialize(nodes.join(sizes, "node"), "path-level")
-        leaves = nodes.filter(F.col("size") <= SMALL).select("node", "id")
-        pairs.append(compare_leaves(leaves.join(reps.select("id", "short"), "id").select("node", "id", "short")))
-        rows = materialize(nodes.filter(F.col("size") > SMALL).join(reps, "id").select("id", "tokens", "node", "short", "n"), "path-large")
-        if rows.isEmpty():
+        leaves = nodes.filter(F.col("size") <= small).join(reps.select("id", "short"), "id").withColumn("block", F.lit(-1))
+        found.append(materialize(compare(leaves), "path-found"))
+        large = materialize(nodes.filter(F.col("size") > small).join(reps, "id").select("id", "tokens", "node", "short", "size"), "path-large")
+        if large.isEmpty():
             break
-        if level == DEPTH - 1:
-            pairs.append(compare_dense(rows.select("node", "id", "short")))
-            dense = rows.select("node", "id", "n")
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.unionByName(more)
-    return found.groupBy("a", "b").agg(F.max("equal").alias("equal")), dense
+        if last:
+            met = materialize(compare(split(large, block)), "path-found")
+            found.append(met)
+            share = met.filter(F.col("kind") == BLOCKS).groupBy(F.col("g").alias("node")).agg((F.sum("b") / F.sum("n")).alias("share"))
+            alike = materialize(share.filter(F.lit(level >= DEEPEST) | (F.col("share") >= COHERENT)).select("node"), "path-coherent")
+            coherent.append(large.join(alike, "node", "left_semi").select("node", "id"))
+            large = materialize(large.join(alike, "node", "left_anti"), "path-large")
+            if large.isEmpty():
+                break
+        rows, level = large, level + 1
+    return _union(found), _union(coherent)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for frame in frames:
+        out = frame if out is None else out.unionByName(frame)
+    return out
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -330,14 +379,15 @@ def pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(texts.join(wanted.hint("merge"), "id"), "pair-texts")
 
 
-def group(docs: DataFrame, trees: int = TREES) -> DataFrame:
+def group(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs`."""
     texts = anchors.narrow(docs)
     signed = materialize(signatures(texts), "signatures")
     classes = materialize(signed.filter("n > 0").groupBy("set_hi", "set_lo").agg(F.min(F.struct("id", "tokens", "short", "n")).alias("r")).select("set_hi", "set_lo", "r.*"), "set-classes")
     reps = classes.select("id", "tokens", "short", "n")
-    pairs, dense = candidates(reps)
-    pairs = materialize(pairs, "pairs")
+    found, coherent = candidates(reps, block)
+    trees = found.filter(F.col("kind") == PAIR).select("g", "a", "b", F.col("n").alias("equal"))
+    pairs = materialize(trees.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
     own = pair_texts(pairs, texts)
     # First each document's likeliest pair, with a smaller and with a larger id; then what still lies across components.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
@@ -349,8 +399,15 @@ def group(docs: DataFrame, trees: int = TREES) -> DataFrame:
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)
-    if dense is not None:
-        more = materialize(compare_open(dense, labels, texts), "confirmed")
+    # A tree whose pairs are all within components is within one; else its further likely pairs are compared.
+    failed = materialize(trees.join(across(pairs, labels).select("a", "b"), ["a", "b"]).select("g").distinct(), "failed")
+    wanted = found.filter(F.col("kind") == TREE).join(failed, "g", "left_semi").select(F.col("g").alias("node"), F.explode("ids").alias("id"))
+    if coherent is not None:
+        untied = found.filter((F.col("kind") == BLOCKS) & (F.col("a") > 1)).select("g").union(failed).distinct()
+        wanted = wanted.union(coherent.join(untied.withColumnRenamed("g", "node"), "node", "left_semi").select("node", "id"))
+    wanted = materialize(wanted, "open")
+    if not wanted.isEmpty():
+        more = materialize(compare_open(wanted, labels, reps, texts), "confirmed")
         if not more.isEmpty():
             labels = components(links.union(more))
     found = (

@@ -28,9 +28,9 @@ def brute(rows):
     return sorted((i, len(x), find(i), find(i) == i) for i, x in sets)
 
 
-def check(spark, rows):
+def check(spark, rows, **how):
     frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_shingles string")
-    assert sorted(map(tuple, chosen_path.group(frame).collect())) == brute(rows)
+    assert sorted(map(tuple, chosen_path.group(frame, **how).collect())) == brute(rows)
 
 
 def edited(words, rng, share):
@@ -62,6 +62,55 @@ def test_edited_copies_that_only_meet_in_their_original(spark):
     check(spark, list(enumerate([*rows[:100], " ".join(base), *rows[100:]], 10)))
 
 
+def template(own, twins, seed):
+    """Texts of one template with `own` of 400 words of their own in a row, half of them with a twin."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randint(0, 99999)}"
+    shared, rows = [word() for _ in range(400)], []
+    for _ in range(twins):
+        mine = [word() for _ in range(own)]
+        rows.append(" ".join(shared[:200] + mine + shared[200:]))
+        at = rng.randrange(own - 12)
+        rows.append(" ".join(shared[:200] + mine[:at] + [word() for _ in range(12)] + mine[at + 12 :] + shared[200:]))
+    rng.shuffle(rows)
+    return list(enumerate(rows, 10))
+
+
+def test_twins_among_strangers_just_below_the_limit(spark):
+    rows = template(64, 150, 5)
+    sets = [shingles(t) for _, t in rows]
+    common = [100 * len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert 70 < min(common) < 75 and sum(c >= 75 for c in common) == 1
+    check(spark, rows)
+    check(spark, rows, block=40)  # all nodes are split, and coherent
+
+
+def test_branches_beyond_the_first_levels(spark, monkeypatch):
+    """Large nodes that aren't coherent: many documents share a passage and little else."""
+    monkeypatch.setattr(chosen_path, "SMALL", 2)
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(40)]
+    rows = []
+    for _ in range(150):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(60)]
+        rows += [" ".join(shared + base), " ".join(shared + base[:-2])] if rng.random() < 0.3 else [" ".join(shared + base)]
+    check(spark, list(enumerate(rows)), block=4)
+
+
+def test_forest():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for m in (2, 30, 90):
+        tokens = rng.integers(0, 2 + m % 3, (m, 64)).astype(np.uint8)
+        edges, tree, likely = chosen_path.forest(tokens)
+        equal = (tokens[:, None] == tokens[None]).sum(2)
+        near = (equal >= chosen_path.LIKELY) & ~np.eye(m, dtype=bool)
+        assert (near.sum(1) == likely).all()
+        assert all(near[i, j] and equal[i, j] == n for i, j, n in edges) and len(edges) == m - len(set(tree))
+        assert (tree[:, None] == tree[None])[near].all()
+
+
 def test_null_ids_and_repeated_rows(spark):
     t = " ".join(map(str, range(50)))
     rows = [(None, t), (1, t), (1, t), (2, None), (None, "x")]
