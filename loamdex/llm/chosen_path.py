@@ -3,7 +3,7 @@
 A document is the set of its 5-word shingles, and its signature the `TOKENS` minwise tokens of that set. A tree
 branches the documents recursively: at each node one or two positions of the signature are chosen (by the path's hash,
 1 / `SIMILARITY` of them on average, two from `DEPTH` levels on), and a document follows, for each, the branch of its
-token there. Small nodes (`SMALL` documents, `BLOCK` from the last of `DEPTH` levels on) are compared exhaustively by
+token there. Small nodes (`SMALL` documents, `LEAF` from the last of `DEPTH` levels on) are compared exhaustively by
 their signatures. Larger ones are branched on, at any depth, until they are small, or coherent: a node where
 `COHERENT` of the pairs are likely holds documents that are mostly alike, which no position tells apart. Independent
 trees are repeated: two documents that are just similar enough share a leaf of one tree with probability 0.54 at worst
@@ -12,9 +12,10 @@ trees are repeated: two documents that are just similar enough share a leaf of o
 Links are always confirmed on the full sets, and nothing is left out for an unconfirmed one:
 
     forests    each node gives a spanning forest of its likely pairs, likeliest ones first, so a group's copies are
-               never expanded into pairs; a coherent node gives those of its blocks of `BLOCK`, tied by common leaders
-    confirm    the likeliest pair of each document, then all pairs of forests that still lie across components
-    open       where a pair of a tree has failed and the tree has further likely pairs, or a coherent node isn't tied,
+               never expanded into pairs, and a tree's further likely pairs if they are no more than its documents; a
+               coherent node gives those of its blocks of `BLOCK`, tied by common leaders
+    confirm    all these pairs, and components of those that hold
+    open       where a pair of a tree has failed and the tree has more likely pairs than it gave, or a coherent node isn't tied,
                the full set of each document outside the node's largest component is compared with all of the tree or
                node, in blocks that are dealt out, and what connects them is a link
 
@@ -49,6 +50,8 @@ TOKENS, TREES, DEPTH, SMALL = 64, 8, 3, 24
 LIKELY = 32
 #: Documents, and shingles on average, of a block of a large node.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Documents of a node that one task compares by signatures, from the last of `DEPTH` levels on.
+LEAF = 2048
 #: Share of likely pairs from which a large node isn't branched on, and the level from which none is.
 COHERENT, DEEPEST = 0.5, 64
 BATCH_BYTES = 1 << 20
@@ -173,10 +176,10 @@ _FOUND = "kind int, g long, a long, b long, n long, ids array<long>"
 
 def compare(rows: DataFrame) -> DataFrame:
     """What the signatures of each node's documents tell. `rows` is (node, block, id, short); a node that isn't split has
-    the block -1. A node of n documents gives n rows at most:
+    the block -1. A node of n documents gives 3 n rows at most:
 
         PAIR    g (tree of a node, or a split node), a < b, n equal tokens: the pairs of the forest
-        TREE    g, ids: a tree of a node that isn't split, with further likely pairs
+        TREE    g, ids: a tree of a node that isn't split, with more likely pairs than are given
         BLOCKS  g (a split node), a trees of the block, b likely pairs of n pairs
     """
 
@@ -202,7 +205,15 @@ def compare(rows: DataFrame) -> DataFrame:
             if not split:
                 all_, size = np.bincount(member, likely) / 2, np.bincount(member)
                 for t in np.flatnonzero(all_ > size - 1).tolist():
-                    out.append((TREE, name[t], None, None, None, sorted({ids[r] for r in np.flatnonzero(member == t).tolist()})))
+                    rows_ = np.flatnonzero(member == t)
+                    if all_[t] > 2 * size[t] - 1:
+                        out.append((TREE, name[t], None, None, None, sorted({ids[r] for r in rows_.tolist()})))
+                        continue
+                    for x, i in enumerate(rows_.tolist()):
+                        equal = np.count_nonzero(np.stack([tokens[r] for r in rows_[x + 1 :].tolist()] or [tokens[i]]) == tokens[i], axis=1)
+                        for j, n in zip(rows_[x + 1 :].tolist(), equal.tolist(), strict=False):
+                            if n >= LIKELY and ids[i] != ids[j]:
+                                out.append((PAIR, name[t], min(ids[i], ids[j]), max(ids[i], ids[j]), n, None))
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [()] * 6
@@ -290,12 +301,12 @@ def compare_open(rows: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
     return met.hint("merge").join(own, "id").select("node", "x", "y", "id", "label", "probe", "text").groupBy("node", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+def candidates(reps: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
     """What `compare` found in all nodes, and (node, id) of the coherent ones. `reps` is (id, tokens, short, n), written."""
     found, coherent, rows, level = [], [], reps, 0
     while True:
         last = level >= DEPTH - 1
-        small = block if last else min(SMALL, block)
+        small = leaf if last else min(SMALL, leaf)
         nodes = materialize(branch(rows, level), "path-nodes")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         nodes = materialize(nodes.join(sizes, "node"), "path-level")
@@ -305,7 +316,7 @@ def candidates(reps: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFram
         if large.isEmpty():
             break
         if last:
-            met = materialize(compare(split(large, block)), "path-found")
+            met = materialize(compare(split(large, min(BLOCK, leaf))), "path-found")
             found.append(met)
             share = met.filter(F.col("kind") == BLOCKS).groupBy(F.col("g").alias("node")).agg((F.sum("b") / F.sum("n")).alias("share"))
             alike = materialize(share.filter(F.lit(level >= DEEPEST) | (F.col("share") >= COHERENT)).select("node"), "path-coherent")
@@ -357,10 +368,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v")
         edges = materialize(small.distinct(), "links")
         if edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first() == before:
             break
@@ -379,29 +390,22 @@ def pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(texts.join(wanted.hint("merge"), "id"), "pair-texts")
 
 
-def group(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def group(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs`."""
     texts = anchors.narrow(docs)
     signed = materialize(signatures(texts), "signatures")
     classes = materialize(signed.filter("n > 0").groupBy("set_hi", "set_lo").agg(F.min(F.struct("id", "tokens", "short", "n")).alias("r")).select("set_hi", "set_lo", "r.*"), "set-classes")
     reps = classes.select("id", "tokens", "short", "n")
-    found, coherent = candidates(reps, block)
-    trees = found.filter(F.col("kind") == PAIR).select("g", "a", "b", F.col("n").alias("equal"))
-    pairs = materialize(trees.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
-    own = pair_texts(pairs, texts)
-    # First each document's likeliest pair, with a smaller and with a larger id; then what still lies across components.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
-    best = best.union(pairs.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))).distinct()
-    links = materialize(confirm(best, own), "confirmed")
+    found, coherent = candidates(reps, leaf)
+    trees = found.filter(F.col("kind") == PAIR).select("g", "a", "b")
+    pairs = materialize(trees.select("a", "b").distinct(), "pairs")
+    links = materialize(confirm(pairs, pair_texts(pairs, texts)), "confirmed")
     labels = components(links)
-    left = across(pairs.join(best, ["a", "b"], "left_anti"), labels)
-    more = materialize(confirm(left.select("a", "b"), own), "confirmed")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
     # A tree whose pairs are all within components is within one; else its further likely pairs are compared.
     failed = materialize(trees.join(across(pairs, labels).select("a", "b"), ["a", "b"]).select("g").distinct(), "failed")
-    wanted = found.filter(F.col("kind") == TREE).join(failed, "g", "left_semi").select(F.col("g").alias("node"), F.explode("ids").alias("id"))
+    # Trees of the same documents are one.
+    wanted = found.filter(F.col("kind") == TREE).join(failed, "g", "left_semi").groupBy("ids").agg(F.min("g").alias("node"))
+    wanted = wanted.select("node", F.explode("ids").alias("id"))
     if coherent is not None:
         untied = found.filter((F.col("kind") == BLOCKS) & (F.col("a") > 1)).select("g").union(failed).distinct()
         wanted = wanted.union(coherent.join(untied.withColumnRenamed("g", "node"), "node", "left_semi").select("node", "id"))
@@ -410,11 +414,8 @@ def group(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         more = materialize(compare_open(wanted, labels, reps, texts), "confirmed")
         if not more.isEmpty():
             labels = components(links.union(more))
-    found = (
-        signed.drop("tokens", "short")
-        .join(classes.select("set_hi", "set_lo", F.col("id").alias("rep")), ["set_hi", "set_lo"], "left")
-        .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "rep")).alias("component"))
-    )
+    sets = signed.filter("n > 0").select("id", "n", "set_hi", "set_lo").join(classes.select("set_hi", "set_lo", F.col("id").alias("rep")), ["set_hi", "set_lo"])
+    found = sets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component"))
+    found = found.union(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     null_last = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return found.select(null_last("id").alias("doc_id"), F.col("n").alias("n_shingles"), null_last("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -82,19 +82,19 @@ def test_twins_among_strangers_just_below_the_limit(spark):
     common = [100 * len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
     assert 70 < min(common) < 75 and sum(c >= 75 for c in common) == 1
     check(spark, rows)
-    check(spark, rows, block=40)  # all nodes are split, and coherent
+    check(spark, rows, leaf=40)  # all nodes are split, and coherent
 
 
 def test_branches_beyond_the_first_levels(spark, monkeypatch):
     """Large nodes that aren't coherent: many documents share a passage and little else."""
-    monkeypatch.setattr(chosen_path, "SMALL", 2)
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
     rng = random.Random(8)
     shared = [f"s{i}" for i in range(40)]
     rows = []
-    for _ in range(150):
+    for _ in range(100):
         base = [f"w{rng.randint(0, 9999)}" for _ in range(60)]
         rows += [" ".join(shared + base), " ".join(shared + base[:-2])] if rng.random() < 0.3 else [" ".join(shared + base)]
-    check(spark, list(enumerate(rows)), block=4)
+    check(spark, list(enumerate(rows)), leaf=8)
 
 
 def test_forest():
