@@ -46,8 +46,11 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple
 
 def hash_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
     """At most `size` rows by the order of the keys' hash. Rows beyond a multiple of `size` are left out before the sort,
-    so that what tasks send on stays in proportion to `size`, not to the number of tasks."""
+    so that what tasks send on stays in proportion to `size`, not to the number of tasks; but where repeated keys leave
+    too few, all are sorted."""
     n, h = df.count(), F.xxhash64(keys[0])
     if n > 2 * size:
-        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 1.5 * size / n))
+        some = df.filter(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 1.5 * size / n))
+        if some.count() >= size:
+            df = some
     return df.orderBy(h, *keys).limit(size)

@@ -54,7 +54,26 @@ _EDGE = ".,;:!?\"'()[]{}<>*#%&|$…«»„“”‘’-_/\\~^=+"
 _APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]+){3,}[^\W_](?!\S)")
 _SINGLE = re.compile(r"[^\W_](?:[.\-_*+][^\W_]){2,}")
 _LONG = re.compile(r"([^\W\d_])\1\1")
-_SIGN = re.compile(r"[^\W\d_].*[0-9@$!|+€£¡(<]+.*[^\W\d_]|[0-9@$!|+€£¡(<]+[^\W\d_]+.*[^\W\d_]|[^\W\d_]+[0-9@$|€£]+$")
+_MARKS = "0123456789@$!|+€£¡(<"
+_MARK, _MARK_LETTER = re.compile(f"[{re.escape(_MARKS)}]"), re.compile(rf"[{re.escape(_MARKS)}][^\W\d_]")
+_LETTER, _END_MARKS = re.compile(r"[^\W\d_]"), "0123456789@$|€£"
+
+
+def disguised(token: str) -> bool:
+    """Whether signs or digits stand among the letters: between two of them, before two or more, or after one at the end.
+    Each search is one pass, however long the token."""
+    if not _MARK.search(token) or not (first := _LETTER.search(token)):
+        return False
+    last = len(token) - 1
+    while not _LETTER.match(token, last):
+        last -= 1
+    if _MARK.search(token, first.start(), last):
+        return True
+    before = _MARK_LETTER.search(token)
+    if before and before.start() + 1 < last:
+        return True
+    head = token.rstrip(_END_MARKS)
+    return len(head) < len(token) and bool(head) and bool(_LETTER.match(head, len(head) - 1))
 
 
 def _class_table() -> np.ndarray:
@@ -87,8 +106,8 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def language_model(counts: dict[int, int]) -> np.ndarray:
-    """Natural logarithms of P(c | a, b), interpolated with P(c | b) and P(c), by code."""
+def language_model(counts: dict[int, int]) -> list[list[list[float]]]:
+    """Natural logarithms of P(c | a, b), interpolated with P(c | b) and P(c), as [a][b][c]."""
     tri = np.zeros(BASE**3)
     for code, n in counts.items():
         tri[code] = n
@@ -97,7 +116,7 @@ def language_model(counts: dict[int, int]) -> np.ndarray:
     uni /= uni.sum()
     bi = (bi + 2 * uni) / (bi.sum(1, keepdims=True) + 2)
     tri = (tri + 2 * bi) / (tri.sum(2, keepdims=True) + 2)
-    return np.log(tri).astype(np.float32)
+    return np.log(tri).tolist()
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -120,7 +139,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
+def decode(token: str, model: list) -> str:
     """The likeliest reading of the token's lattice: Viterbi search over the last two letters' classes."""
     best = {(0, 0): (0.0, None)}  # state -> cost, (letters, what was before)
     for readings in lattice(token):
@@ -130,12 +149,12 @@ def decode(token: str, model: np.ndarray) -> str:
                 x, y, total = a, b, cost + extra
                 for c in letters:
                     z = CLASS.get(c, OTHER)
-                    total -= float(model[x, y, z])
+                    total -= model[x][y][z]
                     x, y = y, z
                 if (x, y) not in new or total < new[x, y][0]:
                     new[x, y] = (total, (letters, trace))
         best = new
-    _, trace = min(((cost - float(model[a, b, 0]), trace) for (a, b), (cost, trace) in best.items()), key=lambda x: x[0])
+    _, trace = min(((cost - model[a][b][0], trace) for (a, b), (cost, trace) in best.items()), key=lambda x: x[0])
     parts = []
     while trace:
         parts.append(trace[0])
@@ -143,19 +162,19 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(parts))
 
 
-def restore(raw: str, model: np.ndarray) -> str:
+def restore(raw: str, model: list) -> str:
     """The token without marks at its edges, in lower case, and read through its disguise if it has one."""
     low = raw.lower()
     core = low.strip(_EDGE)
     if core and _SINGLE.fullmatch(core):
         return decode(re.sub(r"[.\-_*+]", "", core), model)
     signed = low.rstrip(".,;:!?\"')]}>*#%&|…»“”").lstrip(".,;:?\"'[{*#%&…«„“")
-    if _SIGN.search(signed):
+    if disguised(signed):
         return decode(signed, model).strip(_EDGE)
     return decode(core, model) if _LONG.search(core) else core
 
 
-def restored_tokens(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
+def restored_tokens(text: str, model: list, known: dict[str, str]) -> set[str]:
     """The distinct restored tokens of a whole text."""
     raw = set(text.split())
     out = set()
@@ -178,7 +197,8 @@ def features(token: str) -> list[str]:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, model, sample: int) -> DataFrame:
-    """(doc_id, toxic, half, tokens) of the sampled labelled rows; of near copies one."""
+    """(doc_id, toxic, half, tokens) of the sampled labelled rows; of those with one least shingle hash, which near copies
+    share, the one of the least id (then label, then tokens)."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     marks = only(labels, doc_id="long", toxic="int").filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(fold != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = materialize(hash_sample(marks, sample, "doc_id"), "toxic-sample")
@@ -199,7 +219,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, model, sample: int) -> DataFram
 
     # The sample has `sample` rows at most, so its ids may be sent to all.
     rows = only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = rows.mapInArrow(run, "doc_id long, toxic int, key long, tokens array<string>").dropDuplicates(["key"])
+    rows = rows.mapInArrow(run, "doc_id long, toxic int, key long, tokens array<string>")
+    rows = rows.groupBy("key").agg(F.min(F.struct("doc_id", "toxic", "tokens")).alias("r")).select("key", "r.*")
     return materialize(rows.withColumn("half", F.col("key") % 2 == 0), "toxic-tokens")
 
 
