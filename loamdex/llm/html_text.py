@@ -1,12 +1,18 @@
 """Main text of HTML pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events. A line is the text between two block boundaries; its ratio is its
-characters over its tags. The logarithms of the ratios are smoothed by a Gaussian over neighbouring lines and split in
-two clusters (one-dimensional 2-means); the midpoint of the clusters is the threshold. A region is a run of lines of
-one content container: an article or main element, or else the nearest sectioning element. A region with a line above
-the threshold is content, and all its lines are, short ones too. Where a page has articles, only they are candidates.
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are no candidates,
-by element or by the words of class, id and role.
+characters outside of links over its tags. The logarithms of the ratios are smoothed by a Gaussian over neighbouring
+lines and split in two clusters (one-dimensional 2-means); the midpoint of the clusters is the threshold.
+
+Article and main elements compete by their own lines' characters outside of links: the best one is the main article, with
+what its enclosing ones hold beside it; other articles (teasers, and readers' comments, which may be nested) are left
+out. Within it, a line that is mostly links goes if its smoothed ratio is below the threshold; all others stay, short ones
+too. If there is no such element, or the lines outside of them hold more than twice as much, a region is a run of
+lines of the nearest sectioning element, and those with a line above the threshold are content as a whole.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are no candidates, by
+element or by the words of class, id and role; within an article a header is part of it. An article inside of such an
+element counts only on a page that has nothing else, as where the element is never closed.
 
 Defined results: a null or empty page, or one without text, gives the empty text; an unclosed element ends with its
 parent; repeated rows are extracted alike; an empty table gives no rows; extra columns are ignored.
@@ -18,6 +24,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +42,6 @@ _BLOCK = frozenset(
 _SECTION = frozenset("article aside body div footer form header main nav section table td".split())
 _SILENT = frozenset("audio button canvas datalist head iframe input label map math noscript object option script select style svg template textarea title video".split())
 _BOILERPLATE = frozenset("aside dialog fieldset footer form header menu nav".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Words in class or id that mark what isn't the article.
 _MARK = re.compile(
@@ -44,33 +50,56 @@ _MARK = re.compile(
     r"sidenav|social|sponsor|sponsored|subscribe|tags|toolbar|widget)(?:$|[\s_\d-])",
     re.I,
 )
+#: Class words that tell of a mark elsewhere; and marks that are part of an article within one.
+_ABOUT = ("has-", "no-", "with-", "without-", "hide-", "show-")
+_OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_\d-])", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?]")
 #: What an opening tag closes implicitly, up to the nearest of these ends.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+class _Line(NamedTuple):
+    text: str
+    free: int  # characters outside of links
+    tags: int
+    region: int
+    article: int  # the innermost article or main element, 0 outside
+    spare: bool  # in an article within boilerplate
+
+
+class _Open(NamedTuple):
+    tag: str
+    silent: bool = False
+    boilerplate: bool = False
+    region: int = 0
+    article: int = 0
+    spare: bool = False
+    link: bool = False
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, region, is in an article) of each candidate line."""
+    """Collects the candidate lines, and the article around each article (0 for none)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, silent, boilerplate, region, in an article
-        self.silent = self.boilerplate = self.article = False
-        self.region = self.regions = 0
+        self.lines: list[_Line] = []
+        self.around: dict[int, int] = {}
+        self.stack: list[_Open] = []
+        self.now = _Open("")
+        self.regions = 0
         self.text: list[str] = []
-        self.tags = 0
+        self.free = self.tags = 0
 
     def _line(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.lines.append((text, self.tags, self.region, self.article))
+                self.lines.append(_Line(text, min(self.free, len(text)), self.tags, self.now.region, self.now.article, self.now.spare))
                 self.tags = 0
-            self.text = []
+            self.text, self.free = [], 0
 
     def _restore(self) -> None:
-        _, self.silent, self.boilerplate, self.region, self.article = self.stack[-1] if self.stack else ("", False, False, 0, False)
+        self.now = self.stack[-1] if self.stack else _Open("", region=self.now.region if self.regions else 0)
 
     def _pop_to(self, depth: int) -> None:
         del self.stack[depth:]
@@ -81,38 +110,49 @@ class _Lines(HTMLParser):
         if tag in _BLOCK:
             self._line()
             for i in range(len(self.stack) - 1, -1, -1):  # a block ends a paragraph
-                if self.stack[i][0] == "p":
+                if self.stack[i].tag == "p":
                     self._pop_to(i)
                     break
-                if self.stack[i][0] in _BLOCK:
+                if self.stack[i].tag in _BLOCK:
                     break
         elif tag == "br":
             self.text.append(" ")
         if tag in _CLOSES:
             closed, ends = _CLOSES[tag]
             for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in closed:
+                if self.stack[i].tag in closed:
                     self._pop_to(i)
-                elif self.stack[i][0] in ends:
+                elif self.stack[i].tag in ends:
                     break
         if tag in _VOID:
             return
-        silent, boilerplate, article, region = self.silent or tag in _SILENT, self.boilerplate, self.article, self.region
-        marks = [v for k, v in attrs if k in ("class", "id") and v]
-        marked = any(map(_MARK.search, marks)) or any(k == "role" and v in _ROLES or k == "hidden" for k, v in attrs)
+        _, silent, boilerplate, region, article, spare, link = self.now
+        silent, link = silent or tag in _SILENT, link or tag == "a"
+        marked = tag not in ("html", "body") and self._marked(attrs, bool(article))
         if tag in ("article", "main") or ("role", "main") in attrs:
-            boilerplate = marked  # an article ends what was left open before it
-            silent, article = False, True
+            spare = spare or boilerplate
+            silent, boilerplate, link = False, marked, False  # an article ends what was left open before it
+            self.around[len(self.around) + 1] = article
+            article = len(self.around)
         elif tag in _BLOCK and tag not in ("html", "body") or marked:
-            boilerplate = boilerplate or tag in _BOILERPLATE or marked
-            if boilerplate and self.article and tag in _HEADINGS and self.stack and self.stack[-1][0] in ("header", "hgroup") and not marked:
-                boilerplate = False  # the article's own title
-        if tag in _SECTION and not (article and self.article):
+            boilerplate = boilerplate or marked or tag in _BOILERPLATE and not (article and tag == "header")
+        if tag in _SECTION:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, silent, boilerplate, region, article))
+        self.stack.append(_Open(tag, silent, boilerplate, region, article, spare, link))
         self._restore()
 
+    @staticmethod
+    def _marked(attrs: list, in_article: bool) -> bool:
+        for k, v in attrs:
+            if k == "hidden" or k == "role" and v in _ROLES:
+                return True
+            if k in ("class", "id") and v:
+                words = " ".join(w for w in v.split() if not w.lower().startswith(_ABOUT))
+                if _MARK.search(_OWN_HEADER.sub(" ", words) if in_article else words):
+                    return True
+        return False
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
@@ -121,27 +161,22 @@ class _Lines(HTMLParser):
         if tag in _BLOCK:
             self._line()
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 self._pop_to(i)
                 break
-            if self.stack[i][0] in ("article", "main") and tag not in ("html", "body", "article", "main"):
+            if self.stack[i].tag in ("article", "main") and tag not in ("html", "body", "article", "main"):
                 break  # a stray end doesn't leave the article
-        if not self.stack or self.stack[-1][0] in ("body", "html", "article", "main", "div", "section"):
-            self.region = self._after(tag)
-
-    def _after(self, tag: str) -> int:
-        """Lines after a closed section of the same parent are a region of their own, but in an article."""
-        if tag in _SECTION and not self.article:
+        if tag in _SECTION:  # lines after a closed section of the same parent are a region of their own
             self.regions += 1
+            self.now = self.now._replace(region=self.regions)
             if self.stack:
-                t, s, b, _, a = self.stack[-1]
-                self.stack[-1] = (t, s, b, self.regions, a)
-            return self.regions
-        return self.region
+                self.stack[-1] = self.now
 
     def handle_data(self, data: str) -> None:
-        if not (self.silent or self.boilerplate):
+        if not (self.now.silent or self.now.boilerplate):
             self.text.append(data)
+            if not self.now.link:
+                self.free += len(data.strip())
 
     def parse_html_declaration(self, i: int) -> int:
         """A marked section is a comment up to the next >, as in browsers; the library stops at names it doesn't know."""
@@ -190,14 +225,27 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    # Boilerplate's articles count only where there is nothing else.
+    lines = [x for x in parser.lines if not x.spare] or parser.lines
     if not lines:
         return ""
-    smooth = _smoothed([math.log1p(len(text) / max(1, tags)) for text, tags, _, _ in lines])
-    candidates = [i for i, line in enumerate(lines) if line[3]] or list(range(len(lines)))
-    limit = _threshold([smooth[i] for i in candidates])
-    content = {lines[i][2] for i in candidates if smooth[i] >= limit}
-    return "\n".join(lines[i][0] for i in candidates if lines[i][2] in content)
+    smooth = _smoothed([math.log1p(x.free / max(1, x.tags)) for x in lines])
+    own: dict[int, int] = {}
+    for x in lines:
+        own[x.article] = own.get(x.article, 0) + x.free
+    outside = own.pop(0, 0)
+    best = max(own, key=lambda a: (own[a], -a), default=0)
+    if best and outside <= 2 * sum(own.values()):
+        chosen = set()
+        while best:
+            chosen.add(best)
+            best = parser.around[best]
+        at = [i for i, x in enumerate(lines) if x.article in chosen]
+        limit = _threshold([smooth[i] for i in at])
+        return "\n".join(lines[i].text for i in at if 2 * lines[i].free >= len(lines[i].text) or smooth[i] >= limit)
+    limit = _threshold(smooth)
+    content = {x.region for x, value in zip(lines, smooth, strict=True) if value >= limit}
+    return "\n".join(x.text for x in lines if x.region in content)
 
 
 def extract(pages: DataFrame) -> DataFrame:

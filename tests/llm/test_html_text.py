@@ -31,6 +31,32 @@ def test_edges():
     assert main_text("<article><p>a" + "<b>" * 3000 + "b") == "ab"
 
 
+STORY = "<p>The story has a long first paragraph, and it goes on for a while.</p><p>Then there is a second one, which is long too.</p>"
+TOLD = "The story has a long first paragraph, and it goes on for a while.\nThen there is a second one, which is long too."
+
+
+def test_articles_in_boilerplate():
+    page = f'<body><article>{STORY}</article><aside class="related"><article>Teaser of another story</article></aside><div id="comments"><article>I think this comment is longer than the whole story, so I go on and on and on and on and on, and on, and on, and on, and on, and on, and on.</article></div></body>'
+    assert main_text(page) == TOLD
+
+
+def test_main_article_among_several():
+    teasers = "<article><h2>Other news</h2><p>A few words of it.</p></article>" * 3
+    assert main_text(f"<main>{teasers}<article>{STORY}</article>{teasers}</main>") == TOLD
+    assert main_text(f"<main><h1>Head</h1><article>{STORY}<article><p>A reader's reply.</p></article></article></main>") == f"Head\n{TOLD}"
+    assert main_text(f"<div>{STORY * 4}</div><div><article>Teaser</article></div>") == "\n".join([TOLD] * 4)
+
+
+def test_links_alone():
+    links = "<ul><li><a href=/1>One more story</a><li><a href=/2>And one more</a></ul>"
+    assert main_text(f"<article>{STORY}{links}{STORY}<p>See <a href=/x>this</a> as well.</p></article>") == f"{TOLD}\n{TOLD}\nSee this as well."
+
+
+def test_headers_and_marks_in_articles():
+    page = f'<body class="header-fixed"><article class="post has-comments"><div class="header"><h1>Title</h1><p>By Ann</p></div><header><p>Lead</p></header>{STORY}<div class="share">Share it</div></article>'
+    assert main_text(page) == f"Title\nBy Ann\nLead\n{TOLD}"
+
+
 def plain(page: str) -> str:
     """The article of the test tables' simple pages, by string operations."""
     body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
