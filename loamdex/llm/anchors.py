@@ -250,7 +250,7 @@ def _refined(fp: int, context: bytes) -> int:
 Solver = Callable[[list[bytes], list[int], list[int]], Iterator[tuple[int, int, int]]]
 
 
-def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window: int, between: bool) -> DataFrame:
+def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window: int) -> DataFrame:
     """(id, tag, lo, hi): runs of units to remove. In each fp's rows, by id and start, the first of equal segments is met
     first: those after it are repeats as a whole, and only the distinct ones are kept and given to the solver."""
 
@@ -271,11 +271,10 @@ def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window:
         size, now, seen = 0, None, {}
 
         def settle() -> None:
-            if len(kept) > 1 or kept and not between:
+            if kept:
                 for i, first, last in solver([k[0] for k in kept], [k[1] for k in kept], [k[3][0] for k in kept]):
                     _, id_, tag, starts = kept[i]
-                    for start in starts if between else starts[:1]:
-                        add(id_, tag, start + first, start + last + window)
+                    add(id_, tag, starts[0] + first, starts[0] + last + window)
             kept.clear()
 
         for batch in batches:
@@ -286,10 +285,7 @@ def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window:
                         size = 0
                     now, seen = fp, {}
                 first = seen.setdefault(segment, (id_, starts[0]))
-                if between:
-                    repeats = starts if first[0] < id_ else []  # within one document nothing repeats
-                else:
-                    repeats = [s for s in starts if first < (id_, s)]
+                repeats = [s for s in starts if first < (id_, s)]
                 if len(repeats) < len(starts):
                     kept.append((segment, id_, tag, starts))
                     size += len(segment)

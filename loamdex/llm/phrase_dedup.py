@@ -1,12 +1,20 @@
 """Removal of repeated passages by automata.
 
-Texts that share 50 words in a row are brought together in segments (see `anchors`). Within a shard of segments,
-recurring passages are confirmed: longest runs of 50-word windows whose hash occurs in several texts. The passages are
-cut into blocks of 25 words, at fixed steps, and compiled into an Aho-Corasick automaton, one for each shard. All the
-shard's text is streamed through it. Every 50-word window of a passage holds a whole block, so each occurrence is
-located by a block and then compared word by word to both sides; the earliest document of each window follows.
+Texts that share 50 words in a row are brought together in segments (see `anchors`), whose rows all have the same anchor.
 
-Words are letters of the automaton's alphabet (one code point each, numbered within the shard).
+    confirm   of each anchor's distinct segments (equal ones are folded before the shuffle): windows of 50 words that are
+              found with several ids. A passage is a run of such windows in the segment of the least id that holds them
+    compile   an anchor's passages are cut into blocks of 25 words, at fixed steps; those of as many anchors as fill a
+              shard are compiled into one Aho-Corasick automaton
+    stream    the segments of all documents are streamed through their shard's automaton. Every 50-word window of a
+              passage holds a whole block, so each occurrence is located by a block and then compared word by word to both
+              sides. What lies in a passage that a smaller id holds is removed
+
+Parts of a document that no segment covers have anchors that occur nowhere else, so they hold no passage. Segments and
+passages meet by a sorted merge on the anchor, which adaptive execution may split where one anchor is very common.
+
+Words are letters of the automaton's alphabet (one code point each, numbered within the shard; one letter stands for all
+words that no passage holds).
 
 Defined results: a null text has no words; a null doc_id is larger than any other; rows that share a doc_id are the
 same document, whose windows are no repeats of each other; an empty table gives no rows; extra columns are ignored.
@@ -21,20 +29,23 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loamdex.llm import anchors
 from loamdex.llm.anchors import Words
+from loamdex.llm.common import sub_batches
+from loamdex.session import materialize
 
 WINDOW, GRAM = 50, 20
 #: Words of a block; every window of 2 * BLOCK - 1 words or more holds one that begins at a multiple of BLOCK.
 BLOCK = 25
 
 
-def recurring(words: list[list[bytes]], ids: list[int]) -> list[tuple[int, int, int]]:
-    """Runs (segment, first, last) of windows whose hash is found with two ids or more."""
+def recurring(words: list[list[bytes]], least: list[int], most: list[int]) -> list[tuple[int, int, int]]:
+    """The passages, as runs (segment, first, last) of windows whose hash is found with two ids or more. `least` and `most`
+    are the ids of the documents that hold a segment; each window is told once, in the segment of the least id."""
     joined = b"\n".join(b" ".join(w) for w in words) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    begin, end = anchors.word_spans(data)
+    begin, end = anchors.word_spans(data := np.frombuffer(joined, np.uint8))
     size = np.fromiter(map(len, words), np.int64, len(words))
     owner = np.repeat(np.arange(len(words)), size)
     inside = np.arange(len(begin)) - (np.cumsum(size) - size)[owner]
@@ -42,16 +53,18 @@ def recurring(words: list[list[bytes]], ids: list[int]) -> list[tuple[int, int,
         return []
     hashes = anchors.rolling(anchors.word_values(data, begin, end), WINDOW)
     at = np.flatnonzero(inside[: len(hashes)] + WINDOW <= size[owner[: len(hashes)]])
-    rank = np.unique(np.array(ids), return_inverse=True)[1][owner[at]]
-    order = np.lexsort((rank, hashes[at]))
-    sorted_hash, sorted_rank = hashes[at][order], rank[order]
-    group = np.flatnonzero(np.concatenate([[True], sorted_hash[1:] != sorted_hash[:-1]])) if len(at) else np.zeros(0, int)
-    many = np.maximum.reduceat(sorted_rank, group) > np.minimum.reduceat(sorted_rank, group) if len(at) else group
-    again = np.sort(at[order[np.repeat(many, np.diff(np.append(group, len(at))))]]) if len(at) else at
-    if not len(again):
+    if not len(at):
+        return []
+    low, high = np.array(least)[owner[at]], np.array(most)[owner[at]]
+    order = np.lexsort((at, low, hashes[at]))
+    sorted_hash = hashes[at][order]
+    group = np.flatnonzero(np.concatenate([[True], sorted_hash[1:] != sorted_hash[:-1]]))
+    many = np.maximum.reduceat(high[order], group) > low[order][group]
+    first = np.sort(at[order[group[many]]])
+    if not len(first):
         return []
-    cut = np.flatnonzero((again[1:] != again[:-1] + 1) | (owner[again[1:]] != owner[again[:-1]]))
-    firsts, lasts = again[np.append(0, cut + 1)], again[np.append(cut, len(again) - 1)]
+    cut = np.flatnonzero((first[1:] != first[:-1] + 1) | (owner[first[1:]] != owner[first[:-1]]))
+    firsts, lasts = first[np.append(0, cut + 1)], first[np.append(cut, len(first) - 1)]
     return list(zip(owner[firsts].tolist(), inside[firsts].tolist(), inside[lasts].tolist(), strict=True))
 
 
@@ -84,66 +97,122 @@ def _reach(a: str, x: int, b: str, y: int, step: int) -> int:
     return low
 
 
-def earliest(passages: list[str], ids: list[int]) -> list[np.ndarray]:
-    """For each window of each passage, the least id of the passages that hold it."""
-    out = [np.full(len(p) - WINDOW + 1, ids[i]) for i, p in enumerate(passages)]
-    automaton = compile_blocks(passages)
-    for j, p in enumerate(passages):
-        best = out[j]
-        met = set()
-        for last, where in automaton.iter(p):
+class Shard:
+    """The automaton of some passages, each with the least id that holds it."""
+
+    def __init__(self, passages: list[tuple[bytes, int]]):
+        self.letters: dict[bytes, str] = {}
+        self.texts = [self._text(p.split(b" "), True) for p, _ in passages]
+        self.least = [i for _, i in passages]
+        self.automaton = compile_blocks(self.texts) if passages else None
+
+    def _text(self, words: list[bytes], learn: bool = False) -> str:
+        if learn:
+            for w in words:
+                if w not in self.letters:
+                    n = len(self.letters) + 2
+                    self.letters[w] = chr(n if n < 0xD800 else n + 0x800)  # surrogates stand for no letter
+        return "".join([self.letters.get(w, "\x01") for w in words])
+
+    def locate(self, segment: bytes) -> list[tuple[int, int, int]]:
+        """Runs of words (first, end) of the segment that a passage holds, and the passage's least id."""
+        if self.automaton is None:
+            return []
+        text, out, met = self._text(segment.split(b" ")), [], set()
+        for last, where in self.automaton.iter(text):
             x = last - BLOCK + 1
             for i, y in where:
-                if ids[i] >= ids[j] or (i, x - y) in met:
+                if (i, x - y) in met:
                     continue
-                left = _reach(p, x, passages[i], y, -1)
-                right = _reach(p, x + BLOCK, passages[i], y + BLOCK, 1)
+                p = self.texts[i]
+                left, right = _reach(text, x, p, y, -1), _reach(text, x + BLOCK, p, y + BLOCK, 1)
+                if left == min(x, y) and right == min(len(text) - x, len(p) - y) - BLOCK:
+                    met.add((i, x - y))  # the whole overlap is equal, so other blocks tell nothing new
                 if left + BLOCK + right >= WINDOW:
-                    if left == min(x, y) and right == min(len(p) - x, len(passages[i]) - y) - BLOCK:
-                        met.add((i, x - y))  # the whole overlap is equal, so other blocks tell nothing new
-                    a, b = x - left, x + BLOCK + right - WINDOW
-                    np.minimum(best[a : b + 1], ids[i], out=best[a : b + 1])
+                    out.append((x - left, x + BLOCK + right, self.least[i]))
+        return out
+
+
+def passages(cut: DataFrame) -> DataFrame:
+    """(fp, passages): the confirmed passages of each anchor with the least id of each. `cut` are the segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fps: list[int] = []
+        parts: list[list[bytes]] = []
+        least: list[int] = []
+        most: list[int] = []
+        size = 0
+
+        def settle() -> pa.RecordBatch:
+            found: dict[int, list[dict]] = {}
+            # A window has one anchor, so those of different anchors are never equal.
+            for j, first, last in recurring(parts, least, most) if parts else ():
+                found.setdefault(fps[j], []).append({"text": b" ".join(parts[j][first : last + WINDOW]), "least": least[j]})
+            made = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.list_(pa.struct([("text", pa.binary()), ("least", pa.int64())])))], ["fp", "passages"])
+            for column in (fps, parts, least, most):
+                column.clear()
+            return made
+
+        for batch in batches:
+            for fp, segment, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > anchors.SOLVE_BYTES and fp != fps[-1]:
+                    yield settle()
+                    size = 0
+                for column, value in zip((fps, parts, least, most), (fp, segment.split(b" "), lo, hi), strict=True):
+                    column.append(value)
+                size += len(segment)
+        yield settle()
+
+    folded = cut.groupBy("fp", "segment").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    ordered = folded.repartition("fp").sortWithinPartitions("fp", "lo", "segment")
+    return ordered.mapInArrow(run, "fp long, passages array<struct<text: binary, least: long>>")
+
+
+def located(cut: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(id, tag, lo, hi): runs of words to remove, found by streaming the segments `cut` through the automata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            fps = column["fp"].to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]])) if len(fps) else []
+            sizes = (column["n"].to_numpy()).tolist()
+            out: tuple[list, ...] = ([], [], [], [])
+            for begin, end in sub_batches(sizes, anchors.SOLVE_BYTES):
+                firsts = sorted({begin, *(int(x) for x in new if begin <= x < end)})
+                shard = Shard(list(dict.fromkeys((p["text"], p["least"]) for r in firsts for p in column["passages"][r].as_py())))
+                part = [column[c].slice(begin, end - begin).to_pylist() for c in ("id", "tag", "starts", "segment")]
+                known: dict[bytes, list[tuple[int, int, int]]] = {}
+                for id_, tag, starts, segment in zip(*part, strict=True):
+                    if (runs := known.get(segment)) is None:
+                        runs = known[segment] = shard.locate(segment)
+                    for lo, hi in _merged([(a, b) for a, b, least in runs if least < id_]):
+                        for start in starts:
+                            for c, value in zip(out, (id_, tag, start + lo, start + hi), strict=True):
+                                c.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "tag", "lo", "hi"])
+
+    met = cut.hint("merge").join(confirmed, "fp").select("fp", "id", "tag", "starts", "segment", "passages", F.length("segment").alias("n"))
+    return met.mapInArrow(run, "id long, tag int, lo int, hi int")
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(runs):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
     return out
 
 
-def solver(parts: list[bytes], ids: list[int], starts: list[int]) -> Iterator[tuple[int, int, int]]:
-    """Runs of windows of the distinct segments `parts` that a smaller id holds too: (segment, first, last)."""
-    words = [p.split(b" ") for p in parts]
-    runs = recurring(words, ids)
-    letters: dict[bytes, str] = {}
-    least: dict[str, int] = {}
-    texts = []
-    for j, first, last in runs:
-        out = []
-        for w in words[j][first : last + WINDOW]:
-            c = letters.get(w)
-            if c is None:
-                n = len(letters) + 1
-                c = letters[w] = chr(n if n < 0xD800 else n + 0x800)  # surrogates stand for no letter
-            out.append(c)
-        text = "".join(out)
-        texts.append(text)
-        least[text] = min(least.get(text, ids[j]), ids[j])
-    passages = list(least)
-    first_of = dict(zip(passages, earliest(passages, [least[p] for p in passages]), strict=True)) if passages else {}
-    for (j, first, _), text in zip(runs, texts, strict=True):
-        later = np.flatnonzero(first_of[text] < ids[j])
-        if len(later):
-            cut = np.flatnonzero(later[1:] != later[:-1] + 1)
-            for a, b in zip(later[np.append(0, cut + 1)].tolist(), later[np.append(cut, len(later) - 1)].tolist(), strict=True):
-                yield j, first + a, first + b
-
-
-def _units(segment: bytes) -> int:
-    return segment.count(b" ") + 1
-
-
 def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(texts, runs of words to remove)."""
     texts = anchors.narrow(docs, carry)
     found = anchors.occurrences(texts, Words, WINDOW, GRAM)
-    cut = anchors.segments(texts, found, Words, WINDOW, GRAM, between=True)
-    return texts, anchors.solve(cut, solver, _units, WINDOW, between=True)
+    # Written, so that both passes read it.
+    cut = materialize(anchors.segments(texts, found, Words, WINDOW, GRAM, between=True), "segments")
+    return texts, located(cut, materialize(passages(cut), "passages"))
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]], copy: bool) -> tuple[int, list[bytes]]:

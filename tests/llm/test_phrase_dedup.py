@@ -71,5 +71,15 @@ def test_hot_phrase(spark, monkeypatch):
     check(spark, [(i, " ".join([text(60), phrase, text(60), passage if i % 2 else "", text(3)])) for i in range(30)])
 
 
+def test_the_automaton_locates_the_occurrences(spark, monkeypatch):
+    text = maker(6)
+    a, b = text(70), text(90)
+    frame = spark.createDataFrame([(1, a), (2, f"x {a}"), (3, b), (4, f"{b} {a}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in phrase_dedup.digests(frame).collect()} == {1: 0, 2: 70, 3: 0, 4: 160}
+    shard = phrase_dedup.Shard([(a.encode(), 1), (b.encode(), 3)])
+    assert sorted(shard.locate(f"{b} {a}".encode())) == [(0, 90, 3), (90, 160, 1)]
+    assert shard.locate(f"{' '.join(a.split()[:49])} {b[:9]}".encode()) == [] == phrase_dedup.Shard([]).locate(a.encode())
+
+
 def test_test_table(spark):
     check(spark, [(r.doc_id, r.text) for r in table(spark, "documents").collect()])
