@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
 Base statistics of every text decide the fixed base rule. Further rules reject a text when a statistic is above a
-cutoff. The cutoffs are chosen for each stratum (language) on labelled texts: a cutoff is certified when the exact
-binomial test rejects "it turns away more than `alpha` of the good texts" at level `delta`, divided by the number of
-all tests made (strata x rules x cutoffs on the grid). The strictest certified cutoff of a rule is used; where none is
-certified, the rule stays off in that stratum. `alpha` is `ALPHA` divided by the number of rules, so that all rules
-together turn away at most `ALPHA` of a stratum's good texts, with confidence `1 - DELTA` over all strata at once.
+cutoff. The cutoffs stand on a ladder from loose to strict, all rules together: level i has the i-th cutoff of each, and
+what a level rejects, all stricter ones do. For each stratum (language), labelled texts certify levels: a level
+is certified when the exact binomial test rejects "it turns away more than `alpha` of the good texts". The levels are
+tested from loose to strict up to the first failure, which needs no correction (a fixed sequence); the strata share
+`delta` equally (Bonferroni). A stratum takes part if its number of labelled texts could certify anything at its share, which
+depends on no outcome. The strictest certified level is used; a stratum without one has the base rule alone. So in
+no stratum more than `alpha` of the good texts are turned away, with confidence `1 - delta` over all strata at once.
 
 Defined results: a null text has no words (so `base_failed`); a null or unknown language falls in stratum `other`;
 repeated rows are judged alike, each once; labels that are null count for nothing, and a document labelled both ways
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loamdex.llm.common import SPACE, only, words
 from loamdex.session import materialize
@@ -23,12 +26,12 @@ from loamdex.session import materialize
 LANGS = ("en", "fr", "de", "es")
 ALPHA = 0.02
 DELTA = 0.05
-#: Statistic -> cutoffs, from strict to loose. The grids don't depend on the data.
-GRIDS = {
-    "symbol_ratio": (0.005, 0.01, 0.02, 0.05, 0.1, 0.2),
-    "dup_line_ratio": (0.1, 0.2, 0.3, 0.4, 0.5, 0.7),
-    "repeat_ratio": (0.1, 0.15, 0.2, 0.3, 0.4),
-    "mean_word_chars": (9.0, 10.0, 12.0, 15.0, 20.0),
+#: Statistic -> cutoffs, from loose to strict, one for each level. The ladder doesn't depend on the data.
+LADDER = {
+    "symbol_ratio": (0.2, 0.1, 0.05, 0.02, 0.01, 0.005),
+    "dup_line_ratio": (0.7, 0.5, 0.4, 0.3, 0.2, 0.1),
+    "repeat_ratio": (0.45, 0.4, 0.35, 0.3, 0.2, 0.15),
+    "mean_word_chars": (20.0, 15.0, 12.0, 11.0, 10.0, 9.0),
 }
 
 #: Words in 3-word windows that a text holds twice or more. `w` are the words, `s` the windows sorted with their
@@ -77,51 +80,60 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grids: dict = GRIDS) -> DataFrame:
-    """(stratum, rule, cutoff), at most one row for each stratum and rule.
+def _rejected_from(ladder: dict) -> Column:
+    """The loosest level that rejects a text; null if none does."""
+    ratios, levels = _ratios(), len(next(iter(ladder.values())))
+    at = F.lit(None).cast("int")
+    for i in reversed(range(levels)):
+        above = F.lit(False)
+        for rule, cutoffs in ladder.items():
+            above = above | (ratios[rule] > F.lit(float(cutoffs[i])))
+        at = F.when(above, F.lit(i)).otherwise(at)
+    return at
+
+
+#: ln(x!) by its exact value or Stirling's series (within 1e-12), and P(Binomial(n, a) <= k) for k < a n: its terms from
+#: the k-th down, each by the ratio to the one before, as many as matter.
+_FACTORIAL = "CASE WHEN {x} < 20 THEN ln(factorial(cast(least({x}, 19) AS int))) ELSE ({x} + 0.5D) * ln({x}) - {x} + 0.91893853320467274D + 1 / (12D * {x}) - 1 / (360D * pow({x}, 3)) + 1 / (1260D * pow({x}, 5)) END"
+_TAIL = """
+exp({n_} - {k_} - {r_} + k * ln({a}D) + (n - k) * ln(1 - {a}D)) *
+  aggregate(sequence(0L, least(k, 200L + 40L * cast(ceil(sqrt(k)) AS bigint))), named_struct('term', 1D, 'sum', 0D),
+    (acc, j) -> named_struct('term', acc.term * (k - j) * (1 - {a}D) / ((n - k + j + 1) * {a}D), 'sum', acc.sum + acc.term), acc -> acc.sum)
+"""
 
-    The exact test: with n good texts, k of them above the cutoff, P(Binomial(n, a) <= k) is at most delta / tests.
-    """
-    tests = (len(LANGS) + 1) * sum(map(len, grids.values()))
-    a = alpha / len(grids)
-    good = only(labels, doc_id="long", quality="int").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    held = stats.filter(~base_failed()).join(good, "doc_id", "left_semi").withColumn("stratum", _stratum())
-    ratios = _ratios()
-    counts = held.groupBy("stratum").agg(
-        F.count("*").alias("n"),
-        *[F.count_if(ratios[rule] > F.lit(c)).alias(f"{rule}__{i}") for rule, grid in grids.items() for i, c in enumerate(grid)],
-    )
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}__{i}").alias("k"))
-        for rule, grid in grids.items()
-        for i, c in enumerate(grid)
-    ]))
-    tail = F.expr(
-        f"""aggregate(sequence(0L, k), named_struct('log', n * ln(1 - {a}D), 'sum', 0D),
-              (acc, j) -> named_struct('log', acc.log + ln((n - j) / (j + 1D)) + ln({a}D / (1 - {a}D)), 'sum', acc.sum + exp(acc.log)),
-              acc -> acc.sum)"""
-    )
-    return (
-        counts.select("stratum", "n", rows.alias("r"))
-        .select("stratum", "n", "r.*")
-        .filter(F.col("k") < F.lit(a) * F.col("n"))
-        .filter(tail <= F.lit(delta / tests))
-        .groupBy("stratum", "rule")
-        .agg(F.min("cutoff").alias("cutoff"))
-    )
 
+def tail(a: float) -> Column:
+    n, k, r = (_FACTORIAL.format(x=f"cast({x} AS double)") for x in ("n", "k", "(n - k)"))
+    return F.expr(_TAIL.format(a=repr(a), n_=n, k_=k, r_=r))
 
-def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grids: dict = GRIDS) -> DataFrame:
+
+def certified_levels(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, ladder: dict = LADDER) -> DataFrame:
+    """(stratum, level): the strictest certified level, at most one row for each stratum."""
+    levels = len(next(iter(ladder.values())))
+    good = only(labels, doc_id="long", quality="int").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
+    held = stats.filter(~base_failed()).join(good, "doc_id", "left_semi").select(_stratum().alias("stratum"), _rejected_from(ladder).alias("at"))
+    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("at") <= i).alias(f"k{i}") for i in range(levels)])
+    # A row for each stratum. The most that can take part: the m-th largest n must do at delta / m, were nothing rejected.
+    ranked = counts.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "stratum")))
+    able = F.when(F.pow(F.lit(1 - alpha), F.col("n")) <= F.lit(delta) / F.col("rank"), F.col("rank"))
+    tested = ranked.withColumn("tests", F.max(able).over(W.partitionBy())).filter("rank <= tests")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("k")) for i in range(levels)]))
+    passed = (F.col("k") < F.lit(alpha) * F.col("n")) & (tail(alpha) <= F.lit(delta) / F.col("tests"))
+    rows = tested.select("stratum", "n", "tests", each.alias("e")).select("stratum", "n", "tests", "e.*").withColumn("passed", passed)
+    failed = rows.groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.col("passed"), F.col("level"))), F.lit(levels)).alias("failed"))
+    return failed.filter("failed > 0").select("stratum", (F.col("failed") - 1).alias("level"))
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, ladder: dict = LADDER) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row of `docs`.
 
     The statistics, a few numbers a text, are written once; both the certification and the verdict read them. The
-    cutoffs come to the driver as at most (languages + 1) x rules rows and are compiled into one column expression.
+    levels come to the driver as a row for each stratum and are compiled into one column expression.
     """
     stats = materialize(base_statistics(docs), "rule-statistics")
-    cutoffs = certified_cutoffs(stats, labels, alpha, delta, grids).collect()
-    ratios, rejected = _ratios(), F.lit(False)
-    for row in sorted(cutoffs):
-        rejected = rejected | ((_stratum() == row.stratum) & (ratios[row.rule] > F.lit(row.cutoff)))
+    rejected = F.lit(False)
+    for row in sorted(certified_levels(stats, labels, alpha, delta, ladder).collect()):
+        rejected = rejected | ((_stratum() == row.stratum) & F.coalesce(_rejected_from(ladder) <= row.level, F.lit(False)))
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"),
@@ -131,8 +143,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
 def oracle() -> str:
     """The same verdicts as DuckDB SQL."""
-    a, tests = ALPHA / len(GRIDS), (len(LANGS) + 1) * sum(map(len, GRIDS.values()))
-    grid = ", ".join(f"('{rule}', {c!r}::DOUBLE)" for rule, cs in GRIDS.items() for c in cs)
+    ladder = ", ".join(f"('{rule}', {i}, {c!r}::DOUBLE)" for rule, cs in LADDER.items() for i, c in enumerate(cs))
+    levels = len(LADDER["symbol_ratio"])
     langs = ", ".join(f"'{x}'" for x in LANGS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS stratum FROM documents),
@@ -149,10 +161,13 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
   n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word_chars FROM s),
 v AS (SELECT rid, stratum, rule, value FROM b UNPIVOT (value FOR rule IN (symbol_ratio, dup_line_ratio, repeat_ratio, mean_word_chars))),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-grid(rule, cutoff) AS (VALUES {grid}),
-k AS (SELECT v.stratum, v.rule, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM v JOIN b USING (rid) JOIN good USING (doc_id) JOIN grid ON grid.rule = v.rule WHERE NOT base_failed GROUP BY ALL),
-c AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM k WHERE k < {a} * n AND
-  list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a})))) <= {DELTA / tests!r} GROUP BY ALL),
-bad AS (SELECT DISTINCT rid FROM v JOIN c USING (stratum, rule) WHERE value > cutoff)
+ladder(rule, level, cutoff) AS (VALUES {ladder}),
+r AS (SELECT rid, stratum, min(level) AS lowest FROM v JOIN ladder USING (rule) WHERE value > cutoff GROUP BY ALL),
+k AS (SELECT b.stratum, l.level, count(*) AS n, count(*) FILTER (lowest <= l.level) AS k FROM b JOIN good USING (doc_id) LEFT JOIN r USING (rid) CROSS JOIN (SELECT unnest(range({levels})) AS level) l WHERE NOT base_failed GROUP BY ALL),
+m AS (SELECT max(place) AS tests FROM (SELECT n, row_number() OVER (ORDER BY n DESC, stratum) AS place FROM k WHERE level = 0) WHERE pow(1 - {ALPHA}, n) <= {DELTA} / place),
+t AS (SELECT stratum, tests FROM (SELECT stratum, row_number() OVER (ORDER BY n DESC, stratum) AS place FROM k WHERE level = 0), m WHERE place <= tests),
+c AS (SELECT stratum, coalesce(min(level) FILTER (NOT (k < {ALPHA} * n AND
+  list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) <= {DELTA} / tests)), {levels}) AS failed FROM k JOIN t USING (stratum) GROUP BY stratum),
+bad AS (SELECT rid FROM r JOIN c USING (stratum) WHERE lowest < failed)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM b LEFT JOIN bad USING (rid)
 """

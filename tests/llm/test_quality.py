@@ -54,17 +54,52 @@ def tail(n, k, a):
     return sum(math.exp(log(j)) for j in range(k + 1))
 
 
-def test_cutoffs_are_the_strictest_certified_ones(spark):
+def statistics(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
+
+
+def test_the_tail_is_exact(spark):
+    cases = [(n, k, a) for a in (0.02, 0.3) for n in (1, 5, 30, 400, 20_000, 2_000_000) for k in {0, 1, 7, int(a * n / 2), int(0.98 * a * n)} if k < a * n]
+    for a in (0.02, 0.3):
+        for r in spark.createDataFrame([(n, k) for n, k, b in cases if b == a], "n long, k long").withColumn("p", quality_rules.tail(a)).collect():
+            assert r.p == pytest.approx(tail(r.n, r.k, a), rel=1e-6), r
+
+
+def test_the_strictest_level_before_a_failure(spark):
     n = 3000
     rows = [(i, "en", 100, 500, 50 if i % 500 == 0 else (8 if i % 10 == 0 else 0), 0, 10, 0) for i in range(n)]
-    stats = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
     labels = spark.createDataFrame([(i, 1) for i in range(n)] + [(0, 0), (1, None)], "doc_id long, quality int")
-    grids = {"symbol_ratio": (0.005, 0.01, 0.05, 0.2)}
-    found = quality_rules.certified_cutoffs(stats, labels, 0.02, 0.05, grids).collect()
-    tests, good = 4 * 5, n - 1  # one document is labelled both ways
-    for c, k in ((0.005, 299), (0.01, 299), (0.05, 5)):
-        assert (tail(good, k, 0.02) <= 0.05 / tests) == (c == 0.05)
-    assert [tuple(r) for r in found] == [("en", "symbol_ratio", 0.05)]
+    good = n - 1  # one document is labelled both ways
+    for k, passes in ((5, True), (299, False)):
+        assert (tail(good, k, 0.02) <= 0.05) == passes
+    # Level 2 fails, so level 3, which alone would pass, isn't looked at.
+    for ladder, level in (((0.2, 0.05, 0.01, 0.5), 1), ((0.2, 0.05), 1), ((0.01, 0.5), None)):
+        found = quality_rules.certified_levels(statistics(spark, rows), labels, 0.02, 0.05, {"symbol_ratio": ladder}).collect()
+        assert [tuple(r) for r in found] == ([("en", level)] if level is not None else [])
+
+
+def test_strata_share_the_risk(spark):
+    """Of strata of 250, 250 and 140 good texts, the third could certify nothing at a third of delta, but two can at half."""
+    sizes = {"en": 250, "fr": 250, "de": 140}
+    rows = [(100_000 * s + i, lang, 100, 500, 0, 0, 10, 0) for s, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    found = quality_rules.certified_levels(statistics(spark, rows), labels, 0.02, 0.05).collect()
+    assert sorted(map(tuple, found)) == [("en", 5), ("fr", 5)]
+    assert 0.98**140 > 0.05 / 3 and 0.98**250 < 0.05 / 2
+
+
+def test_rules_apply_where_certified(spark):
+    """Texts at, below and above a cutoff, ties included, in a stratum with a certified level and in one without."""
+    plain = " ".join(str(i + 1000) for i in range(60))  # 240 characters in words
+    good = [plain] * 160
+    marked = lambda k: " ".join([plain, *("$" * k + str(i + 2000) for i in range(10))])
+    texts = good + [marked(2), marked(9), marked(7), None, plain]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(1000, marked(9), "fr"), (1001, marked(9), None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(good))], "doc_id long, quality int")
+    found = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs, labels, ladder={"symbol_ratio": (0.9, 0.2)}).collect()}
+    # 20 / 300 is below; 70 / 350 is the cutoff itself, which isn't above; 90 / 370 is.
+    assert [found[i] for i in (160, 161, 162, 163, 164, 1000, 1001)] == [True, False, True, False, True, True, True]
+    assert all(found[i] for i in range(160))
 
 
 def test_few_labels_certify_nothing(spark):
