@@ -49,3 +49,27 @@ def test_unusable_ties_and_few(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in found] == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert multi_index.search(vectors.limit(0)).count() == 0
     assert multi_index.search(vectors.filter("vec_id = 0")).count() == 0
+
+
+def test_groups_and_repeated_rows(spark, monkeypatch):
+    """Several groups, one of several shards; rows of one id are candidates of their own; few ids over many rows."""
+    monkeypatch.setattr(multi_index, "SHARD", 40)
+    rng = np.random.default_rng(5)
+    x = np.round(np.concatenate([rng.normal(size=(100, 4)), np.tile(rng.normal(size=4), (200, 1))]), 3)
+    rows = [(i % 150, v) for i, v in enumerate(x.tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = multi_index.search(frame.dropDuplicates(["vec_id"]).union(frame.filter("vec_id % 50 <> 0")), part=1.0, every=50, centroids=8).collect()
+    assert {r.query_id for r in found} == {0, 50, 100} and len(found) == 30
+    assert all(r.vec_id != r.query_id for r in found)
+    one = multi_index.search(spark.createDataFrame([(7 * (i % 2), [float(i), 1.0]) for i in range(300)], "vec_id long, embedding array<double>"), sample=20, part=1.0).collect()
+    assert len(one) == 10 and {r.vec_id for r in one} == {7}
+
+
+def test_arrange():
+    rng = np.random.default_rng(6)
+    counts = np.array([5, 0, 90, 12, 3, 30, 1, 8])
+    group, shards = multi_index.arrange(rng.normal(size=(8, 3)), counts, 25)
+    for g, n in enumerate(shards):
+        held = counts[group == g].sum()
+        assert held <= 25 if n == 1 else held <= 25 * n
+    assert set(group) == set(range(len(shards)))
