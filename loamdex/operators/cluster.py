@@ -35,9 +35,10 @@ def centred(rows: DataFrame) -> DataFrame:
     return moved.select("id", unit(F.col("v")).alias("v"))
 
 
-def similarities(rows: DataFrame, block: int = 1024) -> DataFrame:
-    """(a, b, sim) of all a <> b: rows in blocks, each pair of blocks multiplied as matrices. A clustering of a bounded
-    set of passages; its definition looks at all pairs."""
+def neighbours(rows: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
+    """(a, near, n, s, ss) for each row: its k most similar others as structs (d, b) with d = -similarity (equal ones by
+    id), and the number, sum and sum of squares of its similarities. The definition looks at all pairs: rows meet in
+    blocks, each pair of blocks is multiplied as matrices, and of each only k neighbours and the sums leave the task."""
     n = max(1, -(-rows.count() // block))
     packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     left = packed.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"), F.col("rows").alias("x"))
@@ -48,25 +49,32 @@ def similarities(rows: DataFrame, block: int = 1024) -> DataFrame:
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
                 ids = [np.array([r["id"] for r in side]) for side in (x, y)]
                 a, b = (np.stack([r["v"] for r in side]) for side in (x, y))
-                i, j = np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij")
-                out = pd.DataFrame({"a": ids[0][i.ravel()], "b": ids[1][j.ravel()], "sim": (a @ b.T).ravel()})
-                yield out[out["a"] != out["b"]]
+                sims = a @ b.T
+                other = ids[0][:, None] != ids[1][None]
+                held = np.where(other, sims, 0.0)
+                order = np.argsort(ids[1], kind="stable")
+                best = order[np.argsort(-np.where(other, sims, -np.inf)[:, order], axis=1, kind="stable")[:, :k]]
+                near = [[{"d": -float(sims[i, j]), "b": ids[1][j]} for j in best[i] if other[i, j]] for i in range(len(a))]
+                yield pd.DataFrame({"a": ids[0], "near": near, "n": other.sum(1), "s": held.sum(1), "ss": (held * held).sum(1)})
 
     kind = dict(rows.dtypes)["id"]
-    return pairs.select("x", "y").mapInPandas(run, f"a {kind}, b {kind}, sim double")
+    parts = pairs.select("x", "y").mapInPandas(run, f"a {kind}, near array<struct<d: double, b: {kind}>>, n long, s double, ss double")
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    return parts.groupBy("a").agg(near.alias("near"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
 
 
-def threshold(sims: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(cut): mean + alpha x population deviation of the pairs a < b."""
-    return sims.filter("a < b").agg((F.avg("sim") + alpha * F.stddev_pop("sim")).alias("cut"))
+def threshold(found: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(cut): mean + alpha x population deviation over all pairs. Each pair counts from both of its sides."""
+    mean = F.sum("s") / F.sum("n")
+    return found.agg((mean + alpha * F.sqrt(F.greatest(F.sum("ss") / F.sum("n") - mean * mean, F.lit(0.0)))).alias("cut"))
 
 
-def mutual_edges(sims: DataFrame, k: int = 3, alpha: float = 1.0) -> DataFrame:
-    """(a, b), a < b: each among the k nearest of the other, and at least as similar as the threshold."""
-    near = sims.withColumn("n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("n") <= k).select("a", "b", "sim")
+def mutual_edges(found: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(a, b), a < b, of `neighbours`: each among the nearest of the other, and at least as similar as the threshold."""
+    near = found.select("a", F.explode("near").alias("x")).select("a", "x.b", (-F.col("x.d")).alias("sim"))
     back = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = near.filter("a < b").join(back, ["a", "b"], "left_semi")
-    return both.crossJoin(F.broadcast(threshold(sims, alpha))).filter("sim >= cut").select("a", "b")  # threshold is one row
+    return both.crossJoin(F.broadcast(threshold(found, alpha))).filter("sim >= cut").select("a", "b")  # threshold is one row
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,8 +134,8 @@ def analyze(passages: DataFrame, k: int = 3, alpha: float = 1.0, least: int = 2,
     """passages (id, doc_id, text, v) to {members: (id, cluster, off_topic), topics: (cluster, support, affinity,
     off_topic), words: (cluster, rank, term, weight)}. Clusters below the support are off topic too."""
     rows = materialize(passages.select("id", unit(F.col("v")).alias("v")), "passages")
-    sims = materialize(similarities(centred(rows)), "similarities")
-    members = materialize(clusters(rows.select("id"), mutual_edges(sims, k, alpha), least), "members")
+    found = materialize(neighbours(centred(rows), k), "neighbours")
+    members = materialize(clusters(rows.select("id"), mutual_edges(found, alpha), least), "members")
     topics = off_topic(rows, members, off_alpha).join(doc_support(members, passages.select("id", "doc_id")), "cluster")
     topics = topics.withColumn("off_topic", F.col("off_topic") | (F.col("support") < support))
     kept = members.join(topics.select("cluster", "off_topic"), "cluster", "left").select("id", "cluster", F.coalesce("off_topic", F.lit(True)).alias("off_topic"))

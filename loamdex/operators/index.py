@@ -47,22 +47,38 @@ def _marked(tokens: str, in_title: int) -> Column:
     return F.transform(tokens, lambda w: F.struct(w.alias("term"), F.lit(in_title).alias("t")))
 
 
-def build(docs: DataFrame, stem: bool = False) -> TermIndex:
-    """One pass over the texts for postings. A document's equal tokens are counted before the shuffle."""
+def _counted(docs: DataFrame, stem: bool) -> DataFrame:
     words = tokenized(docs, stem).withColumn("length", F.size("title_tokens") + F.size("body_tokens") + ID_TOKENS)
-    lengths = words.select("doc_id", "length")
-    both = F.concat(_marked("title_tokens", 1), _marked("body_tokens", 0))
-    counted = (
+    both = F.concat(_marked("title_tokens", 1), _marked("body_tokens", 0), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("t"))))
+    return (
         words.select("doc_id", "length", F.explode(both).alias("w"))
         .groupBy(F.col("w.term").alias("term"), "doc_id", "length")
         .agg(F.sum("w.t").alias("tf_title"), F.sum(1 - F.col("w.t")).alias("tf_body"))
     )
-    counted = materialize(counted, "postings")  # it is read for the frequencies, and twice for the ranges of terms
+
+
+def _finished(counted: DataFrame) -> TermIndex:
+    """From (term, doc_id, length, tf_title, tf_body), where each document has a row of no term for its length."""
+    lengths, counted = counted.filter("term IS NULL").select("doc_id", "length"), counted.filter("term IS NOT NULL")
     frequency = counted.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("tf_title") > 0).alias("df_title"), F.count_if(F.col("tf_body") > 0).alias("df_body"))
     postings = counted.join(frequency, "term").select("term", "doc_id", "tf_title", "tf_body", "length", "df", "df_title", "df_body")
     return TermIndex(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length")))
 
 
+def build(docs: DataFrame, stem: bool = False) -> TermIndex:
+    """One pass over the texts for postings. A document's equal tokens are counted before the shuffle."""
+    return _finished(materialize(_counted(docs, stem), "postings"))  # read for the frequencies, and twice for the ranges of terms
+
+
+def refresh(stored: TermIndex, changed: DataFrame, live: DataFrame, stem: bool = False) -> TermIndex:
+    """The index after a change: only the texts of `changed` are read again. `live` has the doc_id of all documents."""
+    same = live.select("doc_id").join(changed.select("doc_id"), "doc_id", "left_anti")
+    rows = stored.postings.select("term", "doc_id", "length", "tf_title", "tf_body")
+    none = stored.lengths.select(F.lit(None).cast("string").alias("term"), "doc_id", "length", F.lit(0).cast("long").alias("tf_title"), F.lit(1).cast("long").alias("tf_body"))
+    kept = rows.unionByName(none).join(same, "doc_id", "left_semi")
+    return _finished(materialize(kept.unionByName(_counted(changed, stem)), "postings"))
+
+
 def save(index: TermIndex, path: str, partitions: int | None = None) -> None:
     """Postings are ranged by term, so that a query's terms prune row groups by their statistics."""
     ranged = index.postings.repartitionByRange(partitions, "term") if partitions else index.postings.repartitionByRange("term")

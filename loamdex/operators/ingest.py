@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,17 +160,45 @@ def backfill_authors(docs: DataFrame) -> DataFrame:
 
 
 def write_swapped(df: DataFrame, path: str) -> None:
-    """Writes beside the table and then takes its place, so that readers see either version as a whole."""
-    spark: SparkSession = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    """Writes beside the table and then takes its place."""
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    swap(df.sparkSession, fresh, path)
+
+
+def swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts the folder `fresh` in the place of `path`. The old one is moved aside, moved back if the new one can't take its
+    place, and deleted at last, so that a whole version is there at any time but between two renames."""
+    jvm = spark.sparkContext._jvm
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+    source, target = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+    had = fs.exists(target)
+    if had:
+        fs.rename(target, old)
+    if not fs.rename(source, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{fresh} couldn't be moved to {path}")
+    if had:
+        fs.delete(old, True)
+
+
+@contextmanager
+def writer_lock(spark: SparkSession, path: str, stale: float = 6 * 3600.0) -> Iterator[None]:
+    """Only one writer at a time: a file that is created or is there. One older than `stale` seconds was left by a writer
+    that died, and is taken over. Raises RuntimeError if another writer holds it."""
+    jvm = spark.sparkContext._jvm
+    lock = jvm.org.apache.hadoop.fs.Path(f"{path}/_writer.lock")
+    fs = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale:
+        fs.delete(lock, False)
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"another writer holds {path}")
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
 
 
 def first_wins(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.functions import markdown
+from loamdex.functions import chunking, markdown
 from loamdex.functions.text import highlight, query_terms
 from loamdex.operators import bm25, filters, fusion, graph, index, ingest, vector
+from loamdex.session import materialize
 from loamdex.sources import bronze
 
 VERSION = "0.1.0"
@@ -160,21 +161,34 @@ def build(docs: DataFrame, path: str, as_of: Column | None = None, links: DataFr
         chunks.write.mode("overwrite").parquet(f"{path}/chunks")
 
 
-def sync(spark: SparkSession, kind: str, source: str, path: str, full: bool = False, rules: tuple = ()) -> dict[str, int]:
-    """Reads a source, merges it into the documents at `path`, prunes (in a full run) behind the gate and indexes again."""
-    raw = bronze.CONNECTORS[kind](spark, source) if kind != "git" else bronze.repo_files(spark, source, source.rstrip("/").split("/")[-1])
-    convert = markdown.html_to_markdown if kind == "confluence" else None
-    fresh = ingest.normalize(raw, rules, convert)
-    good = fresh.filter("error IS NULL").drop("error").withColumn("categories", F.col("category"))
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        stored = spark.read.parquet(f"{path}/documents")
+        return spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        return None
+
+
+def sync(spark: SparkSession, kind: str, source: str, path: str, full: bool = False, rules: tuple = (), embed: vector.Embed | None = None) -> dict[str, int]:
+    """Reads a source, merges it into the documents at `path`, prunes (in a full run) behind the gate, and brings page
+    links, static scores, chunk vectors and the term index up to date; texts that didn't change aren't read again for
+    these. One writer at a time: raises RuntimeError if another one is at work."""
+    with ingest.writer_lock(spark, path):
+        return _synced(spark, kind, source, path, full, rules, embed)
+
+
+def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool, rules: tuple, embed: vector.Embed | None) -> dict[str, int]:
+    raw = bronze.CONNECTORS[kind](spark, source) if kind != "git" else bronze.repo_files(spark, source, source.rstrip("/").split("/")[-1])
+    convert = markdown.html_to_markdown if kind == "confluence" else None
+    fresh = ingest.normalize(raw, rules, convert)
+    good = fresh.filter("error IS NULL").drop("error").withColumn("categories", F.col("category"))
+    stored = _table(spark, f"{path}/documents")
+    if stored is None:
         stored = good.withColumn("static_score", F.lit(0.0)).limit(0)
     if not good.take(1):
         return {"empty_source": 1}
-    merged = ingest.merge(stored, good.withColumn("static_score", F.lit(0.0)))
+    merged = materialize(ingest.merge(stored, good.withColumn("static_score", F.lit(0.0))), "merged")
     stats = {r.status: r.n for r in ingest.merge_stats(merged).collect()}
     if full:
         own = F.col("source").isin([r.source for r in good.select("source").distinct().collect()])
@@ -183,9 +197,31 @@ def sync(spark: SparkSession, kind: str, source: str, path: str, full: bool = Fa
         merged = merged.join(seen, "doc_id", "left")
         stats["deleted"] = merged.filter(own & F.col("seen").isNull()).count()
         merged = merged.filter(~own | F.col("seen").isNotNull()).drop("seen")
-    build_from = merged.drop("status")
-    ingest.write_swapped(build_from, f"{path}/documents")
-    index.save(index.build(spark.read.parquet(f"{path}/documents")), f"{path}/index")
+    docs = merged.drop("status")
+    changed = merged.filter("status IN ('inserted', 'updated')").drop("status")
+    # Links of the pages that were read take the place of their earlier ones; titles are looked for among all documents.
+    ids = good.select("doc_id", "source", "source_id")
+    out = raw.select("source", "source_id", graph.outgoing_titles(F.col("raw_body")).alias("outgoing")).join(ids, ["source", "source_id"]).select("doc_id", "outgoing")
+    pages = docs.select("doc_id", "space", "title").join(out, "doc_id", "left").withColumnRenamed("doc_id", "source_id")
+    new, earlier = graph.build_links(pages), _table(spark, f"{path}/links")
+    links = new if earlier is None else graph.replace_links(earlier, new, out.select(F.col("doc_id").alias("src")))
+    for end in ("src", "dst"):
+        links = links.join(docs.select(F.col("doc_id").alias(end)), end, "left_semi")
+    links = materialize(links.select("src", "dst"), "links")
+    scores = graph.static_scores(docs, graph.backlinks(links), F.current_timestamp())
+    pieces = chunking.chunks(changed)
+    vectors = pieces.select("chunk_id", "doc_id", vector.embed_column(F.col("text"), embed).alias("vector"))
+    chunks = _table(spark, f"{path}/chunks")
+    if chunks is not None:
+        chunks = chunks.join(changed.select("doc_id"), "doc_id", "left_anti").select("chunk_id", "doc_id", "vector").unionByName(vectors)
+    chunks = materialize(ingest.live_only(chunks if chunks is not None else vectors, docs), "chunks")
+    had = _table(spark, f"{path}/index/postings") is not None
+    terms = index.refresh(index.load(spark, f"{path}/index"), changed, docs) if had else index.build(docs)
+    index.save(terms, f"{path}/index.next")
+    ingest.write_swapped(graph.update_static(docs, scores), f"{path}/documents")
+    ingest.write_swapped(links, f"{path}/links")
+    ingest.write_swapped(chunks, f"{path}/chunks")
+    ingest.swap(spark, f"{path}/index.next", f"{path}/index")
     return stats
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from loamdex.operators.ingest import swap
+
 #: Columns that each version of the document table added, with their types.
 MIGRATIONS = {
     1: {"doc_id": "string", "source": "string", "source_id": "string", "title": "string", "body": "string", "content_hash": "string"},
@@ -85,10 +87,13 @@ class PageFolders(DataSource):
 
 
 def draft(rows: DataFrame, most: int = 10_000) -> str:
-    """YAML of a reviewed list (dictionary, golden cases, terms); it is meant for people, so at most so many rows."""
+    """YAML of a reviewed list (dictionary, golden cases, terms). It is meant for people: raises ValueError beyond `most` rows."""
     import yaml
 
-    return yaml.safe_dump([r.asDict(recursive=True) for r in rows.limit(most).collect()], allow_unicode=True, sort_keys=False)
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows are no list for a review")
+    return yaml.safe_dump([r.asDict(recursive=True) for r in found], allow_unicode=True, sort_keys=False)
 
 
 def publish(spark: SparkSession, source: str, target: str) -> None:
@@ -99,5 +104,4 @@ def publish(spark: SparkSession, source: str, target: str) -> None:
     fs = b.getFileSystem(conf)
     fs.delete(fresh, True)
     util.copy(a.getFileSystem(conf), a, fs, fresh, False, conf)
-    fs.delete(b, True)
-    fs.rename(fresh, b)
+    swap(spark, f"{target}.new", target)

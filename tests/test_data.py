@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamdex import service
-from loamdex.operators import cluster, evaluate, extract, ingest, mining
-from loamdex.sources import bronze
+from loamdex.operators import cluster, evaluate, extract, index, ingest, mining
+from loamdex.sources import bronze, sinks
 
 
 def values(df, *columns):
@@ -52,6 +52,69 @@ def test_sync_of_page_folders(spark, tmp_path):
     assert docs.filter("source_id = '1'").first().body == "changed"
 
 
+def test_sync_keeps_links_scores_chunks_and_index_up_to_date(spark, tmp_path):
+    bronze_dir, data = tmp_path / "bronze", str(tmp_path / "data")
+
+    def page(name, title, body, *to):
+        d = bronze_dir / "S" / name
+        d.mkdir(parents=True, exist_ok=True)
+        links = "".join(f'<ac:link><ri:page ri:content-title="{t}" /></ac:link>' for t in to)
+        (d / "content.html").write_text(f"<p>{body}</p>{links}")
+        (d / "meta.json").write_text(json.dumps({"source_id": name, "title": title, "space_or_repo": "S", "updated_at": "2024-01-02T00:00:00Z"}))
+
+    def state():
+        docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents").collect()}
+        name = {i: r.title for i, r in docs.items()}
+        links = sorted((name[r.src], name[r.dst]) for r in spark.read.parquet(f"{data}/links").collect())
+        chunks = sorted(name[r.doc_id] for r in spark.read.parquet(f"{data}/chunks").collect())
+        return {name[i]: r.static_score for i, r in docs.items()}, links, chunks
+
+    def same_index():
+        docs = spark.read.parquet(f"{data}/documents")
+        fresh, kept = index.build(docs), index.load(spark, f"{data}/index")
+        for table in ("postings", "lengths", "totals"):
+            rows = [sorted(map(tuple, getattr(x, table).select(getattr(fresh, table).columns).collect())) for x in (fresh, kept)]
+            assert rows[0] == rows[1]
+
+    page("1", "One", "apples and pears", "Two")
+    page("2", "Two", "pears", "Three")
+    page("3", "Three", "plums")
+    service.sync(spark, "confluence", str(bronze_dir), data)
+    scores, links, chunks = state()
+    assert links == [("One", "Two"), ("Two", "Three")] and chunks == ["One", "Three", "Two"]
+    assert min(scores.values()) > 0 and scores["Two"] > scores["One"]
+    same_index()
+
+    page("1", "One", "cherries", "Three")
+    (bronze_dir / "S" / "2" / "content.html").unlink()
+    service.sync(spark, "confluence", str(bronze_dir), data, full=True)
+    scores, links, chunks = state()
+    assert links == [("One", "Three")] and chunks == ["One", "Three"] and scores["Three"] > scores["One"]
+    same_index()
+    found = service.Service.open(spark, data).search("cherries")[0].collect()
+    assert [r.title for r in found] == ["One"]
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    with ingest.writer_lock(spark, str(tmp_path)):
+        with pytest.raises(RuntimeError), ingest.writer_lock(spark, str(tmp_path)):
+            pass
+        with ingest.writer_lock(spark, str(tmp_path), stale=-1):  # what a dead writer has left is taken over
+            pass
+    with ingest.writer_lock(spark, str(tmp_path)):
+        pass
+
+
+def test_publish_and_drafts(spark, tmp_path):
+    for i in (1, 2):
+        spark.range(i).write.mode("overwrite").parquet(str(tmp_path / "a" / "t"))
+        sinks.publish(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+        assert spark.read.parquet(str(tmp_path / "b" / "t")).count() == i
+    assert sinks.draft(spark.range(2)) == "- id: 0\n- id: 1\n"
+    with pytest.raises(ValueError):
+        sinks.draft(spark.range(3), most=2)
+
+
 def test_git_files_and_commits(spark, tmp_path):
     repo = tmp_path / "repo"
     (repo / "docs").mkdir(parents=True)
