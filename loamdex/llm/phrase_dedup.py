@@ -7,8 +7,8 @@ Texts that share 50 words in a row are brought together in segments (see `anchor
     compile   an anchor's passages are cut into blocks of 25 words, at fixed steps; those of as many anchors as fill a
               shard are compiled into one Aho-Corasick automaton
     stream    the segments of all documents are streamed through their shard's automaton. Every 50-word window of a
-              passage holds a whole block, so each occurrence is located by a block and then compared word by word to both
-              sides. What lies in a passage that a smaller id holds is removed
+              passage holds a whole block, so each occurrence is located by a block, and the windows that hold it are then compared
+              word by word with the passages'. What lies in a passage that a smaller id holds is removed
 
 Parts of a document that no segment covers have anchors that occur nowhere else, so they hold no passage. Segments and
 passages meet by a sorted merge on the anchor, which adaptive execution may split where one anchor is very common.
@@ -69,42 +69,27 @@ def recurring(words: list[list[bytes]], least: list[int], most: list[int]) -> li
 
 
 def compile_blocks(passages: list[str]) -> ahocorasick.Automaton:
-    """The automaton of the passages' blocks; a block's value lists (passage, its place in it)."""
-    places: dict[str, list[tuple[int, int]]] = {}
-    for i, p in enumerate(passages):
-        for y in range(0, len(p) - BLOCK + 1, BLOCK):
-            places.setdefault(p[y : y + BLOCK], []).append((i, y))
+    """The automaton of the passages' blocks."""
     automaton = ahocorasick.Automaton()
-    for block, where in places.items():
-        automaton.add_word(block, where)
+    for p in passages:
+        for y in range(0, len(p) - BLOCK + 1, BLOCK):
+            automaton.add_word(p[y : y + BLOCK], BLOCK)
     automaton.make_automaton()
     return automaton
 
 
-def _reach(a: str, x: int, b: str, y: int, step: int) -> int:
-    """How many letters of a from x and of b from y on are equal, in the direction of `step`, by halving."""
-    most = min(len(a) - x, len(b) - y) if step > 0 else min(x, y)
-    low, high = 0, most
-    cut = (lambda s, p, n: s[p : p + n]) if step > 0 else (lambda s, p, n: s[p - n : p])
-    if cut(a, x, most) == cut(b, y, most):
-        return most
-    while low < high:
-        middle = (low + high + 1) // 2
-        if cut(a, x, middle) == cut(b, y, middle):
-            low = middle
-        else:
-            high = middle - 1
-    return low
-
-
 class Shard:
     """The automaton of some passages, each with the least id that holds it."""
 
     def __init__(self, passages: list[tuple[bytes, int]]):
         self.letters: dict[bytes, str] = {}
         self.texts = [self._text(p.split(b" "), True) for p, _ in passages]
-        self.least = [i for _, i in passages]
         self.automaton = compile_blocks(self.texts) if passages else None
+        self.windows: dict[str, int] = {}
+        for p, (_, least) in zip(self.texts, passages, strict=True):
+            for y in range(len(p) - WINDOW + 1):
+                w = p[y : y + WINDOW]
+                self.windows[w] = min(least, self.windows.get(w, least))
 
     def _text(self, words: list[bytes], learn: bool = False) -> str:
         if learn:
@@ -118,18 +103,18 @@ class Shard:
         """Runs of words (first, end) of the segment that a passage holds, and the passage's least id."""
         if self.automaton is None:
             return []
-        text, out, met = self._text(segment.split(b" ")), [], set()
-        for last, where in self.automaton.iter(text):
-            x = last - BLOCK + 1
-            for i, y in where:
-                if (i, x - y) in met:
-                    continue
-                p = self.texts[i]
-                left, right = _reach(text, x, p, y, -1), _reach(text, x + BLOCK, p, y + BLOCK, 1)
-                if left == min(x, y) and right == min(len(text) - x, len(p) - y) - BLOCK:
-                    met.add((i, x - y))  # the whole overlap is equal, so other blocks tell nothing new
-                if left + BLOCK + right >= WINDOW:
-                    out.append((x - left, x + BLOCK + right, self.least[i]))
+        text, out, done = self._text(segment.split(b" ")), [], 0
+        for last, size in self.automaton.iter(text):
+            x = last - size + 1
+            # The windows that hold the block, each looked at once, however many blocks it holds.
+            for start in range(max(done, x + size - WINDOW), min(x, len(text) - WINDOW) + 1):
+                least = self.windows.get(text[start : start + WINDOW])
+                if least is not None:
+                    if out and out[-1][2] == least and out[-1][1] == start + WINDOW - 1:
+                        out[-1] = (out[-1][0], start + WINDOW, least)
+                    else:
+                        out.append((start, start + WINDOW, least))
+            done = max(done, x + 1)
         return out
 
 
