@@ -7,6 +7,12 @@
     tokens      texts are encoded and decoded; digests are returned
 
 Every stage but the last returns the columns of `documents`, and each works on what the one before it kept.
+
+Defined results: a null text is scored, compared, cut and encoded as the empty one (and is empty after `substrings`); an
+empty text is near to nothing, so it stays if the classifier keeps it, until `mixture`, where a source without words has no
+rows; rows that share a doc_id are one document, so all of them stay or go together, and a null doc_id is a document like
+any other, larger than all; of a group with equal texts the least doc_id stays; extra columns, clashing names included,
+are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
