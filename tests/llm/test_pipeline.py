@@ -58,3 +58,29 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_edge_cases(spark):
+    """Nulls in every column, empty texts, ties, repeated rows, extra columns of clashing names, a very long text."""
+    long = " ".join(f"w{i * 7919 % 10_007}" for i in range(60_000))
+    text = " ".join(f"v{i}" for i in range(80))
+    rows = [(None, None, None, None, None), (900_001, "", "en", "s", 0), (900_002, None, "fr", None, 0), (900_003, text, "en", "s", 1), (900_003, text, "en", "s", 1), (900_004, text, None, "s", 1),
+            (None, text + " x", "en", "s", 1), (900_005, long, "en", "long", 1), (900_006, long + " y", "en", "long", 1)]
+    edge = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit("x"), "kept": F.lit(1), "n_tokens": F.lit(None), "id": F.lit(2)})
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near_dedup", "substrings", "mixture"):
+        assert tuple(stages[name](spark, edge, SF).columns) == corpus_pipeline.COLUMNS
+    key = lambda df: sorted((str(r.doc_id), (r.text or "")[:20]) for r in df.collect())
+    single = stages["near_dedup"](spark, edge, SF)
+    # A null id is one document of several rows here, so those that are near to nothing keep it.
+    assert [k for k in key(single) if k[0] != "None"] == sorted([("900001", ""), ("900002", ""), ("900003", text[:20]), ("900003", text[:20]), ("900005", long[:20])])
+    cut = {(r.doc_id, r.n_chars) for r in stages["substrings"](spark, edge, SF).collect() if r.doc_id is not None}
+    assert {(900_001, 0), (900_002, 0), (900_003, len(text)), (900_004, 0)} <= cut
+    assert [0 < n < len(long) for i, n in cut if i == 900_005] == [True]  # it repeats itself
+    mixed = key(stages["mixture"](spark, edge, SF))
+    assert {k for k in mixed if k[1]} == {k for k in key(edge) if k[1]} and len(mixed) >= len([k for k in key(edge) if k[1]])
+    assert stages["tokens"](spark, edge, SF).count() == len(rows)
+    good = stages["quality"](spark, table(spark, "documents").unionByName(edge.select(*corpus_pipeline.COLUMNS)).withColumn("score", F.lit("x")), SF)
+    assert tuple(good.columns) == corpus_pipeline.COLUMNS and good.count() > 0
+    for stage in stages.values():
+        assert stage(spark, edge.limit(0), SF).count() == 0
