@@ -14,7 +14,9 @@ windows of one anchor cover. Anchors that occur once need no look at the text at
 
 An anchor with more than `HOT` occurrences is refined: its windows are dealt by longer contexts, of their left or
 their right side, so that a short phrase that is everywhere doesn't bring all its texts to one task. Whole copies of a
-smaller id's text leave after the count: each of their windows is a repeat.
+smaller id's text leave after the count: each of their windows is a repeat. For `solve`, equal segments are folded where
+they are cut: one that has an earlier equal in its task is a repeat as a whole, so a segment that a third of all texts
+share is shuffled about once a task, and the runs of the others go along by their text, not by the anchor.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ LAST = (1 << 63) - 1
 HOT = 2048
 #: Bytes of text that are hashed at once, and bytes of distinct segments that are solved at once (more, if one fp has more).
 BATCH_BYTES, SOLVE_BYTES = 1 << 20, 1 << 20
+#: Distinct segments that a task remembers when it folds; beyond that it starts anew, and more are left to `solve`.
+FOLD = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -105,6 +109,7 @@ class Bytes:
     """Units are the bytes of UTF-8."""
 
     name = "byte"
+    count = staticmethod(len)
 
     @staticmethod
     def values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +147,10 @@ class Words:
 
     name = "word"
 
+    @staticmethod
+    def count(segment: bytes) -> int:
+        return segment.count(b" ") + 1
+
     @staticmethod
     def values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -192,9 +201,10 @@ def _is_copy() -> Column:
     return F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False))
 
 
-def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, between: bool) -> DataFrame:
+def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, between: bool, fold: bool = False) -> DataFrame:
     """(fp, id, tag, starts, segment) of anchors that repeat; with `between`, in texts of different ids. A text's equal
-    segments are one row with all their starts, in order."""
+    segments are one row with all their starts, in order. With `fold`, those after an earlier equal one of the task are
+    left out, and a text's runs of them are one row without a segment, whose starts are begins and ends in turn."""
     count = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     # Written, so that the join below is one of two plain shuffles, whose skewed parts can be split.
     repeated = materialize(count.filter("lo < hi" if between else "n > 1").select("fp", (F.col("n") > HOT).alias("hot")), "anchors")
@@ -206,6 +216,7 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["fp", "id", "tag", "starts", "segment"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+        earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
         for batch in batches:
             for part, data in text_slices(batch, 1, BATCH_BYTES):
                 rows: tuple[list, ...] = ([], [], [], [], [])
@@ -233,15 +244,40 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
                                 pieces.append((_refined(fp, b">" + cutter.cut(at + gram, at + gram + side)), max(first, at - side + 1), last))
                         for key, begin, end in pieces:
                             cuts.setdefault((key, cutter.cut(begin, end + window)), []).append(begin)
+                    made, repeats = [], []
                     for (key, segment), starts in cuts.items():
-                        for c, value in zip(rows, (key, ids[r], own, starts, segment), strict=True):
+                        if fold:
+                            place, name = (ids[r], starts[0]), (key, xxhash.xxh3_128_digest(segment))
+                            first = earliest.get(name)
+                            if first is not None and first < place:
+                                repeats += [(start, start + unit.count(segment)) for start in starts]
+                                continue
+                            earliest[name] = place
+                        made.append((key, ids[r], own, starts, segment))
+                    if repeats:
+                        made.append((_refined(ids[r], b""), ids[r], own, [x for run in merged(repeats) for x in run], None))
+                    for row in made:
+                        for c, value in zip(rows, row, strict=True):
                             c.append(value)
+                    if len(earliest) > FOLD:
+                        earliest.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
     # All columns of the texts go along, so that this shuffle of the texts serves `apply` too.
     return texts.join(candidates, "id").filter(~_is_copy()).select(*texts.columns, "at").mapInArrow(run, "fp long, id long, tag int, starts array<int>, segment binary")
 
 
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(runs):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _refined(fp: int, context: bytes) -> int:
     return xxhash.xxh64_intdigest(context, seed=fp & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
@@ -250,8 +286,8 @@ def _refined(fp: int, context: bytes) -> int:
 Solver = Callable[[list[bytes], list[int], list[int]], Iterator[tuple[int, int, int]]]
 
 
-def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window: int) -> DataFrame:
-    """(id, tag, lo, hi): runs of units to remove. In each fp's rows, by id and start, the first of equal segments is met
+def solve(cut: DataFrame, solver: Solver, unit, window: int) -> DataFrame:
+    """(id, tag, lo, hi): runs of units to remove. Runs that were folded pass. In each fp's rows, by id and start, the first of equal segments is met
     first: those after it are repeats as a whole, and only the distinct ones are kept and given to the solver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +315,10 @@ def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window:
 
         for batch in batches:
             for fp, id_, tag, starts, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if segment is None:
+                    for lo, hi in zip(starts[::2], starts[1::2], strict=True):
+                        add(id_, tag, lo, hi)
+                    continue
                 if fp != now:
                     if size > SOLVE_BYTES:
                         settle()
@@ -290,7 +330,7 @@ def solve(cut: DataFrame, solver: Solver, units: Callable[[bytes], int], window:
                     kept.append((segment, id_, tag, starts))
                     size += len(segment)
                 for start in repeats:
-                    add(id_, tag, start, start + units(segment))
+                    add(id_, tag, start, start + unit.count(segment))
             if len(out[0]) > 100_000:
                 yield flush()
         settle()
@@ -314,12 +354,7 @@ def apply(texts: DataFrame, removed: DataFrame, finish: Callable[[bytes, list[tu
                 rows: list[list] = [[] for _ in names]
                 for text, own, copy in zip(data, part.column(column).to_pylist(), part.column(column + 1).to_pylist(), strict=True):
                     tag = tag_of(text) if own else 0
-                    spans: list[tuple[int, int]] = []
-                    for lo, hi in sorted((r["lo"], r["hi"]) for r in own or () if r["tag"] == tag):
-                        if spans and lo <= spans[-1][1]:
-                            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
-                        else:
-                            spans.append((lo, hi))
+                    spans = merged([(r["lo"], r["hi"]) for r in own or () if r["tag"] == tag])
                     for c, value in zip(rows, finish(text, spans, bool(copy)), strict=True):
                         c.append(value)
                 columns = [pa.array(ids, pa.int64()), *part.columns[2:column], *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))]

@@ -171,7 +171,7 @@ def located(cut: DataFrame, confirmed: DataFrame) -> DataFrame:
                 for id_, tag, starts, segment in zip(*part, strict=True):
                     if (runs := known.get(segment)) is None:
                         runs = known[segment] = shard.locate(segment)
-                    for lo, hi in _merged([(a, b) for a, b, least in runs if least < id_]):
+                    for lo, hi in anchors.merged([(a, b) for a, b, least in runs if least < id_]):
                         for start in starts:
                             for c, value in zip(out, (id_, tag, start + lo, start + hi), strict=True):
                                 c.append(value)
@@ -181,16 +181,6 @@ def located(cut: DataFrame, confirmed: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "id long, tag int, lo int, hi int")
 
 
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(runs):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
-
-
 def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(texts, runs of words to remove)."""
     texts = anchors.narrow(docs, carry)

@@ -125,8 +125,8 @@ def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFram
     """(texts, runs of bytes to remove)."""
     texts = anchors.narrow(docs, carry)
     found = anchors.occurrences(texts, Bytes, WINDOW, GRAM)
-    cut = anchors.segments(texts, found, Bytes, WINDOW, GRAM, between=False)
-    return texts, anchors.solve(cut, solver, len, WINDOW)
+    cut = anchors.segments(texts, found, Bytes, WINDOW, GRAM, between=False, fold=True)
+    return texts, anchors.solve(cut, solver, Bytes, WINDOW)
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]], copy: bool) -> tuple[bytes, list[tuple[int, int]]]:

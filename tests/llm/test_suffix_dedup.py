@@ -82,6 +82,19 @@ def test_hot_phrase(spark, monkeypatch):
     check(spark, [(i, text(150) + phrase + text(150) + (passage if i % 2 else "") + text(9)) for i in range(30)])
 
 
+def test_equal_segments_are_folded_in_any_order(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared, longer = text(260), text(400)
+    rows = [(i, text(rng.randint(0, 150)) + shared + text(90) + (longer if i % 3 else shared)) for i in range(40)]
+    rng.shuffle(rows)
+    rows += [rows[0], (rows[1][0], shared + rows[1][1])]
+    for fold, hot in ((1 << 16, 2048), (3, 2048), (1 << 16, 5)):
+        monkeypatch.setattr("loamdex.llm.anchors.FOLD", fold)
+        monkeypatch.setattr("loamdex.llm.anchors.HOT", hot)
+        check(spark, rows)
+
+
 def test_test_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     check(spark, rows)
