@@ -190,10 +190,13 @@ def occurrences(texts: DataFrame, unit, window: int, gram: int) -> DataFrame:
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """(id, copied): hashes of those texts of an id that a smaller id has as a whole. Rows of one id can have others."""
+    """(id, copied): hashes of those texts of an id that a smaller id has as a whole. Rows of one id can have others. It is
+    written once, for `segments` and `apply`."""
     hashed = texts.select("id", F.md5("text").alias("h"), F.xxhash64("text").alias("own"))
     first = hashed.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return hashed.join(first, "h").filter("id > first").groupBy("id").agg(F.collect_set("own").alias("copied"))
+    # Written, so that a text with many copies can be split in the join below.
+    found = hashed.join(materialize(first, "first-copies"), "h").filter("id > first")
+    return materialize(found.groupBy("id").agg(F.collect_set("own").alias("copied")), "copies")
 
 
 def _is_copy() -> Column:
@@ -201,7 +204,7 @@ def _is_copy() -> Column:
     return F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False))
 
 
-def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, between: bool, fold: bool = False) -> DataFrame:
+def segments(texts: DataFrame, found: DataFrame, copied: DataFrame, unit, window: int, gram: int, between: bool, fold: bool = False) -> DataFrame:
     """(fp, id, tag, starts, segment) of anchors that repeat; with `between`, in texts of different ids. A text's equal
     segments are one row with all their starts, in order. With `fold`, those after an earlier equal one of the task are
     left out, and a text's runs of them are one row without a segment, whose starts are begins and ends in turn."""
@@ -209,7 +212,7 @@ def segments(texts: DataFrame, found: DataFrame, unit, window: int, gram: int, b
     # Written, so that the join below is one of two plain shuffles, whose skewed parts can be split.
     repeated = materialize(count.filter("lo < hi" if between else "n > 1").select("fp", (F.col("n") > HOT).alias("hot")), "anchors")
     candidates = found.join(repeated, "fp").groupBy("id").agg(F.collect_set(F.struct("fp", "hot")).alias("at"))
-    candidates = candidates.join(copies(texts), "id", "left")
+    candidates = candidates.join(copied, "id", "left")
     side = (window - gram) // 2
     column = len(texts.columns)
 
@@ -340,11 +343,11 @@ def solve(cut: DataFrame, solver: Solver, unit, window: int) -> DataFrame:
     return ordered.mapInArrow(run, "id long, tag int, lo int, hi int")
 
 
-def apply(texts: DataFrame, removed: DataFrame, finish: Callable[[bytes, list[tuple[int, int]], bool], tuple], names: list[str], schema: str, kinds: list) -> DataFrame:
+def apply(texts: DataFrame, removed: DataFrame, copied: DataFrame, finish: Callable[[bytes, list[tuple[int, int]], bool], tuple], names: list[str], schema: str, kinds: list) -> DataFrame:
     """One row for each text: doc_id, the carried columns and what `finish` makes of the text, its merged runs to
     remove, and whether it is a copy."""
     runs = removed.groupBy("id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("runs"))
-    marked = runs.join(copies(texts), "id", "full_outer")
+    marked = runs.join(copied, "id", "full_outer")
     carried, column = texts.columns[2:], len(texts.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,13 +181,13 @@ def located(cut: DataFrame, confirmed: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "id long, tag int, lo int, hi int")
 
 
-def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs of words to remove)."""
+def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, runs of words to remove, copies)."""
     texts = anchors.narrow(docs, carry)
-    found = anchors.occurrences(texts, Words, WINDOW, GRAM)
+    found, copied = anchors.occurrences(texts, Words, WINDOW, GRAM), anchors.copies(texts)
     # Written, so that both passes read it.
-    cut = materialize(anchors.segments(texts, found, Words, WINDOW, GRAM, between=True), "segments")
-    return texts, located(cut, materialize(passages(cut), "passages"))
+    cut = materialize(anchors.segments(texts, found, copied, Words, WINDOW, GRAM, between=True), "segments")
+    return texts, located(cut, materialize(passages(cut), "passages")), copied
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]], copy: bool) -> tuple[int, list[bytes]]:
@@ -205,14 +205,14 @@ def digests(docs: DataFrame) -> DataFrame:
         n, kept = _kept(text, spans, copy)
         return n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    texts, removed = removed_runs(docs)
-    return anchors.apply(texts, removed, finish, ["n_words", "n_removed", "kept_sha256"], "n_words long, n_removed long, kept_sha256 string", [pa.int64(), pa.int64(), pa.string()])
+    texts, removed, copied = removed_runs(docs)
+    return anchors.apply(texts, removed, copied, finish, ["n_words", "n_removed", "kept_sha256"], "n_words long, n_removed long, kept_sha256 string", [pa.int64(), pa.int64(), pa.string()])
 
 
 def kept_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to carry and the kept words, joined by one space."""
-    texts, removed = removed_runs(docs, carry)
-    return anchors.apply(texts, removed, lambda *x: (b" ".join(_kept(*x)[1]).decode(),), ["text"], "text string", [pa.string()])
+    texts, removed, copied = removed_runs(docs, carry)
+    return anchors.apply(texts, removed, copied, lambda *x: (b" ".join(_kept(*x)[1]).decode(),), ["text"], "text string", [pa.string()])
 
 
 def oracle() -> str:

@@ -121,12 +121,12 @@ def solver(parts: list[bytes], ids: list[int], starts: list[int]) -> Iterator[tu
         yield int(owner[a]), int(inside[a]), int(inside[b])
 
 
-def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs of bytes to remove)."""
+def removed_runs(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, runs of bytes to remove, copies)."""
     texts = anchors.narrow(docs, carry)
-    found = anchors.occurrences(texts, Bytes, WINDOW, GRAM)
-    cut = anchors.segments(texts, found, Bytes, WINDOW, GRAM, between=False, fold=True)
-    return texts, anchors.solve(cut, solver, Bytes, WINDOW)
+    found, copied = anchors.occurrences(texts, Bytes, WINDOW, GRAM), anchors.copies(texts)
+    cut = anchors.segments(texts, found, copied, Bytes, WINDOW, GRAM, between=False, fold=True)
+    return texts, anchors.solve(cut, solver, Bytes, WINDOW), copied
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]], copy: bool) -> tuple[bytes, list[tuple[int, int]]]:
@@ -145,9 +145,9 @@ def digests(docs: DataFrame) -> DataFrame:
         kept, spans = _kept(text, spans, copy)
         return len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
-    texts, removed = removed_runs(docs)
+    texts, removed, copied = removed_runs(docs)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    return anchors.apply(texts, removed, finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", kinds)
+    return anchors.apply(texts, removed, copied, finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", kinds)
 
 
 def kept_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -156,5 +156,5 @@ def kept_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     def finish(text: bytes, spans: list[tuple[int, int]], copy: bool) -> tuple:
         return (_kept(text, spans, copy)[0].decode("utf-8", "ignore"),)
 
-    texts, removed = removed_runs(docs, carry)
-    return anchors.apply(texts, removed, finish, ["text"], "text string", [pa.string()])
+    texts, removed, copied = removed_runs(docs, carry)
+    return anchors.apply(texts, removed, copied, finish, ["text"], "text string", [pa.string()])
