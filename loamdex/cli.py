@@ -1,4 +1,4 @@
-"""Command line: `python -m loamdex.cli sync|watch|search|advanced|related|document|browse|sources|status|demo ...`"""
+"""Command line: `python -m loamdex.cli sync|watch|search|advanced|related|document|browse|sources|status|health|publish|serve|demo ...`"""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import argparse
 import json
 import time
 
+from loamdex.server import Server
 from loamdex.service import Service, Settings, build, sync
 from loamdex.session import get_spark
+from loamdex.sources import sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,8 +32,9 @@ def parser() -> argparse.ArgumentParser:
     b = sub.add_parser("browse")
     for name in ("source", "space", "prefix"):
         b.add_argument(f"--{name}")
-    for name in ("sources", "status", "reindex", "demo"):
+    for name in ("sources", "status", "health", "reindex", "serve", "demo"):
         sub.add_parser(name)
+    sub.add_parser("publish").add_argument("target", help="folder that takes the tables")
     for name in ("sync", "watch"):
         y = sub.add_parser(name)
         y.add_argument("kind", choices=("confluence", "jira", "git"))
@@ -52,12 +55,31 @@ def demo(spark, path: str) -> None:
     build(docs.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}), path)
 
 
+def health(spark, path: str) -> dict[str, bool]:
+    """Which of the tables that a service reads can be read."""
+    found = {}
+    for name in ("documents", "index/postings", "links", "chunks"):
+        try:
+            spark.read.parquet(f"{path}/{name}").take(1)
+            found[name] = True
+        except Exception:  # noqa: BLE001  (missing and broken tables alike)
+            found[name] = False
+    return found
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = get_spark()
     if a.command == "demo":
         demo(spark, a.data)
         return 0
+    if a.command == "health":
+        found = health(spark, a.data)
+        print(json.dumps(found))
+        return 0 if found["documents"] and found["index/postings"] else 1
+    if a.command == "publish":
+        sinks.publish(spark, a.data, a.target)
+        return 0
     if a.command in ("sync", "watch"):
         while True:
             print(json.dumps(sync(spark, a.kind, a.source, a.data, a.full)))
@@ -65,6 +87,9 @@ def main(args: list[str] | None = None) -> int:
                 return 0
             time.sleep(max(5, a.every))
     service = Service.open(spark, a.data, settings=Settings.load(a.settings))
+    if a.command == "serve":
+        Server(service, a.data).serve()
+        return 0
     if a.command == "search":
         hits, facets = service.search(a.query, a.k, a.offset, a.user, sources=a.sources, spaces=a.spaces, tags=a.tags, authors=a.authors)
         print(json.dumps({"hits": [r.asDict() for r in hits.collect()], "facets": [r.asDict() for r in facets.collect()]}, ensure_ascii=False, default=str))

@@ -28,6 +28,7 @@ class Settings:
     doc_type_rules: str = ""
     auto_dictionary: bool = False
     allow_reindex: bool = False
+    search_log: str = ""
 
     @classmethod
     def load(cls, file: str | None = None) -> Settings:
