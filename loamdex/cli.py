@@ -1,15 +1,16 @@
-"""Command line: `python -m loamdex.cli sync|watch|search|advanced|related|document|browse|sources|status|health|publish|serve|demo ...`"""
+"""Command line: `python -m loamdex.cli acquire|sync|watch|init|search|advanced|related|document|browse|sources|status|health|publish|serve|demo ...`"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import time
 
 from loamdex.server import Server
 from loamdex.service import Service, Settings, build, sync
 from loamdex.session import get_spark
-from loamdex.sources import sinks
+from loamdex.sources import acquire, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +36,19 @@ def parser() -> argparse.ArgumentParser:
     for name in ("sources", "status", "health", "reindex", "serve", "demo"):
         sub.add_parser(name)
     sub.add_parser("publish").add_argument("target", help="folder that takes the tables")
+    i = sub.add_parser("init", help="adds NAME=value lines to the settings file")
+    i.add_argument("values", nargs="+", metavar="NAME=value")
+    q = sub.add_parser("acquire", help="fetches raw files; the token is read from LOAMDEX_TOKEN, the user from LOAMDEX_USER")
+    q.add_argument("kind", choices=("confluence", "jira", "git"))
+    q.add_argument("url")
+    q.add_argument("target", help="folder of the raw files")
+    q.add_argument("--only", nargs="*", default=[], help="spaces or projects")
+    q.add_argument("--days", type=int)
+    for name in ("since", "until", "branch"):
+        q.add_argument(f"--{name}")
+    q.add_argument("--depth", type=int)
+    for name in ("force", "dry-run"):
+        q.add_argument(f"--{name}", action="store_true")
     for name in ("sync", "watch"):
         y = sub.add_parser(name)
         y.add_argument("kind", choices=("confluence", "jira", "git"))
@@ -55,6 +69,27 @@ def demo(spark, path: str) -> None:
     build(docs.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}), path)
 
 
+def fetch(spark, a) -> dict:
+    user, token = os.environ.get("LOAMDEX_USER"), os.environ.get("LOAMDEX_TOKEN")
+    if a.kind == "git":
+        return acquire.acquire_repo(a.url, a.target, a.branch, a.depth, token, user)
+    common = {"user": user, "token": token, "days": a.days, "force": a.force, "dry_run": a.dry_run}
+    if a.kind == "jira":
+        return acquire.acquire_issues(spark, a.url, a.target, a.only, **common)
+    return acquire.acquire_pages(spark, a.url, a.target, a.only, since=a.since, until=a.until, **common)
+
+
+def init(path: str, values: list[str]) -> None:
+    """Sets NAME=value lines of a settings file, which only its owner may read; other lines stay."""
+    new = dict(v.split("=", 1) for v in values)
+    lines = []
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            lines = [line for line in f.read().splitlines() if line.partition("=")[0].strip() not in new]
+    with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
+        f.write("\n".join([*lines, *(f"{n}={v}" for n, v in new.items())]) + "\n")
+
+
 def health(spark, path: str) -> dict[str, bool]:
     """Which of the tables that a service reads can be read."""
     found = {}
@@ -69,7 +104,15 @@ def health(spark, path: str) -> dict[str, bool]:
 
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
+    if a.command == "init":
+        if not all("=" in v for v in a.values):
+            raise SystemExit("NAME=value is expected")
+        init(a.settings, a.values)
+        return 0
     spark = get_spark()
+    if a.command == "acquire":
+        print(json.dumps(fetch(spark, a)))
+        return 0
     if a.command == "demo":
         demo(spark, a.data)
         return 0

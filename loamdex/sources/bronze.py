@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import subprocess
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -233,22 +235,62 @@ class _RestReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self):
-        return [_LogPart(u) for u in self.options["urls"].split(",")]
+        return [_LogPart(u) for u in self.options["urls"].split()]
 
     def read(self, partition) -> Iterator[tuple]:
-        url, token = partition.path, self.options.get("token")
+        start = url = partition.path
+        headers = {"Accept": "application/json"} | authorization(self.options.get("user"), self.options.get("token"))
         while url:
-            request = urllib.request.Request(url, headers={"Accept": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {}))
-            with urllib.request.urlopen(request, timeout=float(self.options.get("timeout", 60))) as answer:
-                data = json.loads(answer.read())
-            for item in data.get(self.options.get("items", "results"), []):
+            data = fetch_json(url, headers, float(self.options.get("timeout", 60)))
+            items = data.get(self.options.get("items", "results"), [])
+            for item in items:
                 yield (json.dumps(item, ensure_ascii=False),)
-            following = (data.get("_links") or {}).get("next") or data.get("nextPage")
-            url = urllib.parse.urljoin(url, following) if following else None
+            url = following_page(start, url, data) if items else None
+
+
+def authorization(user: str | None, token: str | None) -> dict[str, str]:
+    """The header of a user with a token, or of a token alone."""
+    if not token:
+        return {}
+    return {"Authorization": "Basic " + base64.b64encode(f"{user}:{token}".encode()).decode() if user else f"Bearer {token}"}
+
+
+def fetch_json(url: str, headers: dict[str, str], timeout: float = 60.0, tries: int = 2) -> dict:
+    """The JSON of an answer. Failures of the network and of the server are tried again; refusals (4xx) aren't."""
+    while True:
+        tries -= 1
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as answer:
+                return json.loads(answer.read())
+        except urllib.error.HTTPError as e:
+            if e.code < 500 or not tries:
+                raise
+        except (urllib.error.URLError, TimeoutError):
+            if not tries:
+                raise
+
+
+def following_page(start: str, url: str, data: dict) -> str | None:
+    """The next page by a link or by a token. A link to another host isn't followed, since it would get the token."""
+    if data.get("nextPageToken"):
+        parts = urllib.parse.urlsplit(start)
+        query = urllib.parse.parse_qsl(parts.query) + [("nextPageToken", data["nextPageToken"])]
+        return urllib.parse.urlunsplit(parts._replace(query=urllib.parse.urlencode(query)))
+    links = data.get("_links") or {}
+    link = links.get("next") or data.get("nextPage")
+    if not link:
+        return None
+    # A link that begins with a slash is one below the context path, which the answer names where there is one.
+    context = links.get("context") or ""
+    out = urllib.parse.urljoin(url, context + link if link.startswith("/") and not link.startswith(f"{context}/") else link)
+    if urllib.parse.urlsplit(out)[:2] != urllib.parse.urlsplit(start)[:2]:
+        raise ValueError(f"the next page is on another host: {out}")
+    return out
 
 
 class RestSource(DataSource):
-    """`spark.read.format("rest_pages").option("urls", ...)`: items of paged JSON answers, one partition for each URL."""
+    """`spark.read.format("rest_pages").option("urls", ...)`: items of paged JSON answers, one partition for each of the URLs
+    (between spaces)."""
 
     @classmethod
     def name(cls) -> str:
