@@ -110,6 +110,8 @@ def acquire_pages(spark: SparkSession, base: str, path: str, spaces: list[str] =
 
 def acquire_issues(spark: SparkSession, base: str, path: str, projects: list[str], user: str | None = None, token: str | None = None, days: int | None = None, force: bool = False, dry_run: bool = False) -> dict[str, int]:
     """Writes issues whose time of update isn't stored, one file each."""
+    if not projects:
+        raise ValueError("name the projects")
     rows = materialize(issue_files(fetched(spark, issue_urls(base, projects, days), "issues", user, token)), "issues")
     files = _stored(spark, path, "*.json")
     name = F.element_at(F.split("path", "/"), -1).alias("name")
