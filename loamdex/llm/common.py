@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +25,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
 
 
+def ascii_lower(text: Column) -> Column:
+    """`text` with A-Z in lower case and all else as it is. lower() does that where no other capital is in the text; the
+    slower translate() is left for what has one."""
+    capital = text.rlike(r"[^\x00-\x7F&&[\p{IsUppercase}\p{IsTitlecase}]]")
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain | ~capital, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
+
+
 def sub_batches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to `most` at most, or one row if it alone is larger."""
     begin = total = 0
