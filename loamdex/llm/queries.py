@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import bpe, chosen_path, html_text, line_runs, mixing, multi_index, phrase_dedup, quality_rules, rule_ensemble, suffix_dedup, toxicity, voronoi_join
+from loamdex.llm import bpe, chosen_path, divergence, html_text, line_runs, mixing, multi_index, phrase_dedup, quality_rules, rule_ensemble, suffix_dedup, toxicity, voronoi_join
 from loamdex.session import read_table
 
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def op12_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_join.mine(read_table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chosen_path_dedup": op8_chosen_path_dedup,
         "op9_html_main_text": op9_html_main_text,
         "op10_toxicity": op10_toxicity,
+        "op11_source_divergence": op11_source_divergence,
         "op12_voronoi_negatives": op12_voronoi_negatives,
         "op13_line_runs": op13_line_runs,
     }
@@ -88,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_source_mixing": mixing.oracle(),
         "op4_phrase_automata_dedup": phrase_dedup.oracle(),
         "op7_quality_rules": quality_rules.oracle(),
+        "op11_source_divergence": divergence.oracle(),
         "op12_voronoi_negatives": voronoi_join.oracle(),
         "op13_line_runs": line_runs.oracle(),
     }
