@@ -9,10 +9,10 @@ is V |b - b'|, corrected for each term that one of them has. Those corrections a
 source against the other's baseline (running sums over the sorted distinct shares, met at the baseline, instead of a row
 for each term and other source), and one over the terms that both have.
 
-Ranks. `top_k` selects by radix: a histogram of the upper half of the values' bits gives each group's bucket in which the
-k-th value lies, one of the lower half its value; what is above stays, and rows of that very value are settled by
+Ranks. `top_k` selects by radix: a histogram of the values' leading bits (their number and the first 12) gives each
+group's bucket in which the k-th value lies, one of the remaining bits its value; what is above stays, and rows of that very value are settled by
 histograms over their items' UTF-8 bytes, two at a time, until a group's candidates fit. Each histogram is summed in the
-tasks first and has 66,049 buckets a group at most; no group is sorted as a whole.
+tasks first and has 2^20 buckets a group at most, as many as there are distinct values; no group is sorted as a whole.
 
 Defined results: null texts, languages and sources are empty; each row is a document, repeated rows too; a group without
 terms takes part with its baseline (with V = 0 all values are 0); a language of one source has no pairs; ties of values
@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,66 +45,67 @@ _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _HELD, _SLICE = 300_000, 4 << 20
 #: A group's rows are dealt to so many tasks where it meets its threshold.
 _SALTS = 16
-#: Bits of a value's lower half; shares and their differences are below 2^31.
-_HALF = 16
+#: Leading bits of a value that the first histogram tells apart.
+_LEAD = 12
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term; a row with an empty term marks the group."""
+    """(lang, source, term, n, docs): occurrences and documents of each term in the texts of a task; a row with an empty
+    term marks the group. Rows of a group and term are to be summed."""
+    one = 1 << 40  # a document; below it, occurrences
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            columns = [pa.array([k[i] for k in keys], pa.binary()).cast(pa.string()) for i in range(3)]
-            columns += [pa.array([held[k][i] for k in keys], pa.int64()) for i in range(2)]
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), found in held.items():
+                both = np.fromiter(found.values(), np.int64, len(found))
+                columns = [pa.repeat(lang, len(found)), pa.repeat(source, len(found)), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(both & (one - 1)), pa.array(both >> 40)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for part, texts in text_slices(batch, 0, _SLICE):
-                groups = zip(*[[x.encode() for x in part.column(i).to_pylist()] for i in (1, 2)], strict=True)
-                for (lang, source), text in zip(groups, texts, strict=True):
-                    held.setdefault((lang, source, b""), [0, 0])
+                for lang, source, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), texts, strict=True):
+                    own = held.setdefault((lang, source), {b"": 0})
+                    before, get = len(own), own.get
                     for term, n in Counter(_TERM.findall(text.lower())).items():
-                        found = held.get((lang, source, term))
-                        if found is None:
-                            held[lang, source, term] = [n, 1]
-                        else:
-                            found[0] += n
-                            found[1] += 1
-                    if len(held) >= _HELD:
-                        yield out()
-        if held:
-            yield out()
+                        own[term] = get(term, 0) + (n | one)
+                    size += len(own) - before
+                    if size >= _HELD:
+                        yield from out()
+                        size = 0
+        yield from out()
 
     rows = only(docs, text="string", lang="string", source="string")
     rows = rows.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    parts = rows.mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
 
 def share(n: Column, total: Column, kept: Column, prior: int = PRIOR) -> Column:
-    """1 + floor(SCALE (n + prior) / (total + prior kept)); 1 where nothing is kept."""
-    over, under = (F.lit(SCALE) * (n + prior).cast("decimal(20,0)")).cast("decimal(38,0)"), (total + prior * kept).cast("decimal(20,0)")
-    whole = F.floor(over / F.when(under > 0, under))
+    """1 + floor(SCALE (n + prior) / (total + prior kept)); 1 where nothing is kept. Longs hold it for most counts."""
+    over, under = F.lit(SCALE) * (n + prior).cast("decimal(20,0)"), total + prior * kept
+    whole = F.floor(over.cast("decimal(38,0)") / under.cast("decimal(20,0)")).cast("decimal(20,0)")
     # Division rounds its last digit: the quotient is set right by the remainder.
-    product = (whole.cast("decimal(20,0)") * under).cast("decimal(38,0)")
-    exact = F.when(product > over, whole - 1).when(product + under <= over, whole + 1).otherwise(whole)
-    return F.lit(1).cast("long") + F.coalesce(exact, F.lit(0)).cast("long")
+    product = (whole * under.cast("decimal(20,0)")).cast("decimal(38,0)")
+    exact = (whole - F.when(product > over, 1).when(product + under <= over, -1).otherwise(0)).cast("long")
+    short = F.lit(SCALE) * (n + prior)
+    return F.lit(1).cast("long") + F.when(under <= 0, F.lit(0).cast("long")).when(n + prior < (1 << 62) // SCALE, F.call_function("div", short, under)).otherwise(exact)
 
 
 def shares(docs: DataFrame, min_docs: int = MIN_DOCS, prior: int = PRIOR) -> tuple[DataFrame, DataFrame]:
     """(rows, groups), both written. rows: (lang, source, term, p, q) of the terms that a source has, with its share and
     the language's; groups: (lang, source, kept, baseline) of all sources."""
-    found = materialize(counts(spread(docs)), "term-counts")
-    terms = found.filter("term <> ''")
-    kept = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= min_docs)
-    held = materialize(terms.drop("docs").join(kept.select("lang", "term", "lang_n"), ["lang", "term"]), "kept-terms")
-    langs = found.select("lang").distinct().join(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")), "lang", "left").na.fill(0)
+    # The tasks have summed; one exchange by language and term serves both sums, over a source and over the language.
+    parts = counts(spread(docs)).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = W.partitionBy("lang", "term")  # a row for each source
+    both = parts.withColumn("lang_docs", F.sum("docs").over(term)).withColumn("lang_n", F.sum("n").over(term))
+    found = materialize(both.filter((F.col("term") == "") | (F.col("lang_docs") >= min_docs)).select("lang", "source", "term", "n", "lang_n"), "kept-terms")
+    held = found.filter("term <> ''")
     own = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = found.filter("term = ''").select("lang", "source").join(own, ["lang", "source"], "left").na.fill(0, ["total"]).join(langs, "lang")
+    langs = held.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    groups = found.filter("term = ''").select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
     groups = materialize(groups.withColumn("baseline", share(F.lit(0).cast("long"), F.col("total"), F.col("kept"), prior)), "term-groups")
     rows = _salted(held, F.xxhash64("term")).join(_replicated(groups), ["lang", "source", "salt"])
     p, q = share(F.col("n"), F.col("total"), F.col("kept"), prior), share(F.col("lang_n"), F.col("lang_total"), F.col("kept"), prior)
@@ -189,8 +191,10 @@ def top_k(rows: DataFrame, group: list[str], value: str, item: str, k: int) -> D
         plain = [*group, value, item, "salt"]
         return met.filter("sure").select(*plain), met.filter("NOT sure").select(*plain), edge.select(*group, "left")
 
-    kept, rest, wanted = split(rows, F.lit(k).cast("long"), F.shiftright(value, _HALF), False, None)
-    sure, rest, wanted = split(rest, F.lit(0), F.col(value).bitwiseAND(F.lit((1 << _HALF) - 1)), False, wanted)
+    bits = f"length(bin(`{value}`))"
+    cut = f"greatest({bits} - {_LEAD}, 0)"
+    kept, rest, wanted = split(rows, F.lit(k).cast("long"), F.expr(f"({bits} << {_LEAD}) + shiftright(`{value}`, {cut})"), False, None)
+    sure, rest, wanted = split(rest, F.lit(0), F.expr(f"`{value}` & (shiftleft(1L, {cut}) - 1L)"), False, wanted)
     kept = kept.unionByName(sure)
     # Rows of the threshold's value: two bytes of the item more in each round. A group whose are no more than it needs is done.
     at = 0
