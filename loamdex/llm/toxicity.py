@@ -51,7 +51,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 COST_SIGN, COST_HALVED, COST_LONG = 1.0, 3.0, (1.0, 1.5, 5.0)
 
 _EDGE = ".,;:!?\"'()[]{}<>*#%&|$…«»„“”‘’-_/\\~^=+"
-_APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]+){3,}[^\W_](?!\S)")
+#: Letters that stand alone, and three or more of them with what parts them; nothing is tried twice.
+_ALONE, _CHAIN = re.compile(r"[^\W_]"), re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]++){3,}+")
 _SINGLE = re.compile(r"[^\W_](?:[.\-_*+][^\W_]){2,}")
 _LONG = re.compile(r"([^\W\d_])\1\1")
 _MARKS = "0123456789@$!|+€£¡(<"
@@ -59,6 +60,23 @@ _MARK, _MARK_LETTER = re.compile(f"[{re.escape(_MARKS)}]"), re.compile(rf"[{re.e
 _LETTER, _END_MARKS = re.compile(r"[^\W\d_]"), "0123456789@$|€£"
 
 
+def spelled(text: str) -> Iterator[str]:
+    """Runs of four or more letters with signs or spaces between them ("h e l l o"), from a letter that no other sign
+    stands before to the last one that none follows. A chain of such letters is gone through once: if no end is found in
+    it from its first letter, none is from a later one."""
+    at = 0
+    while m := _CHAIN.search(text, at):
+        begin, at = m.span()
+        if _ALONE.match(text, at) and not text[at + 1 : at + 2].strip():
+            yield text[begin : at + 1]
+            continue
+        letters = [x.start() for x in _ALONE.finditer(text, begin, at)]
+        for i in reversed(letters[3:]):
+            if text[i + 1] == " ":
+                yield text[begin : i + 1]
+                break
+
+
 def disguised(token: str) -> bool:
     """Whether signs or digits stand among the letters: between two of them, before two or more, or after one at the end.
     Each search is one pass, however long the token."""
@@ -183,8 +201,8 @@ def restored_tokens(text: str, model: list, known: dict[str, str]) -> set[str]:
         if r is None:
             r = known[t] = restore(t, model)
         out.add(r)
-    for m in _APART.finditer(text):
-        out.add(decode(re.sub(r"[ .\-_*]+", "", m[0].lower()), model))
+    for run in spelled(text):
+        out.add(decode(re.sub(r"[ .\-_*]+", "", run.lower()), model))
     if len(known) > MEMORY:
         known.clear()
     out.discard("")
@@ -310,8 +328,8 @@ def score_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
                     r = restore(t, lm)
                     known[t] = (r, token_odds(r, odds))
                 found = set(map(known.__getitem__, raw))
-                for m in _APART.finditer(text):
-                    r = decode(re.sub(r"[ .\-_*]+", "", m[0].lower()), lm)
+                for run in spelled(text):
+                    r = decode(re.sub(r"[ .\-_*]+", "", run.lower()), lm)
                     found.add((r, token_odds(r, odds)))
                 found.discard(("", 0.0))
                 x = summary([v for _, v in found if v > 0], len(found))

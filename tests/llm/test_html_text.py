@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from loamdex.llm.html_text import extract, main_text
 from tests.llm.data import table
@@ -57,6 +60,39 @@ def test_headers_and_marks_in_articles():
     assert main_text(page) == f"Title\nBy Ann\nLead\n{TOLD}"
 
 
+LONG = "A block of plain text with enough words in it to be a paragraph of its own, number"
+
+
+def test_no_block_goes_by_its_neighbours():
+    page = f"<body><div><p>{LONG} one.</p></div><div><p>Short.</p></div><div><p>{LONG} two.</p></div><div><a href=/1>x</a> <a href=/2>y</a> <a href=/3>z</a></div></body>"
+    out = main_text(page).split("\n")
+    assert f"{LONG} one." in out and f"{LONG} two." in out and "x y z" not in out
+
+
+def test_marks_that_are_only_part_of_a_word():
+    page = f'<article>{STORY}<section id="related-work"><h2>Related work</h2><p>{LONG} one.</p></section><div class="social-history"><p>{LONG} two.</p></div>{STORY}</article>'
+    assert main_text(page).split("\n") == [*TOLD.split("\n"), "Related work", f"{LONG} one.", f"{LONG} two.", *TOLD.split("\n")]
+    for mark in ("commentlist", "relatedPosts", "share-buttons", "cookie_notice", "ad-container-2", "related-posts", "related-teasers-foo"):
+        extra = "<p><a href=/1>Another story</a></p>" if "foo" in mark else "<p>What a reader says about it.</p>"
+        assert main_text(f'<article>{STORY}<div class="{mark}">{extra}</div></article>') == TOLD, mark
+
+
+def test_parts_of_a_digest():
+    page = f"<article><h1>Digest</h1><article>{STORY}</article><article><h2>Other</h2><p>{LONG} two.</p></article></article>"
+    assert main_text(page).split("\n") == ["Digest", *TOLD.split("\n"), "Other", f"{LONG} two."]
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<b>" * n + "x" + "</i>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "<i><article>" + "<b>" * n + "</i>" * n, lambda n: "<ul><b>" + "<li><i>" * n,
+    lambda n: "<b>" * n + "</b>" * n + "x", lambda n: "<div>" * n + "x", lambda n: "<a>" * n + "<td>x" * n, lambda n: "<article>" * n + "x",
+])
+def test_ill_nested_pages_take_linear_time(make):
+    page = make(100_000)
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 4
+
+
 def plain(page: str) -> str:
     """The article of the test tables' simple pages, by string operations."""
     body = re.search(r"<article>(.*?)</article>", page, re.S)[1]

@@ -1,5 +1,8 @@
 import math
 import os
+import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -43,6 +46,22 @@ def test_letters_apart(model):
     assert "stupid" in toxicity.restored_tokens("s. t. u. p. i. d", model, {})
 
 
+def test_spelled_runs_are_those_of_the_pattern():
+    """One scan finds what a pattern that tries all ends does."""
+    r, pattern = random.Random(1), re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]+){3,}[^\W_](?!\S)")
+    for _ in range(30_000):
+        text = "".join(r.choice(["a", "b", " ", " ", ".", "-", "ab", "\n", "é", "_", "!"]) for _ in range(r.randrange(25)))
+        assert list(toxicity.spelled(text)) == [m[0] for m in pattern.finditer(text)], repr(text)
+
+
+@pytest.mark.parametrize("unit", ["a. ", "a .", "ab. ", "a.", "a b c d\n", "a-b ", ". "])
+def test_long_texts_take_linear_time(unit, model):
+    text = unit * (300_000 // len(unit)) + "x!"
+    began = time.process_time()
+    list(toxicity.spelled(text))
+    assert time.process_time() - began < 0.5
+
+
 def test_viterbi_is_the_best_path(model):
     """Against all readings of a short lattice."""
     import itertools
