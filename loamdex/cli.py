@@ -93,7 +93,7 @@ def init(path: str, values: list[str]) -> None:
 def health(spark, path: str) -> dict[str, bool]:
     """Which of the tables that a service reads can be read."""
     found = {}
-    for name in ("documents", "index/postings", "links", "chunks"):
+    for name in ("documents", "index/blocks", "links", "chunks"):
         try:
             spark.read.parquet(f"{path}/{name}").take(1)
             found[name] = True
@@ -119,7 +119,7 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "health":
         found = health(spark, a.data)
         print(json.dumps(found))
-        return 0 if found["documents"] and found["index/postings"] else 1
+        return 0 if found["documents"] and found["index/blocks"] else 1
     if a.command == "publish":
         sinks.publish(spark, a.data, a.target)
         return 0

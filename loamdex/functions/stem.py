@@ -50,7 +50,7 @@ def porter(word: str) -> str:
             w = w[: -len(end)]
             if w.endswith(("at", "bl", "iz")):
                 w += "e"
-            elif len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c" and w[-1] not in "lsz":
+            elif len(w) > 1 and w[-1] == w[-2] and _shape(w)[-2:] == "cc" and w[-1] not in "lsz":
                 w = w[:-1]
             elif _measure(w) == 1 and _short(w):
                 w += "e"
@@ -74,7 +74,9 @@ def porter(word: str) -> str:
 
 def fold(word: str) -> str:
     """Lower case without diacritics."""
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+    if word.isascii():
+        return word.lower()
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn"))
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loamdex.functions.analysis import query_units
 from loamdex.functions.text import WORD_CHARS, query_terms, recency_decay, sigmoid, tokens
+from loamdex.operators import block_index
+from loamdex.operators.block_index import BlockIndex
 from loamdex.operators.index import ID_TOKENS, TermIndex
 
 K1, B = 1.2, 0.75
@@ -74,15 +77,22 @@ def ranked(scores: DataFrame, k: int, offset: int = 0, by: str = "bm25") -> Data
     return best.withColumn("rank", F.row_number().over(W.orderBy(by, "doc_id")) + offset)  # k rows
 
 
-def keyword_search(docs: DataFrame, query: str, k: int = 10, offset: int = 0, where: Column | None = None, as_of: Column | None = None, index: TermIndex | None = None) -> DataFrame:
-    """(rank, doc_id, title, bm25, score): rows in the order of BM25. The score adds recency and, where all terms are in
+def keyword_search(docs: DataFrame, query: str, k: int = 10, offset: int = 0, where: Column | None = None, as_of: Column | None = None, index: TermIndex | BlockIndex | None = None) -> DataFrame:
+    """(rank, doc_id, title, bm25, score): rows in the order of BM25. A block index is searched by analysed words (stems,
+    folded, phrases) and read only where the best rows may be; a term index and a scan match words as they are. The score adds recency and, where all terms are in
     the title, a boost; it doesn't change the order. Filters apply after the statistics, which cover all documents.
     Without a term of two characters, all words of the query must occur somewhere (`like_search`)."""
     terms = query_terms(query)
     if not terms:
         return like_search(docs, query, k, offset, where, as_of)
-    scores = index_scores(index, terms) if index is not None else scan_scores(docs, terms)
     kept = docs if where is None else docs.filter(where)
+    if isinstance(index, BlockIndex):
+        units = query_units(query)
+        if not units:
+            return like_search(docs, query, k, offset, where, as_of)
+        scores = block_index.best(index, units, k + offset, None if where is None else kept).rows
+    else:
+        scores = index_scores(index, terms) if index is not None else scan_scores(docs, terms)
     hits = ranked(scores.join(kept.select("doc_id", "title", "updated_at"), "doc_id"), k, offset)
     in_title = F.lit(True)
     for t in terms:
@@ -107,10 +117,12 @@ def like_search(docs: DataFrame, query: str, k: int = 10, offset: int = 0, where
     return hits.select(rank.alias("rank"), "doc_id", "title", F.lit(None).cast("double").alias("bm25"), (0.5 * (1 + RECENCY_BOOST * decay)).alias("score"))
 
 
-def advanced_search(docs: DataFrame, title: str | None = None, body: str | None = None, where: Column | None = None, k: int = 10, offset: int = 0) -> DataFrame:
+def advanced_search(docs: DataFrame, title: str | None = None, body: str | None = None, where: Column | None = None, k: int = 10, offset: int = 0, index: BlockIndex | None = None) -> DataFrame:
     """(rank, doc_id, title, score): fields ANDed. Frequencies are those of each field alone, and the parts of both are
-    summed. Without title and body terms the newest rows come first; without any condition nothing does."""
-    fields = {f: query_terms(q) for f, q in (("title", title), ("body", body)) if q}
+    summed. Without title and body terms the newest rows come first; without any condition nothing does. With an index no
+    text is read, only the blocks of the terms, and words are analysed."""
+    terms_of = query_units if index is not None else query_terms
+    fields = {f: terms_of(q) for f, q in (("title", title), ("body", body)) if q}
     fields = {f: terms for f, terms in fields.items() if terms}
     kept = docs if where is None else docs.filter(where)
     if not fields:
@@ -120,7 +132,8 @@ def advanced_search(docs: DataFrame, title: str | None = None, body: str | None
         return hits.select(rank.alias("rank"), "doc_id", "title", F.lit(1.0).alias("score"))
     scores = None
     for f, terms in fields.items():
-        own = scan_scores(docs, terms, f).withColumnRenamed("bm25", f"bm25_{f}")
+        own = scan_scores(docs, terms, f) if index is None else block_index.all_scores(index, terms, f)
+        own = own.withColumnRenamed("bm25", f"bm25_{f}")
         scores = own if scores is None else scores.join(own, "doc_id")
     total = sum((F.col(f"bm25_{f}") for f in fields), F.lit(0.0))
     hits = ranked(scores.select("doc_id", total.alias("bm25")).join(kept.select("doc_id", "title"), "doc_id"), k, offset)

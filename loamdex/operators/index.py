@@ -37,9 +37,10 @@ def tokenized(docs: DataFrame, stem: bool = False) -> DataFrame:
     """(doc_id, title_tokens, body_tokens) of rows with doc_id, title and body."""
     t, b = tokens(F.col("title")), tokens(F.col("body"))
     if stem:
+        from loamdex.functions.analysis import raw_words
         from loamdex.functions.stem import stem_tokens
 
-        t, b = stem_tokens(t), stem_tokens(b)
+        t, b = (F.filter(stem_tokens(raw_words(F.col(f))), lambda w: w != "") for f in ("title", "body"))
     return docs.select("doc_id", t.alias("title_tokens"), b.alias("body_tokens"))
 
 

@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Imports the modules whose queries register themselves."""
-    from loamdex.plans import data_queries, more_queries, search_queries, text_queries  # noqa: F401
+    from loamdex.plans import data_queries, index_queries, more_queries, search_queries, text_queries  # noqa: F401

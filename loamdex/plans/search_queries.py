@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamdex import corpus
 from loamdex.corpus import DOC_SQL, LINK_SQL, as_of
 from loamdex.functions import text as T
+from loamdex.functions.analysis import ANALYSED, stems_sql
 from loamdex.operators import bm25, filters, fusion, graph, index, vector
 from loamdex.plans.registry import query
 
@@ -344,7 +345,10 @@ def n10_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return index.build(corpus.documents(spark, sf)).lengths
 
 
-@query("n10_stemmed_postings")
+@query("n10_stemmed_postings", f"""WITH {DOC_SQL}, words AS (SELECT doc_id, 1 AS a, unnest(regexp_extract_all(lower(title), '[{ANALYSED}]+')) AS word FROM doc UNION ALL SELECT doc_id, 0, unnest(regexp_extract_all(lower(body), '[{ANALYSED}]+')) FROM doc),
+{stems_sql("words")}, s AS (SELECT doc_id, a, stem FROM words JOIN stems USING (word) WHERE stem <> ''), l AS (SELECT doc_id, count(*) + 1 AS length FROM s GROUP BY doc_id),
+c AS (SELECT stem AS term, doc_id, sum(a)::BIGINT AS tf_title, sum(1 - a)::BIGINT AS tf_body FROM s GROUP BY ALL)
+SELECT term, doc_id, tf_title, tf_body, length::INTEGER AS length, count(*) OVER w AS df, count(*) FILTER (tf_title > 0) OVER w AS df_title, count(*) FILTER (tf_body > 0) OVER w AS df_body FROM c JOIN l USING (doc_id) WINDOW w AS (PARTITION BY term)""")
 def n10_stemmed(spark: SparkSession, sf: str) -> DataFrame:
     return index.build(corpus.documents(spark, sf), stem=True).postings
 

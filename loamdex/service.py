@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions import chunking, markdown
-from loamdex.functions.text import highlight, query_terms
-from loamdex.operators import bm25, filters, fusion, graph, index, ingest, vector
+from loamdex.functions.analysis import query_units
+from loamdex.functions.text import highlight
+from loamdex.operators import block_index, bm25, filters, fusion, graph, ingest, vector
 from loamdex.session import materialize
 from loamdex.sources import bronze
 
@@ -54,7 +55,7 @@ class Service:
     categories, hierarchy, author, created_at, updated_at, static_score; `chunks` chunk_id, doc_id, vector."""
 
     docs: DataFrame
-    terms: index.TermIndex
+    terms: block_index.BlockIndex
     chunks: DataFrame | None = None
     links: DataFrame | None = None
     dictionary: list[fusion.Entry] = field(default_factory=list)
@@ -78,7 +79,7 @@ class Service:
                     return None
                 raise
 
-        return cls(table("documents"), index.load(spark, f"{path}/index"), table("chunks"), table("links"), **more)
+        return cls(table("documents"), block_index.load(spark, f"{path}/index"), table("chunks"), table("links"), **more)
 
     def _expanded(self, query: str, user: str | None) -> tuple[str, list[fusion.Entry]]:
         own = self.user_dictionaries.get(user or "", [])
@@ -86,17 +87,16 @@ class Service:
 
     def candidates(self, query: str, k: int, offset: int, where: Column | None) -> DataFrame:
         """(doc_id, score, rank): keyword candidates reranked, or keyword and vector lists fused."""
-        terms = query_terms(query)
+        units = query_units(query)
         kept = self.docs if where is None else self.docs.filter(where)
-        scores = bm25.index_scores(self.terms, terms)
-        if where is not None:
-            scores = scores.join(kept.select("doc_id"), "doc_id", "left_semi")
+        allowed = None if where is None else kept
         if self.settings.rerank:
-            pool = bm25.ranked(scores, fusion.per_pool(1, k, offset, self.settings.rerank_pool))
+            size = fusion.per_pool(1, k, offset, self.settings.rerank_pool)
+            pool = bm25.ranked(block_index.best(self.terms, units, size, allowed).rows, size)
             hits = pool.join(kept, "doc_id").select("doc_id", "title", F.substring("body", 1, 300).alias("passage"), "static_score")
             return fusion.rerank(hits, query, k, offset, self.settings.static_alpha, self.scorer)
         kw, vec = fusion.pools(k, offset)
-        keyword = bm25.ranked(scores, kw)
+        keyword = bm25.ranked(block_index.best(self.terms, units, kw, allowed).rows, kw)
         near = keyword.select("doc_id", F.lit(0.0).alias("score")).limit(0)
         if self.chunks is not None:
             vectors = self.chunks.join(kept.select("doc_id"), "doc_id", "left_semi")
@@ -112,7 +112,7 @@ class Service:
             return empty.select("doc_id", "title"), fusion.facets(empty)
         expanded, matched = self._expanded(words, user)
         condition = filters.build_filter(**where).condition()
-        if not query_terms(expanded):
+        if not query_units(expanded):
             hits = bm25.like_search(self.docs, words, k, offset, condition, self.as_of)
             return hits, fusion.facets(hits.select("doc_id").join(self.docs, "doc_id"))
         found = self.candidates(expanded, 2 * (k + offset), 0, condition).join(self.docs.drop("score"), "doc_id")
@@ -124,7 +124,7 @@ class Service:
         return shown.orderBy("rank"), fusion.facets(found)
 
     def advanced_search(self, title=None, body=None, k: int = 10, offset: int = 0, **fields) -> DataFrame:
-        return bm25.advanced_search(self.docs, title, body, filters.field_condition(**fields), k, offset)
+        return bm25.advanced_search(self.docs, title, body, filters.field_condition(**fields), k, offset, self.terms)
 
     def get_related(self, doc_id, k: int = 10) -> DataFrame:
         links = self.links if self.links is not None else self.docs.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst")).limit(0)
@@ -147,7 +147,10 @@ class Service:
     def reindex(self, path: str) -> None:
         if not self.settings.allow_reindex:
             raise PermissionError("reindexing isn't allowed")
-        index.save(index.build(self.docs), f"{path}/index")
+        spark = self.docs.sparkSession
+        with ingest.writer_lock(spark, path):
+            block_index.save(block_index.build(self.docs), f"{path}/index.next")
+            ingest.swap(spark, f"{path}/index.next", f"{path}/index")
 
 
 def build(docs: DataFrame, path: str, as_of: Column | None = None, links: DataFrame | None = None, chunks: DataFrame | None = None) -> None:
@@ -155,7 +158,7 @@ def build(docs: DataFrame, path: str, as_of: Column | None = None, links: DataFr
     counts = graph.backlinks(links) if links is not None else docs.select(F.col("doc_id").alias("dst"), F.lit(0).alias("n")).limit(0)
     scores = graph.static_scores(docs, counts, as_of if as_of is not None else F.current_timestamp())
     docs.drop("static_score").join(scores, "doc_id").write.mode("overwrite").parquet(f"{path}/documents")
-    index.save(index.build(docs), f"{path}/index")
+    block_index.save(block_index.build(docs), f"{path}/index")
     if links is not None:
         links.write.mode("overwrite").parquet(f"{path}/links")
     if chunks is not None:
@@ -216,9 +219,9 @@ def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool,
     if chunks is not None:
         chunks = chunks.join(changed.select("doc_id"), "doc_id", "left_anti").select("chunk_id", "doc_id", "vector").unionByName(vectors)
     chunks = materialize(ingest.live_only(chunks if chunks is not None else vectors, docs), "chunks")
-    had = _table(spark, f"{path}/index/postings") is not None
-    terms = index.refresh(index.load(spark, f"{path}/index"), changed, docs) if had else index.build(docs)
-    index.save(terms, f"{path}/index.next")
+    had = _table(spark, f"{path}/index/blocks") is not None
+    terms = block_index.refresh(block_index.load(spark, f"{path}/index"), changed, docs) if had else block_index.build(docs)
+    block_index.save(terms, f"{path}/index.next")
     ingest.write_swapped(graph.update_static(docs, scores), f"{path}/documents")
     ingest.write_swapped(links, f"{path}/links")
     ingest.write_swapped(chunks, f"{path}/chunks")

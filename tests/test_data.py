@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamdex import service
-from loamdex.operators import cluster, evaluate, extract, index, ingest, mining
+from loamdex.operators import block_index, cluster, evaluate, extract, ingest, mining
 from loamdex.sources import bronze, sinks
 
 
@@ -71,8 +71,8 @@ def test_sync_keeps_links_scores_chunks_and_index_up_to_date(spark, tmp_path):
 
     def same_index():
         docs = spark.read.parquet(f"{data}/documents")
-        fresh, kept = index.build(docs), index.load(spark, f"{data}/index")
-        for table in ("postings", "lengths", "totals"):
+        fresh, kept = block_index.build(docs), block_index.load(spark, f"{data}/index")
+        for table in ("blocks", "lengths", "totals"):
             rows = [sorted(map(tuple, getattr(x, table).select(getattr(fresh, table).columns).collect())) for x in (fresh, kept)]
             assert rows[0] == rows[1]
 
