@@ -33,6 +33,10 @@ from loamdex.session import materialize
 SLOT_DOCS = 128
 #: Slots that are read for the floor.
 FIRST = 8
+#: Blocks that are read at once, as finding out which to leave costs more.
+FEW = 1024
+#: Terms whose frequencies an open index keeps.
+KEPT_TERMS = 10_000
 #: Postings that a task hands on at once, at least.
 _HELD = 100_000
 
@@ -53,6 +57,19 @@ class BlockIndex:
     lengths: DataFrame
     totals: DataFrame
     _stats: tuple[int, float, int] | None = field(default=None, repr=False)
+    _terms: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+
+    def frequencies(self, terms: list[str]) -> dict[str, tuple[int, ...]]:
+        """(documents, with it in the title, in the body, blocks) of each term. What an open index has been asked for is
+        kept, `KEPT_TERMS` terms at most, so that a search service asks for a common term once."""
+        missing = [t for t in terms if t not in self._terms]
+        if missing:
+            if len(self._terms) + len(missing) > KEPT_TERMS:
+                self._terms.clear()
+                missing = terms
+            found = _frequencies(self.blocks.filter(F.col("term").isin(missing)))
+            self._terms |= {t: found.get(t, (0, 0, 0, 0)) for t in missing}
+        return {t: self._terms[t] for t in terms}
 
     def stats(self) -> tuple[int, float, int]:
         """(number of documents, average length, slots), read once."""
@@ -62,6 +79,12 @@ class BlockIndex:
         return self._stats
 
 
+def _frequencies(blocks: DataFrame) -> dict[str, tuple[int, ...]]:
+    """By term; for the blocks of a few terms."""
+    rows = blocks.groupBy("term").agg(*[F.sum(c) for c in ("n", "n_title", "n_body")], F.count("*")).collect()
+    return {r[0]: tuple(r[1:]) for r in rows}
+
+
 def slot_of(doc_id: str, slots: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(slots))
 
@@ -211,14 +234,16 @@ class Scorer:
     def __post_init__(self) -> None:
         self.weights = (self.title_weight * (self.only != "body"), self.body_weight * (self.only != "title"))
         times = Counter(" ".join(u) for u in self.units)
-        own = self.index.blocks.filter(F.col("term").isin(sorted({u[0] for u in self.units if len(u) == 1})))
+        single = sorted({u[0] for u in self.units if len(u) == 1})
+        own, known = self.index.blocks.filter(F.col("term").isin(single)), dict(self.index.frequencies(single)) if single else {}
         for phrase in sorted({u for u in self.units if len(u) > 1}):
-            own = own.unionByName(phrase_blocks(self.index, phrase))
+            found = phrase_blocks(self.index, phrase)
+            own, known = own.unionByName(found), known | _frequencies(found)
         self.blocks = own.select(*HEAD, "postings")
+        self.n_blocks = sum(x[3] for x in known.values())
         n_docs, self.average, _ = self.index.stats()
-        # A row for each unit of the query.
-        sums = self.blocks.groupBy("term").agg(F.sum({"title": "n_title", "body": "n_body"}.get(self.only or "", "n")).alias("df")).collect()
-        self.weight = {r.term: times[r.term] * max(math.log((n_docs - r.df + 0.5) / (r.df + 0.5)), LEAST_IDF) for r in sums if r.df}
+        df = {t: x[{"title": 1, "body": 2}.get(self.only or "", 0)] for t, x in known.items()}
+        self.weight = {t: times[t] * max(math.log((n_docs - n + 0.5) / (n + 0.5)), LEAST_IDF) for t, n in df.items() if n}
 
     def _weighted(self, part: Column) -> Column:
         weight = F.lit(0.0)
@@ -241,18 +266,24 @@ class Scorer:
 
 @dataclass
 class Best:
-    """The k best rows (doc_id, bm25), and how many of the units' blocks were read for them."""
+    """The k best rows (doc_id, bm25), how many blocks the query has, and those of them that are read (a number, or a row
+    for each)."""
 
     rows: DataFrame
-    read: int
+    chosen: int | DataFrame
     blocks: int
 
+    def read(self) -> int:
+        return self.chosen if isinstance(self.chosen, int) else self.chosen.count()
+
 
-def best(index: BlockIndex, units: list[Unit], k: int, allowed: DataFrame | None = None, only: str | None = None, first: int = FIRST, count: bool = False) -> Best:
+def best(index: BlockIndex, units: list[Unit], k: int, allowed: DataFrame | None = None, only: str | None = None, first: int = FIRST, few: int = FEW) -> Best:
     """The k best documents, the same as by summing all postings; ties go to the smaller doc_id. `allowed` limits them to
-    its doc_ids; statistics cover all. With `count` the blocks are counted."""
+    its doc_ids; statistics cover all. A query of `few` blocks at most reads them all at once."""
     scorer = Scorer(index, units, only)
     kept = lambda rows: rows if allowed is None else rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    if scorer.n_blocks <= few:
+        return Best(kept(scorer.scores()).orderBy("bm25", "doc_id").limit(k), scorer.n_blocks, scorer.n_blocks)
     bounds = scorer.bounds()
     top = [r.slot for r in bounds.orderBy(F.desc("bound"), "slot").limit(first).collect()]
     early = kept(scorer.scores(scorer.blocks.filter(F.col("slot").isin(top)))).orderBy("bm25", "doc_id").limit(k)
@@ -262,11 +293,8 @@ def best(index: BlockIndex, units: list[Unit], k: int, allowed: DataFrame | None
         rest = rest.filter(F.col("bound") >= -found[-1].bm25 * (1 - 1e-9))  # sums of doubles differ by their order
     later = scorer.blocks.join(rest.select("slot"), "slot", "left_semi")
     head = index.blocks.sparkSession.createDataFrame(found, early.schema)
-    read = total = -1
-    if count:
-        total = scorer.blocks.count()
-        read = scorer.blocks.filter(F.col("slot").isin(top)).count() + later.count()
-    return Best(head.unionByName(kept(scorer.scores(later))).orderBy("bm25", "doc_id").limit(k), read, total)
+    read = scorer.blocks.filter(F.col("slot").isin(top)).select("slot").unionByName(later.select("slot"))
+    return Best(head.unionByName(kept(scorer.scores(later))).orderBy("bm25", "doc_id").limit(k), read, scorer.n_blocks)
 
 
 def all_scores(index: BlockIndex, units: list[Unit], only: str | None = None) -> DataFrame:
