@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import chunking, markdown
 from loamdex.functions.analysis import query_units
 from loamdex.functions.text import highlight
-from loamdex.operators import block_index, bm25, filters, fusion, graph, ingest, vector
+from loamdex.operators import block_index, bm25, cell_vectors, filters, fusion, graph, ingest, vector
 from loamdex.session import materialize
 from loamdex.sources import bronze
 
@@ -26,6 +26,7 @@ class Settings:
     rerank: bool = True
     rerank_pool: int = fusion.RERANK_POOL
     relevance_distance: float = filters.RELEVANCE_DISTANCE
+    vector_share: float = cell_vectors.SHARE
     doc_type_rules: str = ""
     auto_dictionary: bool = False
     allow_reindex: bool = False
@@ -52,11 +53,12 @@ class Settings:
 @dataclass
 class Service:
     """`docs` has the columns of `loamdex.operators.ingest.normalize`, or at least doc_id, source, space, title, body, tags,
-    categories, hierarchy, author, created_at, updated_at, static_score; `chunks` chunk_id, doc_id, vector."""
+    categories, hierarchy, author, created_at, updated_at, static_score; `chunks` are vectors by cell, or a table of
+    chunk_id, doc_id, vector."""
 
     docs: DataFrame
     terms: block_index.BlockIndex
-    chunks: DataFrame | None = None
+    chunks: cell_vectors.CellVectors | DataFrame | None = None
     links: DataFrame | None = None
     dictionary: list[fusion.Entry] = field(default_factory=list)
     profiles: dict[str, fusion.Profile] = field(default_factory=dict)
@@ -79,7 +81,8 @@ class Service:
                     return None
                 raise
 
-        return cls(table("documents"), block_index.load(spark, f"{path}/index"), table("chunks"), table("links"), **more)
+        chunks = cell_vectors.load(spark, path) if table("cells") is not None else table("chunks")
+        return cls(table("documents"), block_index.load(spark, f"{path}/index"), chunks, table("links"), **more)
 
     def _expanded(self, query: str, user: str | None) -> tuple[str, list[fusion.Entry]]:
         own = self.user_dictionaries.get(user or "", [])
@@ -99,9 +102,12 @@ class Service:
         keyword = bm25.ranked(block_index.best(self.terms, units, kw, allowed).rows, kw)
         near = keyword.select("doc_id", F.lit(0.0).alias("score")).limit(0)
         if self.chunks is not None:
-            vectors = self.chunks.join(kept.select("doc_id"), "doc_id", "left_semi")
-            own = (self.embed or vector.hashing_embedder())([f"query: {query}"])[0]
-            near = vector.best_chunks(vector.search(vectors, vector.literal(own.tolist()), vec))
+            own = (self.embed or vector.hashing_embedder())([f"query: {query}"])[0].tolist()
+            if isinstance(self.chunks, cell_vectors.CellVectors):
+                found = cell_vectors.search(self.chunks, own, vec, share=self.settings.vector_share, among=kept)
+            else:
+                found = vector.search(self.chunks.join(kept.select("doc_id"), "doc_id", "left_semi"), vector.literal(own), vec)
+            near = vector.best_chunks(found)
         return fusion.hybrid_search(keyword, near, self.docs, k, offset, self.as_of, self.settings.static_alpha, self.settings.relevance_distance)
 
     def search(self, query: str, k: int = 10, offset: int = 0, user: str | None = None, **where) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +168,7 @@ def build(docs: DataFrame, path: str, as_of: Column | None = None, links: DataFr
     if links is not None:
         links.write.mode("overwrite").parquet(f"{path}/links")
     if chunks is not None:
-        chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        cell_vectors.build(chunks, path)
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -214,17 +220,18 @@ def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool,
     links = materialize(links.select("src", "dst"), "links")
     scores = graph.static_scores(docs, graph.backlinks(links), F.current_timestamp())
     pieces = chunking.chunks(changed)
-    vectors = pieces.select("chunk_id", "doc_id", vector.embed_column(F.col("text"), embed).alias("vector"))
-    chunks = _table(spark, f"{path}/chunks")
-    if chunks is not None:
-        chunks = chunks.join(changed.select("doc_id"), "doc_id", "left_anti").select("chunk_id", "doc_id", "vector").unionByName(vectors)
-    chunks = materialize(ingest.live_only(chunks if chunks is not None else vectors, docs), "chunks")
+    vectors = materialize(pieces.select("chunk_id", "doc_id", vector.embed_column(F.col("text"), embed).alias("vector")), "chunks")
+    # Before the documents are swapped: whose chunks go.
+    gone = materialize(changed.select("doc_id").unionByName(stored.join(docs.select("doc_id"), "doc_id", "left_anti").select("doc_id")), "gone")
     had = _table(spark, f"{path}/index/blocks") is not None
     terms = block_index.refresh(block_index.load(spark, f"{path}/index"), changed, docs) if had else block_index.build(docs)
     block_index.save(terms, f"{path}/index.next")
     ingest.write_swapped(graph.update_static(docs, scores), f"{path}/documents")
     ingest.write_swapped(links, f"{path}/links")
-    ingest.write_swapped(chunks, f"{path}/chunks")
+    if _table(spark, f"{path}/cells") is None:
+        cell_vectors.build(ingest.live_only(vectors, docs), path)
+    else:
+        cell_vectors.update(spark, path, vectors, gone)
     ingest.swap(spark, f"{path}/index.next", f"{path}/index")
     return stats
 
