@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loamdex.functions.text import normalize_words
+from loamdex.operators import descent
 from loamdex.operators.vector import dot
 from loamdex.session import materialize
 
@@ -132,10 +133,11 @@ def key_words(texts: DataFrame, top: int = 6) -> DataFrame:
 
 def analyze(passages: DataFrame, k: int = 3, alpha: float = 1.0, least: int = 2, support: int = 1, off_alpha: float = 1.0) -> dict[str, DataFrame]:
     """passages (id, doc_id, text, v) to {members: (id, cluster, off_topic), topics: (cluster, support, affinity,
-    off_topic), words: (cluster, rank, term, weight)}. Clusters below the support are off topic too."""
+    off_topic), words: (cluster, rank, term, weight)}. Clusters below the support are off topic too. Neighbours come from
+    descent: exact up to `descent.BLOCK` passages, nearly all of them beyond."""
     rows = materialize(passages.select("id", unit(F.col("v")).alias("v")), "passages")
-    found = materialize(neighbours(centred(rows), k), "neighbours")
-    members = materialize(clusters(rows.select("id"), mutual_edges(found, alpha), least), "members")
+    edges = descent.mutual_edges(materialize(centred(rows), "centred"), k, alpha)
+    members = materialize(clusters(rows.select("id"), edges, least), "members")
     topics = off_topic(rows, members, off_alpha).join(doc_support(members, passages.select("id", "doc_id")), "cluster")
     topics = topics.withColumn("off_topic", F.col("off_topic") | (F.col("support") < support))
     kept = members.join(topics.select("cluster", "off_topic"), "cluster", "left").select("id", "cluster", F.coalesce("off_topic", F.lit(True)).alias("off_topic"))

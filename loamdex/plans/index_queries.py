@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from loamdex import corpus
 from loamdex.corpus import DOC_SQL, as_of
 from loamdex.functions.analysis import ANALYSED, query_units, stems_sql
-from loamdex.operators import bm25, block_index, filters
+from loamdex.operators import block_index, bm25, cell_vectors, cluster, descent, filters
+from loamdex.plans.data_queries import _SIMS, _vectors
 from loamdex.plans.registry import query
-from loamdex.session import shared_dir
+from loamdex.plans.search_queries import _distance_sql
+from loamdex.session import materialize, shared_dir
 
 QUERY = "athawhs thonred things hending eres"
 PHRASES = "the_and thing OF-THE ered is_the_thes"
@@ -97,3 +99,43 @@ def k1_heads(spark: SparkSession, sf: str) -> DataFrame:
     heads = block_index.build(corpus.documents(spark, sf)).blocks
     sums = [F.sum(c).alias(c) for c in ("n", "n_title", "n_body")]
     return heads.groupBy("term").agg(*sums, F.max("max_title").alias("max_title"), F.max("max_body").alias("max_body"), F.min("least_length").alias("least_length"))
+
+
+# ---- vectors by cell, neighbour descent
+
+
+def _cells(spark: SparkSession, sf: str) -> cell_vectors.CellVectors:
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    cell_vectors.build(corpus.chunk_vectors(spark, sf), path)
+    return cell_vectors.load(spark, path)
+
+
+_HITS = "rank::INTEGER AS rank, chunk_id, doc_id, round(score, 6) AS score, round(1 - score, 6) AS distance"
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("rank").cast("int").alias("rank"), "chunk_id", "doc_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
+
+
+@query("r4_cells_exact", f"WITH {_distance_sql(7)} SELECT {_HITS} FROM top WHERE rank <= 25")
+def r4_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(cell_vectors.search(_cells(spark, sf), corpus.query_vector(spark, sf, 7), 25, exact=True))
+
+
+@query("f2_cells_filtered", f"""WITH {_distance_sql(3)}, kept AS (SELECT chunk_id, doc_id, score FROM near WHERE doc_id % 3 = 1 AND chunk_id >= 50)
+SELECT row_number() OVER (ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, doc_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM kept QUALIFY rank > 5 AND rank <= 20""")
+def f2_cells(spark: SparkSession, sf: str) -> DataFrame:
+    where = (F.col("doc_id") % 3 == 1) & (F.col("chunk_id") >= 50)
+    return _hits(cell_vectors.search(_cells(spark, sf), corpus.query_vector(spark, sf, 3), 15, 5, where, exact=True))
+
+
+@query("m1_descent_edges", f"WITH {_SIMS} SELECT a, b FROM edges")
+def m1_descent(spark: SparkSession, sf: str) -> DataFrame:
+    """The SQL's rows up to `descent.BLOCK` vectors, and most of them beyond."""
+    return descent.mutual_edges(materialize(cluster.centred(_vectors(spark, sf)), "centred"))
+
+
+@query("m1_similarity_moments", f"WITH {_SIMS} SELECT count(*) AS n, round(avg(sim), 9) AS mean, round(stddev_pop(sim), 6) AS deviation FROM sims")
+def m1_moments(spark: SparkSession, sf: str) -> DataFrame:
+    found = descent.moments(cluster.centred(_vectors(spark, sf)))
+    return found.select("n", F.round("mean", 9).alias("mean"), F.round("deviation", 6).alias("deviation"))
