@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loamdex.operators import hierarchy
+
 MOST_CHARS, MOST_HEADINGS, HALF_LIFE = 50_000, 50, 180.0
 SIBLING, PARENT, LINKED = 0.9, 0.7, 0.5
 
@@ -69,15 +71,20 @@ def linked(links: DataFrame, doc: Column, k: int) -> DataFrame:
     return out.unionByName(back).groupBy("doc_id").agg(F.min("way").alias("way"))
 
 
-def related(docs: DataFrame, links: DataFrame, doc_id, k: int = 10) -> DataFrame:
+def related(docs: DataFrame, links: DataFrame, doc_id, k: int = 10, tree: DataFrame | None = None) -> DataFrame:
     """(rank, doc_id, score): siblings in the hierarchy, the parents, then linked documents. `docs` has doc_id, source,
-    hierarchy. Raises ValueError if the document isn't there."""
+    hierarchy. With a `tree` (`hierarchy.place`) one range of it is read instead of all paths. Raises ValueError if the
+    document isn't there."""
     own = docs.filter(F.col("doc_id") == doc_id).select("source", "hierarchy").first()
     if own is None:
         raise ValueError(f"not_found: document {doc_id}")
     found = linked(links, F.lit(doc_id), k).select("doc_id", F.lit(LINKED).alias("score")).join(docs.select("doc_id"), "doc_id", "left_semi")
     path = [str(x) for x in own.hierarchy or []]
-    if len(path) >= 2:
+    if tree is not None:
+        near = hierarchy.relatives(tree, doc_id, SIBLING, PARENT)
+        if near is not None:
+            found = found.unionByName(near.orderBy(F.desc("score"), "doc_id").limit(k))
+    elif len(path) >= 2:
         above = F.array(*map(F.lit, path[:-1]))
         h = F.transform("hierarchy", lambda x: x.cast("string"))
         sibling = (F.size(h) == len(path)) & (F.slice(h, 1, len(path) - 1) == above)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex import corpus
-from loamdex.corpus import DOC_SQL, as_of
+from loamdex.corpus import DOC_SQL, LINK_SQL, as_of
 from loamdex.functions.analysis import ANALYSED, query_units, stems_sql
-from loamdex.operators import block_index, bm25, cell_vectors, cluster, descent, filters
+from loamdex.operators import block_index, bm25, cell_vectors, cluster, descent, filters, graph, hierarchy
 from loamdex.plans.data_queries import _SIMS, _vectors
 from loamdex.plans.registry import query
-from loamdex.plans.search_queries import _distance_sql
+from loamdex.plans.search_queries import _distance_sql, _links
 from loamdex.session import materialize, shared_dir
 
 QUERY = "athawhs thonred things hending eres"
@@ -139,3 +139,40 @@ def m1_descent(spark: SparkSession, sf: str) -> DataFrame:
 def m1_moments(spark: SparkSession, sf: str) -> DataFrame:
     found = descent.moments(cluster.centred(_vectors(spark, sf)))
     return found.select("n", F.round("mean", 9).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+# ---- the tree of paths
+
+
+@query("r17_related_from_tree", f"""WITH {DOC_SQL}, {LINK_SQL}, own AS (SELECT * FROM doc WHERE doc_id = 8),
+lk AS (SELECT dst AS doc_id FROM (SELECT dst FROM links WHERE src = 8 ORDER BY dst LIMIT 10) UNION SELECT src FROM (SELECT src FROM links WHERE dst = 8 ORDER BY src LIMIT 10)),
+near AS (SELECT doc.doc_id, 0.9 AS score FROM doc, own WHERE doc.source = own.source AND doc.tag = own.tag AND doc.doc_id <> 8 ORDER BY doc.doc_id LIMIT 10),
+a AS (SELECT doc_id, max(score) AS score FROM (SELECT doc_id, score FROM near UNION ALL SELECT doc_id, 0.5 FROM lk WHERE doc_id IN (SELECT doc_id FROM doc)) WHERE doc_id <> 8 GROUP BY doc_id)
+SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score::DOUBLE AS score FROM a QUALIFY rank <= 10""")
+def r17_tree(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.documents(spark, sf)
+    found = graph.related(docs, _links(spark, sf), 8, tree=materialize(hierarchy.place(docs), "tree"))
+    return found.select(F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def _folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in folders of one to three levels: source, language, fifth."""
+    docs = corpus.documents(spark, sf)
+    path = F.array("source", F.get("tags", F.lit(0)), F.concat(F.lit("p"), (F.col("doc_id") % 5).cast("string")))
+    return docs.select("doc_id", "source", F.slice(path, F.lit(1), 1 + (F.col("doc_id") % 3).cast("int")).alias("hierarchy"))
+
+
+_FOLDERS = "d AS (SELECT doc_id, source, [source, lang, 'p' || (doc_id % 5)][1:1 + doc_id % 3] AS path FROM documents)"
+
+
+@query("j9_siblings_and_parents", f"""WITH {_FOLDERS}, p AS (SELECT source, path, count(*) AS n FROM d GROUP BY ALL), s AS (SELECT source, path[1:-2] AS up, len(path) AS depth, count(*) AS n FROM d GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN len(d.path) > 1 THEN s.n - 1 ELSE 0 END AS siblings, coalesce(CASE WHEN len(d.path) > 1 THEN p.n END, 0) AS parents
+FROM d JOIN s ON s.source = d.source AND s.up = d.path[1:-2] AND s.depth = len(d.path) LEFT JOIN p ON p.source = d.source AND p.path = d.path[1:-2]""")
+def j9_family(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.family_sizes(materialize(hierarchy.place(_folders(spark, sf)), "tree"))
+
+
+@query("j9_subtree_sizes", f"""WITH {_FOLDERS}, up AS (SELECT source, path[1:n] AS path, count(*) AS n FROM (SELECT source, path, unnest(range(1, len(path))) AS n FROM d) GROUP BY ALL)
+SELECT doc_id, coalesce(up.n, 0) AS below FROM d LEFT JOIN up USING (source, path)""")
+def j9_below(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.subtree_sizes(materialize(hierarchy.place(_folders(spark, sf)), "tree"))

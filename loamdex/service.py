@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import chunking, markdown
 from loamdex.functions.analysis import query_units
 from loamdex.functions.text import highlight
-from loamdex.operators import block_index, bm25, cell_vectors, filters, fusion, graph, ingest, vector
+from loamdex.operators import block_index, bm25, cell_vectors, filters, fusion, graph, hierarchy, ingest, vector
 from loamdex.session import materialize
 from loamdex.sources import bronze
 
@@ -60,6 +60,7 @@ class Service:
     terms: block_index.BlockIndex
     chunks: cell_vectors.CellVectors | DataFrame | None = None
     links: DataFrame | None = None
+    tree: DataFrame | None = None
     dictionary: list[fusion.Entry] = field(default_factory=list)
     profiles: dict[str, fusion.Profile] = field(default_factory=dict)
     user_dictionaries: dict[str, list[fusion.Entry]] = field(default_factory=dict)
@@ -82,7 +83,7 @@ class Service:
                 raise
 
         chunks = cell_vectors.load(spark, path) if table("cells") is not None else table("chunks")
-        return cls(table("documents"), block_index.load(spark, f"{path}/index"), chunks, table("links"), **more)
+        return cls(table("documents"), block_index.load(spark, f"{path}/index"), chunks, table("links"), table("tree"), **more)
 
     def _expanded(self, query: str, user: str | None) -> tuple[str, list[fusion.Entry]]:
         own = self.user_dictionaries.get(user or "", [])
@@ -134,7 +135,7 @@ class Service:
 
     def get_related(self, doc_id, k: int = 10) -> DataFrame:
         links = self.links if self.links is not None else self.docs.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst")).limit(0)
-        return graph.related(self.docs, links, doc_id, k)
+        return graph.related(self.docs, links, doc_id, k, self.tree)
 
     def get_document(self, doc_id, compressed: bool = False, max_tokens: int | None = None) -> DataFrame:
         row = self.docs.filter(F.col("doc_id") == doc_id)
@@ -165,6 +166,7 @@ def build(docs: DataFrame, path: str, as_of: Column | None = None, links: DataFr
     scores = graph.static_scores(docs, counts, as_of if as_of is not None else F.current_timestamp())
     docs.drop("static_score").join(scores, "doc_id").write.mode("overwrite").parquet(f"{path}/documents")
     block_index.save(block_index.build(docs), f"{path}/index")
+    hierarchy.build(docs, f"{path}/tree")
     if links is not None:
         links.write.mode("overwrite").parquet(f"{path}/links")
     if chunks is not None:
@@ -226,6 +228,7 @@ def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool,
     had = _table(spark, f"{path}/index/blocks") is not None
     terms = block_index.refresh(block_index.load(spark, f"{path}/index"), changed, docs) if had else block_index.build(docs)
     block_index.save(terms, f"{path}/index.next")
+    hierarchy.build(docs, f"{path}/tree.next")
     ingest.write_swapped(graph.update_static(docs, scores), f"{path}/documents")
     ingest.write_swapped(links, f"{path}/links")
     if _table(spark, f"{path}/cells") is None:
@@ -233,6 +236,7 @@ def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool,
     else:
         cell_vectors.update(spark, path, vectors, gone)
     ingest.swap(spark, f"{path}/index.next", f"{path}/index")
+    ingest.swap(spark, f"{path}/tree.next", f"{path}/tree")
     return stats
 
 
