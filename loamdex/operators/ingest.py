@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import time
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -159,20 +160,23 @@ def backfill_authors(docs: DataFrame) -> DataFrame:
     return docs.withColumn("author", T.normalize_author(F.col("author")))
 
 
-def write_swapped(df: DataFrame, path: str) -> None:
+def write_swapped(df: DataFrame, path: str, lease: WriterLease | None = None) -> None:
     """Writes beside the table and then takes its place."""
     fresh = f"{path}.new-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    swap(df.sparkSession, fresh, path)
+    swap(df.sparkSession, fresh, path, lease)
 
 
-def swap(spark: SparkSession, fresh: str, path: str) -> None:
+def swap(spark: SparkSession, fresh: str, path: str, lease: WriterLease | None = None) -> None:
     """Puts the folder `fresh` in the place of `path`. The old one is moved aside, moved back if the new one can't take its
-    place, and deleted at last, so that a whole version is there at any time but between two renames."""
+    place, and deleted at last, so that a whole version is there at any time but between two renames. A writer whose lease
+    another one has taken over is refused."""
     jvm = spark.sparkContext._jvm
     old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
     source, target = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if lease is not None:
+        lease.check()
     had = fs.exists(target)
     if had:
         fs.rename(target, old)
@@ -184,21 +188,98 @@ def swap(spark: SparkSession, fresh: str, path: str) -> None:
         fs.delete(old, True)
 
 
+class StaleWriter(RuntimeError):
+    """Another writer has taken the lease over."""
+
+
+class WriterLease:
+    """The right to write a folder: a number that rises with each writer, as a file that only one can create. Its holder
+    renews it by writing the file again; a lease that wasn't renewed for `ttl` seconds may be taken over by the next number.
+    Before a write takes effect, `check` looks for a higher number, so a writer that slept through its lease is refused.
+    Times are those of the file system, not of the writers' clocks. Only the last number's file is kept."""
+
+    def __init__(self, spark: SparkSession, path: str, ttl: float) -> None:
+        self._jvm, self.ttl = spark.sparkContext._jvm, ttl
+        self.folder = self._path(f"{path}/_writer")
+        self._fs = self.folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self.folder)
+        self._stop = threading.Event()
+        last = self._last()
+        if last is not None and not last[1] and self._now() - last[2] <= ttl:
+            raise RuntimeError(f"another writer holds {path}")
+        self.number = 1 + (last[0] if last is not None else 0)
+        try:
+            mine = self._fs.createNewFile(self._file(self.number))
+        except Py4JJavaError:  # some file systems raise where the file is there
+            mine = False
+        if not mine:
+            raise RuntimeError(f"another writer holds {path}")
+        for number, _, _ in self._all():
+            if number < self.number:
+                self._fs.delete(self._file(number), False)
+        self._thread = threading.Thread(target=self._renewing, daemon=True)
+        if ttl > 0:
+            self._thread.start()
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _file(self, number: int):
+        return self._path(f"{self.folder}/{number:020}")
+
+    def _all(self) -> list[tuple[int, bool, float]]:
+        """(number, released, time of the last renewal); a released lease has bytes in its file."""
+        found = [x for x in self._fs.listStatus(self.folder) if x.getPath().getName().isdigit()]
+        return sorted((int(x.getPath().getName()), x.getLen() > 0, x.getModificationTime() / 1000) for x in found)
+
+    def _last(self) -> tuple[int, bool, float] | None:
+        return max(self._all(), default=None)
+
+    def _now(self) -> float:
+        probe = self._path(f"{self.folder}/now-{uuid.uuid4().hex}")
+        self._fs.createNewFile(probe)
+        try:
+            return self._fs.getFileStatus(probe).getModificationTime() / 1000
+        finally:
+            self._fs.delete(probe, False)
+
+    def _renewing(self) -> None:
+        while not self._stop.wait(self.ttl / 3):
+            try:
+                self.renew()
+            except Exception:  # noqa: BLE001
+                return  # check() will say so
+
+    def renew(self) -> None:
+        self.check()
+        self._fs.create(self._file(self.number), True).close()
+
+    def check(self) -> None:
+        """Raises StaleWriter if a later writer is there."""
+        last = self._last()
+        if last is None or last[0] != self.number:
+            raise StaleWriter(f"writer {self.number} was followed by {last[0] if last else 'none'}")
+
+    def release(self) -> None:
+        self._stop.set()
+        if self._thread.is_alive():
+            self._thread.join()
+        last = self._last()
+        if last is not None and last[0] == self.number:
+            out = self._fs.create(self._file(self.number), True)
+            out.write(1)
+            out.close()
+
+
 @contextmanager
-def writer_lock(spark: SparkSession, path: str, stale: float = 6 * 3600.0) -> Iterator[None]:
-    """Only one writer at a time: a file that is created or is there. One older than `stale` seconds was left by a writer
-    that died, and is taken over. Raises RuntimeError if another writer holds it."""
-    jvm = spark.sparkContext._jvm
-    lock = jvm.org.apache.hadoop.fs.Path(f"{path}/_writer.lock")
-    fs = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale:
-        fs.delete(lock, False)
-    if not fs.createNewFile(lock):
-        raise RuntimeError(f"another writer holds {path}")
+def writer_lock(spark: SparkSession, path: str, stale: float = 60.0) -> Iterator[WriterLease]:
+    """Only one writer at a time: a lease that is renewed while it is held. One that wasn't renewed for `stale` seconds was
+    left by a writer that died or sleeps, and is taken over. Raises RuntimeError if another writer holds it."""
+    lease = WriterLease(spark, path, stale)
     try:
-        yield
+        yield lease
     finally:
-        fs.delete(lock, False)
+        lease.release()
 
 
 def first_wins(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:

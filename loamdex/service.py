@@ -155,9 +155,9 @@ class Service:
         if not self.settings.allow_reindex:
             raise PermissionError("reindexing isn't allowed")
         spark = self.docs.sparkSession
-        with ingest.writer_lock(spark, path):
+        with ingest.writer_lock(spark, path) as lease:
             block_index.save(block_index.build(self.docs), f"{path}/index.next")
-            ingest.swap(spark, f"{path}/index.next", f"{path}/index")
+            ingest.swap(spark, f"{path}/index.next", f"{path}/index", lease)
 
 
 def build(docs: DataFrame, path: str, as_of: Column | None = None, links: DataFrame | None = None, chunks: DataFrame | None = None) -> None:
@@ -186,11 +186,11 @@ def sync(spark: SparkSession, kind: str, source: str, path: str, full: bool = Fa
     """Reads a source, merges it into the documents at `path`, prunes (in a full run) behind the gate, and brings page
     links, static scores, chunk vectors and the term index up to date; texts that didn't change aren't read again for
     these. One writer at a time: raises RuntimeError if another one is at work."""
-    with ingest.writer_lock(spark, path):
-        return _synced(spark, kind, source, path, full, rules, embed)
+    with ingest.writer_lock(spark, path) as lease:
+        return _synced(spark, kind, source, path, full, rules, embed, lease)
 
 
-def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool, rules: tuple, embed: vector.Embed | None) -> dict[str, int]:
+def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool, rules: tuple, embed: vector.Embed | None, lease: ingest.WriterLease) -> dict[str, int]:
     raw = bronze.CONNECTORS[kind](spark, source) if kind != "git" else bronze.repo_files(spark, source, source.rstrip("/").split("/")[-1])
     convert = markdown.html_to_markdown if kind == "confluence" else None
     fresh = ingest.normalize(raw, rules, convert)
@@ -229,14 +229,15 @@ def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool,
     terms = block_index.refresh(block_index.load(spark, f"{path}/index"), changed, docs) if had else block_index.build(docs)
     block_index.save(terms, f"{path}/index.next")
     hierarchy.build(docs, f"{path}/tree.next")
-    ingest.write_swapped(graph.update_static(docs, scores), f"{path}/documents")
-    ingest.write_swapped(links, f"{path}/links")
+    ingest.write_swapped(graph.update_static(docs, scores), f"{path}/documents", lease)
+    ingest.write_swapped(links, f"{path}/links", lease)
+    lease.check()
     if _table(spark, f"{path}/cells") is None:
         cell_vectors.build(ingest.live_only(vectors, docs), path)
     else:
         cell_vectors.update(spark, path, vectors, gone)
-    ingest.swap(spark, f"{path}/index.next", f"{path}/index")
-    ingest.swap(spark, f"{path}/tree.next", f"{path}/tree")
+    ingest.swap(spark, f"{path}/index.next", f"{path}/index", lease)
+    ingest.swap(spark, f"{path}/tree.next", f"{path}/tree", lease)
     return stats
 
 

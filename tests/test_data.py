@@ -105,6 +105,38 @@ def test_one_writer_at_a_time(spark, tmp_path):
         pass
 
 
+def test_a_writer_that_slept_is_refused(spark, tmp_path):
+    path, table = str(tmp_path), str(tmp_path / "t")
+    ingest.write_swapped(spark.range(1), table)
+    first = ingest.WriterLease(spark, path, 3600.0)
+    with pytest.raises(RuntimeError):
+        ingest.WriterLease(spark, path, 3600.0)
+    second = ingest.WriterLease(spark, path, -1.0)  # the first one's time is over
+    assert second.number == first.number + 1
+    ingest.write_swapped(spark.range(2), table, second)
+    with pytest.raises(ingest.StaleWriter):
+        ingest.write_swapped(spark.range(3), table, first)
+    with pytest.raises(ingest.StaleWriter):
+        first.renew()
+    first.release()  # doesn't give away the second one's lease
+    with pytest.raises(RuntimeError):
+        ingest.WriterLease(spark, path, 3600.0)
+    second.release()
+    assert spark.read.parquet(table).count() == 2
+    third = ingest.WriterLease(spark, path, 3600.0)
+    assert third.number == second.number + 1
+    third.release()
+
+
+def test_a_lease_is_renewed_while_it_is_held(spark, tmp_path):
+    import time
+
+    with ingest.writer_lock(spark, str(tmp_path), stale=1.5):
+        time.sleep(3)
+        with pytest.raises(RuntimeError):
+            ingest.WriterLease(spark, str(tmp_path), 1.5)
+
+
 def test_publish_and_drafts(spark, tmp_path):
     for i in (1, 2):
         spark.range(i).write.mode("overwrite").parquet(str(tmp_path / "a" / "t"))
