@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex import corpus
-from loamdex.corpus import DOC_SQL, LINK_SQL, as_of
+from loamdex.corpus import DOC_SQL, LINK_SQL, LOG_SQL, as_of
 from loamdex.functions.analysis import ANALYSED, query_units, stems_sql
-from loamdex.operators import block_index, bm25, cell_vectors, cluster, descent, filters, graph, hierarchy
+from loamdex.operators import block_index, bm25, cell_vectors, cluster, descent, evaluate, filters, graph, hierarchy
 from loamdex.plans.data_queries import _SIMS, _vectors
 from loamdex.plans.registry import query
 from loamdex.plans.search_queries import _distance_sql, _links
@@ -176,3 +176,15 @@ def j9_family(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, coalesce(up.n, 0) AS below FROM d LEFT JOIN up USING (source, path)""")
 def j9_below(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.subtree_sizes(materialize(hierarchy.place(_folders(spark, sf)), "tree"))
+
+
+# ---- latencies from stored states
+
+
+@query("a11_latency_by_month", f"""WITH {LOG_SQL} SELECT strftime(ts, '%Y-%m') AS period, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM searches WHERE latency_ms IS NOT NULL GROUP BY ALL""")
+def a11_months(spark: SparkSession, sf: str) -> DataFrame:
+    """The days are stored in two batches, as logs come in. A period of some thousand searches has exact quantiles; the rank
+    of those of longer ones is within the sketch's error."""
+    log = corpus.search_log(spark, sf)
+    days = evaluate.add_days(evaluate.daily_latency(log.filter("search_id % 2 = 0")), evaluate.daily_latency(log.filter("search_id % 2 = 1")))
+    return evaluate.period_latency(materialize(days, "latency-days"), F.date_format("day", "yyyy-MM"))

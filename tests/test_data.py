@@ -105,6 +105,27 @@ def test_one_writer_at_a_time(spark, tmp_path):
         pass
 
 
+def test_latency_of_stored_days(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    values = [(i % 30, int(r.expovariate(1 / 300)) if i % 7 else None) for i in range(60_000)]
+    log = spark.createDataFrame(values, "d int, latency_ms long").withColumn("ts", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, d)"))
+    first, second = (evaluate.daily_latency(log.filter(F.col("d") % 2 == i)) for i in (0, 1))
+    again = evaluate.daily_latency(log.filter("d = 3").limit(0))
+    evaluate.add_days(evaluate.add_days(first, second), again).write.parquet(str(tmp_path / "days"))
+    days = spark.read.parquet(str(tmp_path / "days"))
+    assert days.count() == 30
+    for period, picked in ((None, range(30)), (F.when(F.dayofmonth("day") <= 10, "early"), range(10))):
+        found = evaluate.period_latency(days, period).filter("period IS NOT NULL").first()
+        exact = sorted(v for d, v in values if v is not None and d in picked)
+        assert found.n == len(exact)
+        for value, q in ((found.p50, 0.5), (found.p95, 0.95)):
+            below, upto = (sum(v < value for v in exact) / len(exact), sum(v <= value for v in exact) / len(exact))
+            assert below - 0.002 <= q <= upto + 0.002
+    assert evaluate.period_latency(days.limit(0)).collect() == []
+
+
 def test_a_writer_that_slept_is_refused(spark, tmp_path):
     path, table = str(tmp_path), str(tmp_path / "t")
     ingest.write_swapped(spark.range(1), table)
