@@ -12,7 +12,7 @@ from loamdex.corpus import DOC_SQL, LOG_SQL, as_of
 from loamdex.functions import chunking
 from loamdex.functions import text as T
 from loamdex.operators import cluster, evaluate, ingest, mining, vector
-from loamdex.plans.registry import query
+from loamdex.plans.registry import literal, query
 from loamdex.session import materialize, read_table, shared_dir
 from loamdex.streaming import logs
 
@@ -118,10 +118,19 @@ def m13(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.hit_rate(evaluate.golden_ranks(*_golden(spark, sf))).select("cases", "hits", F.round("rate", 6).alias("rate"))
 
 
-@query("m13_sweep", "SELECT pool, alpha, count(*) AS cases FROM benchmark, (SELECT unnest([5, 20, 60]) AS pool), (SELECT unnest([0.0, 0.5]::DOUBLE[]) AS alpha) GROUP BY ALL")
+_SETTINGS = [(pool, weight) for pool in (1, 3, 20) for weight in (0.0, 0.5)]
+
+
+@query("m13_sweep", f"""WITH {_GOLDEN}, g AS (SELECT c.case_id, min(rank) AS rank FROM c LEFT JOIN r ON r.case_id = c.case_id AND contains(lower(title), lower(expected)) GROUP BY c.case_id), s AS (SELECT unnest([1, 3, 20]) AS pool), w AS (SELECT unnest([0.0, 0.5]::DOUBLE[]) AS weight)
+SELECT pool, weight, count(*) AS cases, count(*) FILTER (rank <= pool) AS hits, round((1 - weight) * avg(CASE WHEN rank <= pool THEN 1 ELSE 0 END) + weight * avg(CASE WHEN rank <= pool THEN 1 / rank ELSE 0 END), 6) AS merit FROM g, s, w GROUP BY pool, weight""")
 def m13_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    configs = _frame(spark, "pool int, alpha double", [(p, a) for p in (5, 20, 60) for a in (0.0, 0.5)])
-    return evaluate.sweep(configs, read_table(spark, sf, "benchmark")).groupBy("pool", "alpha").agg(F.count("*").alias("cases"))
+    """Every setting is evaluated: hits within its pool, and the weighted mean of hit rate and reciprocal rank."""
+    cases, results = _golden(spark, sf)
+    ranks = evaluate.golden_ranks(cases, results, 1 << 30)
+    both = evaluate.sweep(_frame(spark, "pool int, weight double", _SETTINGS), ranks)
+    hit = F.coalesce(F.col("rank") <= F.col("pool"), F.lit(False))
+    merit = (1 - F.col("weight")) * F.avg(hit.cast("double")) + F.col("weight") * F.avg(F.when(hit, 1 / F.col("rank")).otherwise(0.0))
+    return both.groupBy("pool", "weight").agg(F.count("*").alias("cases"), F.count_if(hit).alias("hits"), F.round(merit, 6).alias("merit"))
 
 
 @query("a16_mcnemar", """WITH k AS (SELECT lang, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b FROM (SELECT lang, doc_id % 7 = 0 AS a, doc_id % 11 = 0 AS b FROM documents) GROUP BY lang)
@@ -135,7 +144,7 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
 SEGMENTS = '{"segments":[{"topic":"a","action_items":[{"task":"x"},{"task":"y"}],"contains_decision":false},{"topic":"b","action_items":[],"contains_decision":true}],"sections":[{"title":"s"}]}'
 
 
-@query("a19_extraction_counts", "SELECT 3::INTEGER AS segments, ['x', 'y'] AS tasks, true AS decisions")
+@literal("a19_extraction_counts", "SELECT 3::INTEGER AS segments, ['x', 'y'] AS tasks, true AS decisions")
 def a19(spark: SparkSession, sf: str) -> DataFrame:
     kind = "struct<segments:array<struct<topic:string,action_items:array<struct<task:string>>,contains_decision:boolean>>,sections:array<struct<title:string>>>"
     r = _frame(spark, "j string", [(SEGMENTS,)]).select(F.from_json("j", kind).alias("r")).select("r.*")

@@ -10,6 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+_LITERALS: dict[str, tuple[Query, str]] = {}
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -26,6 +27,21 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def literal(name: str, oracle: str) -> Callable[[Query], Query]:
+    """Keeps a case of typed rows and its SQL for the tests; it is no query."""
+
+    def add(f: Query) -> Query:
+        _LITERALS[name] = (f, oracle)
+        return f
+
+    return add
+
+
+def literals() -> dict[str, tuple[Query, str]]:
+    load()
+    return _LITERALS
+
+
 def queries() -> dict[str, Query]:
     load()
     return _QUERIES
@@ -38,4 +54,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Imports the modules whose queries register themselves."""
-    from loamdex.plans import data_queries, index_queries, more_queries, search_queries, text_queries  # noqa: F401
+    from loamdex.plans import data_queries, index_queries, more_queries, search_queries, table_queries, text_queries  # noqa: F401

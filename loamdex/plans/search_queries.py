@@ -10,7 +10,7 @@ from loamdex.corpus import DOC_SQL, LINK_SQL, as_of
 from loamdex.functions import text as T
 from loamdex.functions.analysis import ANALYSED, stems_sql
 from loamdex.operators import bm25, filters, fusion, graph, index, vector
-from loamdex.plans.registry import query
+from loamdex.plans.registry import literal, query
 
 QUERY = "athawh thonre hend reou"
 TITLE_QUERY, BODY_QUERY = "thand heon", "ering shth"
@@ -275,7 +275,7 @@ def r12(spark: SparkSession, sf: str) -> DataFrame:
 ENTRIES = (fusion.Entry("heon", ("thand", "with")), fusion.Entry("ering", ("hend",), boost=1.5), fusion.Entry("auto", ("ering", "reou", "shth ing")))
 
 
-@query("r13_query_expansion", """SELECT * FROM (VALUES (1, 'Ering for auto ering hend auto reou shth ing'), (2, 'nothing here'), (3, 'HEON and thand heon thand with')) t(query_id, expanded)""")
+@literal("r13_query_expansion", """SELECT * FROM (VALUES (1, 'Ering for auto ering hend auto reou shth ing'), (2, 'nothing here'), (3, 'HEON and thand heon thand with')) t(query_id, expanded)""")
 def r13(spark: SparkSession, sf: str) -> DataFrame:
     queries = spark.createDataFrame([(1, "Ering for auto"), (2, "nothing here"), (3, "HEON and thand")], "query_id int, query string")
     entries = spark.createDataFrame([(i, e.term, list(e.synonyms)) for i, e in enumerate(ENTRIES)], "priority int, term string, synonyms array<string>")

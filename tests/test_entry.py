@@ -37,11 +37,8 @@ def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_query(spark, con, name):
-    df = registry.queries()[name](spark, SF)
+def held_against_sql(con, df, sql):
     rows = [tuple(r) for r in df.collect()]
-    sql = registry.oracle_sql().get(name)
     if sql is None:
         return
     found = con.execute(sql)
@@ -50,3 +47,14 @@ def test_query(spark, con, name):
     wanted = [tuple(r[i] for i in order) for r in found.fetchall()]
     assert sorted(names) == sorted(df.columns)
     assert sorted((plain(r) for r in rows), key=repr) == sorted((plain(r) for r in wanted), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_query(spark, con, name):
+    held_against_sql(con, registry.queries()[name](spark, SF), registry.oracle_sql().get(name))
+
+
+@pytest.mark.parametrize("name", sorted(registry.literals()))
+def test_typed_rows(spark, con, name):
+    query, sql = registry.literals()[name]
+    held_against_sql(con, query(spark, SF), sql)
