@@ -102,7 +102,9 @@ def _golden(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     b, d = read_table(spark, sf, "benchmark"), read_table(spark, sf, "documents")
     parts = lambda text: F.split(text, r"\s+")
     keyed = b.select("item_id", F.col("text").alias("expected"), F.concat_ws(" ", F.slice(parts(F.col("text")), 2, 3)).alias("key"))
-    runs = d.select("doc_id", parts(F.col("text")).alias("w")).select("doc_id", F.array_distinct(F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2)))).alias("keys"))
+    # The words are bound as a variable of their own: as a column they would be split again for each of them.
+    keys = F.transform(F.array(parts(F.col("text"))), lambda w: F.array_distinct(F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))))
+    runs = d.select("doc_id", F.get(keys, F.lit(0)).alias("keys"))
     met = runs.select("doc_id", F.explode("keys").alias("key")).join(keyed, "key").join(d.select("doc_id", "text"), "doc_id").filter(F.expr("contains(text, expected)"))
     results = met.select(F.col("item_id").alias("case_id"), "doc_id", F.col("text").alias("title")).withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy("doc_id")))
     return keyed.select(F.col("item_id").alias("case_id"), "expected"), results
