@@ -8,7 +8,7 @@ import os
 import time
 
 from loamdex.server import Server
-from loamdex.service import Service, Settings, build, sync
+from loamdex.service import Service, Settings, build, places, sync
 from loamdex.session import get_spark
 from loamdex.sources import acquire, sinks
 
@@ -92,10 +92,11 @@ def init(path: str, values: list[str]) -> None:
 
 def health(spark, path: str) -> dict[str, bool]:
     """Which of the tables that a service reads can be read."""
-    found = {}
+    found, place = {}, places(spark, path)
     for name in ("documents", "index/blocks", "links", "chunks"):
         try:
-            spark.read.parquet(f"{path}/{name}").take(1)
+            table, _, below = name.partition("/")
+            spark.read.parquet(f"{place(table)}/{below}" if below else place(table)).take(1)
             found[name] = True
         except Exception:  # noqa: BLE001  (missing and broken tables alike)
             found[name] = False

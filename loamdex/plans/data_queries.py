@@ -11,7 +11,7 @@ from loamdex import corpus
 from loamdex.corpus import DOC_SQL, LOG_SQL, as_of
 from loamdex.functions import chunking
 from loamdex.functions import text as T
-from loamdex.operators import cluster, evaluate, ingest, mining, vector
+from loamdex.operators import cluster, evaluate, ingest, mining, snapshots, vector
 from loamdex.plans.registry import literal, query
 from loamdex.session import materialize, read_table, shared_dir
 from loamdex.streaming import logs
@@ -207,6 +207,23 @@ def i1(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.merge(*_merge_input(spark, sf)).select("doc_id", "status", "content_hash", "static_score")
 
 
+_MERGED = f"WITH {_STORED}, {_NEW} SELECT coalesce(nw.doc_id, st.doc_id) AS doc_id, coalesce(nw.source, st.source) AS source, coalesce(nw.content_hash, st.content_hash) AS content_hash, st.static_score::DOUBLE AS static_score, length(coalesce(nw.text, st.text)) AS n_chars FROM st FULL JOIN nw USING (doc_id)"
+
+
+@query("i1_bucketed_merge", f"{_MERGED} WHERE coalesce(nw.doc_id, st.doc_id) % 10 <> 4")
+def i1_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge as two commits to a table by buckets: all stored rows, then the new ones with some keys taken out."""
+    path = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    stored, new = _merge_input(spark, sf)
+    change = snapshots.Change(spark, path)
+    change.put("documents", stored, ["doc_id"], 32)
+    change.commit()
+    change = snapshots.Change(spark, path)
+    change.merge("documents", new, gone=read_table(spark, sf, "documents").filter("doc_id % 10 = 4").select("doc_id"))
+    change.commit()
+    return snapshots.latest(spark, path).table("documents").select("doc_id", "source", "content_hash", "static_score", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("i3_merge_stats", f"WITH {_STORED}, {_NEW} SELECT CASE WHEN nw.doc_id IS NULL THEN 'kept' WHEN st.doc_id IS NULL THEN 'inserted' WHEN st.content_hash = nw.content_hash THEN 'skipped' ELSE 'updated' END AS status, count(*) AS n FROM st FULL JOIN nw USING (doc_id) GROUP BY ALL")
 def i3(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.merge_stats(ingest.merge(*_merge_input(spark, sf)))

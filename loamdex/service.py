@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import chunking, markdown
 from loamdex.functions.analysis import query_units
 from loamdex.functions.text import highlight
-from loamdex.operators import block_index, bm25, cell_vectors, filters, fusion, graph, hierarchy, ingest, vector
+from loamdex.operators import block_index, bm25, cell_vectors, filters, fusion, graph, hierarchy, ingest, snapshots, vector
 from loamdex.session import materialize
 from loamdex.sources import bronze
 
@@ -74,16 +75,10 @@ class Service:
     def open(cls, spark: SparkSession, path: str, **more) -> Service:
         """From a folder with documents, index and, where they are, chunks and links."""
 
-        def table(name: str) -> DataFrame | None:
-            try:
-                return spark.read.parquet(f"{path}/{name}")
-            except Exception as e:  # noqa: BLE001
-                if "PATH_NOT_FOUND" in str(e):
-                    return None
-                raise
-
+        place = places(spark, path)
+        table = lambda name: _table(spark, place(name))
         chunks = cell_vectors.load(spark, path) if table("cells") is not None else table("chunks")
-        return cls(table("documents"), block_index.load(spark, f"{path}/index"), chunks, table("links"), table("tree"), **more)
+        return cls(table("documents"), block_index.load(spark, place("index")), chunks, table("links"), table("tree"), **more)
 
     def _expanded(self, query: str, user: str | None) -> tuple[str, list[fusion.Entry]]:
         own = self.user_dictionaries.get(user or "", [])
@@ -156,8 +151,9 @@ class Service:
             raise PermissionError("reindexing isn't allowed")
         spark = self.docs.sparkSession
         with ingest.writer_lock(spark, path) as lease:
-            block_index.save(block_index.build(self.docs), f"{path}/index.next")
-            ingest.swap(spark, f"{path}/index.next", f"{path}/index", lease)
+            change = snapshots.Change(spark, path, lease)
+            block_index.save(block_index.build(self.docs), change.folder("index"))
+            change.commit()
 
 
 def build(docs: DataFrame, path: str, as_of: Column | None = None, links: DataFrame | None = None, chunks: DataFrame | None = None) -> None:
@@ -171,6 +167,18 @@ def build(docs: DataFrame, path: str, as_of: Column | None = None, links: DataFr
         links.write.mode("overwrite").parquet(f"{path}/links")
     if chunks is not None:
         cell_vectors.build(chunks, path)
+    spark = docs.sparkSession
+    if snapshots.latest(spark, path).folders:  # what was synced before gives way to these tables
+        with ingest.writer_lock(spark, path) as lease:
+            change = snapshots.Change(spark, path, lease)
+            change.next.folders.clear()
+            change.commit()
+
+
+def places(spark: SparkSession, path: str) -> Callable[[str], str]:
+    """Where each table of the folder is now: what its last version names, else what `build` has written."""
+    now = snapshots.latest(spark, path)
+    return lambda name: now.folder(name) or f"{path}/{name}"
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -185,7 +193,9 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
 def sync(spark: SparkSession, kind: str, source: str, path: str, full: bool = False, rules: tuple = (), embed: vector.Embed | None = None) -> dict[str, int]:
     """Reads a source, merges it into the documents at `path`, prunes (in a full run) behind the gate, and brings page
     links, static scores, chunk vectors and the term index up to date; texts that didn't change aren't read again for
-    these. One writer at a time: raises RuntimeError if another one is at work."""
+    these. Documents, links, index and tree take effect together; vectors are brought up to date just before, so a run that
+    dies between leaves vectors of documents that the next run reads again. One writer at a time: raises RuntimeError if another
+    one is at work."""
     with ingest.writer_lock(spark, path) as lease:
         return _synced(spark, kind, source, path, full, rules, embed, lease)
 
@@ -195,7 +205,8 @@ def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool,
     convert = markdown.html_to_markdown if kind == "confluence" else None
     fresh = ingest.normalize(raw, rules, convert)
     good = fresh.filter("error IS NULL").drop("error").withColumn("categories", F.col("category"))
-    stored = _table(spark, f"{path}/documents")
+    place, change = places(spark, path), snapshots.Change(spark, path, lease)
+    stored = _table(spark, place("documents"))
     if stored is None:
         stored = good.withColumn("static_score", F.lit(0.0)).limit(0)
     if not good.take(1):
@@ -215,7 +226,7 @@ def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool,
     ids = good.select("doc_id", "source", "source_id")
     out = raw.select("source", "source_id", graph.outgoing_titles(F.col("raw_body")).alias("outgoing")).join(ids, ["source", "source_id"]).select("doc_id", "outgoing")
     pages = docs.select("doc_id", "space", "title").join(out, "doc_id", "left").withColumnRenamed("doc_id", "source_id")
-    new, earlier = graph.build_links(pages), _table(spark, f"{path}/links")
+    new, earlier = graph.build_links(pages), _table(spark, place("links"))
     links = new if earlier is None else graph.replace_links(earlier, new, out.select(F.col("doc_id").alias("src")))
     for end in ("src", "dst"):
         links = links.join(docs.select(F.col("doc_id").alias(end)), end, "left_semi")
@@ -223,24 +234,23 @@ def _synced(spark: SparkSession, kind: str, source: str, path: str, full: bool,
     scores = graph.static_scores(docs, graph.backlinks(links), F.current_timestamp())
     pieces = chunking.chunks(changed)
     vectors = materialize(pieces.select("chunk_id", "doc_id", vector.embed_column(F.col("text"), embed).alias("vector")), "chunks")
-    # Before the documents are swapped: whose chunks go.
+    # Of documents that changed or left, the chunks go.
     gone = materialize(changed.select("doc_id").unionByName(stored.join(docs.select("doc_id"), "doc_id", "left_anti").select("doc_id")), "gone")
-    had = _table(spark, f"{path}/index/blocks") is not None
-    terms = block_index.refresh(block_index.load(spark, f"{path}/index"), changed, docs) if had else block_index.build(docs)
-    block_index.save(terms, f"{path}/index.next")
-    hierarchy.build(docs, f"{path}/tree.next")
-    ingest.write_swapped(graph.update_static(docs, scores), f"{path}/documents", lease)
-    ingest.write_swapped(links, f"{path}/links", lease)
+    had = _table(spark, f"{place('index')}/blocks") is not None
+    terms = block_index.refresh(block_index.load(spark, place("index")), changed, docs) if had else block_index.build(docs)
+    block_index.save(terms, change.folder("index"))
+    hierarchy.build(docs, change.folder("tree"))
+    graph.update_static(docs, scores).write.parquet(change.folder("documents"))
+    links.write.parquet(change.folder("links"))
     lease.check()
     if _table(spark, f"{path}/cells") is None:
         cell_vectors.build(ingest.live_only(vectors, docs), path)
     else:
         cell_vectors.update(spark, path, vectors, gone)
-    ingest.swap(spark, f"{path}/index.next", f"{path}/index", lease)
-    ingest.swap(spark, f"{path}/tree.next", f"{path}/tree", lease)
+    change.commit()
     return stats
 
 
 TOOLS = ("search", "advanced_search", "get_related", "get_document", "browse", "list_sources", "status", "reindex")
 
-__all__ = ["TOOLS", "Service", "Settings", "build", "sync"]
+__all__ = ["TOOLS", "Service", "Settings", "build", "places", "sync"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loamdex.operators import ingest
+from loamdex.operators import ingest, snapshots
 
 
 def read_events(spark: SparkSession, path: str, schema=None, max_files: int | None = None) -> DataFrame:
@@ -91,6 +91,23 @@ def merge_into(path: str, keys: tuple[str, ...] = ("doc_id",)) -> Callable[[Data
     return apply
 
 
+def merge_into_buckets(path: str, table: str = "documents", order: tuple[str, ...] = ("updated_at",)) -> Callable[[DataFrame, int], None]:
+    """For `watch`: merges a batch into a table of `loamdex.operators.snapshots`, of which only the buckets it touches are
+    written; of a key's rows the last in the order (then by content_hash) counts. A batch that is applied again after a failure
+    finds its hashes stored and writes nothing."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        with ingest.writer_lock(spark, path) as lease:
+            change = snapshots.Change(spark, path, lease)
+            keys = change.base.tables[table].keys
+            fresh = ingest.first_wins(batch, keys, *[F.desc(c) for c in order], F.col("content_hash"))
+            if change.merge(table, fresh)["buckets"]:
+                change.commit()
+
+    return apply
+
+
 def high_watermark(docs: DataFrame, default_days: int = 30, as_of=None) -> DataFrame:
     """(source, since): the newest update of each source; without any, so many days back."""
     now = as_of if as_of is not None else F.current_timestamp()

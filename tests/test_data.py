@@ -47,7 +47,7 @@ def test_sync_of_page_folders(spark, tmp_path):
     page("S", "1", "One", "changed")
     (bronze_dir / "S" / "2" / "content.html").unlink()
     assert service.sync(spark, "confluence", str(bronze_dir), data, full=True) == {"updated": 1, "skipped": 1, "kept": 1, "deleted": 1}
-    docs = spark.read.parquet(f"{data}/documents")
+    docs = spark.read.parquet(service.places(spark, data)("documents"))
     assert values(docs, "source_id", "title", "author", "doc_type") == [("1", "One", "Kim", None), ("3", "Guide", "", "guide")]
     assert docs.filter("source_id = '1'").first().body == "changed"
 
@@ -63,15 +63,15 @@ def test_sync_keeps_links_scores_chunks_and_index_up_to_date(spark, tmp_path):
         (d / "meta.json").write_text(json.dumps({"source_id": name, "title": title, "space_or_repo": "S", "updated_at": "2024-01-02T00:00:00Z"}))
 
     def state():
-        docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents").collect()}
+        docs = {r.doc_id: r for r in spark.read.parquet(service.places(spark, data)("documents")).collect()}
         name = {i: r.title for i, r in docs.items()}
-        links = sorted((name[r.src], name[r.dst]) for r in spark.read.parquet(f"{data}/links").collect())
+        links = sorted((name[r.src], name[r.dst]) for r in spark.read.parquet(service.places(spark, data)("links")).collect())
         chunks = sorted(name[r.doc_id] for r in spark.read.parquet(f"{data}/chunks").collect())
         return {name[i]: r.static_score for i, r in docs.items()}, links, chunks
 
     def same_index():
-        docs = spark.read.parquet(f"{data}/documents")
-        fresh, kept = block_index.build(docs), block_index.load(spark, f"{data}/index")
+        docs = spark.read.parquet(service.places(spark, data)("documents"))
+        fresh, kept = block_index.build(docs), block_index.load(spark, service.places(spark, data)("index"))
         for table in ("blocks", "lengths", "totals"):
             rows = [sorted(map(tuple, getattr(x, table).select(getattr(fresh, table).columns).collect())) for x in (fresh, kept)]
             assert rows[0] == rows[1]

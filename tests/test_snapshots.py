@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loamdex import cli, service
 from loamdex.operators import ingest, snapshots
+from loamdex.streaming import logs
 
 
 def rows(spark, ids, mark="a"):
@@ -148,3 +150,53 @@ def test_earlier_versions_go(spark, path):
     named = {f for n in (3, 4) for f in snapshots.latest(spark, path, n).tables["documents"].parts.values()}
     assert set(files.names("_data")) == named
     assert [state(spark, path)[i][0] for i in range(4)] == ["z0", "z1", "z2", "a3"]
+
+
+def test_streamed_batches_are_merged_once(spark, path, tmp_path):
+    source = str(tmp_path / "in")
+    columns = "doc_id long, content_hash string, body string, updated_at timestamp"
+    batch = lambda *r: spark.createDataFrame([(i, h, h, None) for i, h in r], columns).withColumn("updated_at", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(substr(content_hash, 2) as int))"))
+    batch((1, "v1"), (1, "v3"), (1, "v2"), (900, "v1")).write.mode("append").parquet(source)
+
+    def run():
+        apply = logs.merge_into_buckets(path)
+        stream = spark.readStream.schema(columns).parquet(source)
+        stream.writeStream.foreachBatch(apply).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    assert snapshots.latest(spark, path).number == 2 and state(spark, path)[1] == ("v3", 0.5) and state(spark, path)[900] == ("v1", None)
+    batch((1, "v3"), (900, "v1")).write.mode("append").parquet(source)
+    run()
+    assert snapshots.latest(spark, path).number == 2  # nothing new, nothing written
+    batch((901, "v1")).write.mode("append").parquet(source)
+    run()
+    assert len(state(spark, path)) == 402
+
+
+def test_tables_of_a_service_change_together(spark, tmp_path, monkeypatch):
+    import json
+
+    data, raw = str(tmp_path / "data"), tmp_path / "raw"
+
+    def page(name, body):
+        (raw / "S" / name).mkdir(parents=True, exist_ok=True)
+        (raw / "S" / name / "content.html").write_text(f"<p>{body}</p>")
+        (raw / "S" / name / "meta.json").write_text(json.dumps({"source_id": name, "title": f"Page {name}", "space_or_repo": "S"}))
+
+    page("1", "apples")
+    service.sync(spark, "confluence", str(raw), data)
+    page("1", "cherries")
+    monkeypatch.setattr(snapshots.Change, "commit", lambda self, keep=2: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        service.sync(spark, "confluence", str(raw), data)
+    monkeypatch.undo()
+    titles = lambda query: [r.title for r in service.Service.open(spark, data).search(query)[0].collect()]
+    assert titles("apples") == ["Page 1"] and titles("cherries") == []  # documents and index are those of one state
+    assert service.sync(spark, "confluence", str(raw), data) == {"updated": 1}
+    assert titles("apples") == [] and titles("cherries") == ["Page 1"]
+    service.Service.open(spark, data, settings=service.Settings(allow_reindex=True)).reindex(data)
+    assert titles("cherries") == ["Page 1"]
+    assert cli.health(spark, data) == {"documents": True, "index/blocks": True, "links": True, "chunks": True}
+    docs = service.Service.open(spark, data).docs
+    service.build(docs.withColumn("body", F.lit("plums")), data)
+    assert titles("plums") == ["Page 1"] and titles("cherries") == []
