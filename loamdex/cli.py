@@ -11,6 +11,7 @@ from loamdex.server import Server
 from loamdex.service import Service, Settings, build, places, sync
 from loamdex.session import get_spark
 from loamdex.sources import acquire, sinks
+from loamdex.streaming import follow
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("since", "until", "branch"):
         q.add_argument(f"--{name}")
     q.add_argument("--depth", type=int)
+    q.add_argument("--checkpoint", help="folder of a stream: what changed since its last run is fetched, without reading what is stored")
+    q.add_argument("--every", type=float, help="seconds between runs of the stream")
     for name in ("force", "dry-run"):
         q.add_argument(f"--{name}", action="store_true")
     for name in ("sync", "watch"):
@@ -73,6 +76,11 @@ def fetch(spark, a) -> dict:
     user, token = os.environ.get("LOAMDEX_USER"), os.environ.get("LOAMDEX_TOKEN")
     if a.kind == "git":
         return acquire.acquire_repo(a.url, a.target, a.branch, a.depth, token, user)
+    if a.checkpoint:
+        if a.days is not None or a.until or a.force or a.dry_run:
+            raise SystemExit("a stream takes --since only")
+        changes = follow.rest_changes(spark, a.kind, a.url, a.only, user, token, start=a.since)
+        return {"fetched": sum(follow.follow(changes, follow.raw_files(a.kind, a.url, a.target), a.checkpoint, a.every))}
     common = {"user": user, "token": token, "days": a.days, "force": a.force, "dry_run": a.dry_run}
     if a.kind == "jira":
         return acquire.acquire_issues(spark, a.url, a.target, a.only, **common)

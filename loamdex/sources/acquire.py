@@ -34,9 +34,9 @@ def page_urls(base: str, spaces: list[str] = (), since: str | None = None, until
     return out
 
 
-def issue_urls(base: str, projects: list[str], days: int | None = None, size: int = 50) -> list[str]:
-    """First pages of the issue searches, one for each project."""
-    recent = f' AND updated >= "-{days}d"' if days is not None else ""
+def issue_urls(base: str, projects: list[str], days: int | None = None, size: int = 50, since: str | None = None) -> list[str]:
+    """First pages of the issue searches, one for each project; a date goes before a number of days."""
+    recent = f' AND updated >= "{since}"' if since else f' AND updated >= "-{days}d"' if days is not None else ""
     queries = ({"jql": f"project = {_quoted(p)}{recent} ORDER BY updated DESC", "maxResults": size, "fields": ISSUE_FIELDS} for p in projects)
     return [f"{base.rstrip('/')}/rest/api/3/search/jql?{urllib.parse.urlencode(q)}" for q in queries]
 
