@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--depth", type=int)
     q.add_argument("--checkpoint", help="folder of a stream: what changed since its last run is fetched, without reading what is stored")
     q.add_argument("--every", type=float, help="seconds between runs of the stream")
-    for name in ("force", "dry-run"):
+    for name in ("force", "dry-run", "attachments"):
         q.add_argument(f"--{name}", action="store_true")
     for name in ("sync", "watch"):
         y = sub.add_parser(name)
@@ -77,14 +77,14 @@ def fetch(spark, a) -> dict:
     if a.kind == "git":
         return acquire.acquire_repo(a.url, a.target, a.branch, a.depth, token, user)
     if a.checkpoint:
-        if a.days is not None or a.until or a.force or a.dry_run:
+        if a.days is not None or a.until or a.force or a.dry_run or a.attachments:
             raise SystemExit("a stream takes --since only")
         changes = follow.rest_changes(spark, a.kind, a.url, a.only, user, token, start=a.since)
         return {"fetched": sum(follow.follow(changes, follow.raw_files(a.kind, a.url, a.target), a.checkpoint, a.every))}
     common = {"user": user, "token": token, "days": a.days, "force": a.force, "dry_run": a.dry_run}
     if a.kind == "jira":
         return acquire.acquire_issues(spark, a.url, a.target, a.only, **common)
-    return acquire.acquire_pages(spark, a.url, a.target, a.only, since=a.since, until=a.until, **common)
+    return acquire.acquire_pages(spark, a.url, a.target, a.only, since=a.since, until=a.until, attachments=a.attachments, **common)
 
 
 def init(path: str, values: list[str]) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.session import materialize
+from loamdex.sources import attachments as files_of_pages
 from loamdex.sources import bronze, sinks
 
 # What is asked for with each page and issue.
@@ -95,16 +96,24 @@ def _finish(rows: DataFrame, key: str, stored: DataFrame | None, keys: list[str]
     return wanted, {"added": n - modified, "modified": modified, "skipped": rows.count() - n}
 
 
-def acquire_pages(spark: SparkSession, base: str, path: str, spaces: list[str] = (), user: str | None = None, token: str | None = None, force: bool = False, dry_run: bool = False, **window) -> dict[str, int]:
-    """Writes pages whose version isn't stored as page folders."""
+def acquire_pages(spark: SparkSession, base: str, path: str, spaces: list[str] = (), user: str | None = None, token: str | None = None, force: bool = False, dry_run: bool = False, attachments: bool = False, **window) -> dict[str, int]:
+    """Writes pages whose version isn't stored as page folders; with `attachments` their files as well, which the pages' meta
+    names."""
     rows = materialize(page_rows(fetched(spark, page_urls(base, spaces, **window), "results", user, token), base), "pages")
     files = _stored(spark, path, "meta.json")
+    if files is not None:
+        files = files.filter(~F.col("path").rlike(bronze.ATTACHED))
     get = lambda p: F.get_json_object("text", f"$.{p}")
     stored = None if files is None else materialize(files.select(get("source_id").alias("source_id"), get("version").cast("long").alias("version")), "stored")
     wanted, stats = _finish(rows, "source_id", stored, ["source_id", "version"], force)
     if not dry_run:
         spark.dataSource.register(sinks.PageFolders)
-        wanted.select("space", "source_id", "raw_body", "meta").write.format("page_folders").mode("append").option("path", path).save()
+        folders = wanted.select("space", "source_id", "raw_body", "meta")
+        if attachments:
+            done = files_of_pages.fetch(folders, base, path, user, token, force)
+            folders = files_of_pages.with_attachments(folders, done)
+            stats |= {f"attachments_{r.status}": r.n for r in done.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        folders.write.format("page_folders").mode("append").option("path", path).save()
     return stats
 
 

@@ -33,13 +33,18 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", F.col("content").cast("string").alias("text"), "modificationTime")
 
 
+#: Files that were attached to a page, whatever their names.
+ATTACHED = r"/attachments/[^/]*$"
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw records of page folders `{space}/{page}/` with content.html and, if it is there, meta.json. Without meta the
     title is taken from the HTML, and else is the page's id."""
     parts = F.split("path", "/")
     at = lambda n: F.element_at(parts, n)
-    html = _files(spark, path, "content.html").select(at(-3).alias("folder"), at(-2).alias("page"), F.col("text").alias("raw_body"))
-    meta = _files(spark, path, "meta.json").select(at(-3).alias("folder"), at(-2).alias("page"), F.col("text").alias("meta"))
+    own = ~F.col("path").rlike(ATTACHED)
+    html = _files(spark, path, "content.html").filter(own).select(at(-3).alias("folder"), at(-2).alias("page"), F.col("text").alias("raw_body"))
+    meta = _files(spark, path, "meta.json").filter(own).select(at(-3).alias("folder"), at(-2).alias("page"), F.col("text").alias("meta"))
     strings = "array<string>"
     get = lambda name: F.get_json_object("meta", f"$.{name}")
     listed = lambda name: F.from_json(F.coalesce(get(name), F.lit("[]")), strings)
