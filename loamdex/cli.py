@@ -7,7 +7,7 @@ import json
 import os
 import time
 
-from loamdex.server import Server
+from loamdex.server import HOST, PORT, Server
 from loamdex.service import Service, Settings, build, places, sync
 from loamdex.session import get_spark
 from loamdex.sources import acquire, sinks
@@ -34,8 +34,12 @@ def parser() -> argparse.ArgumentParser:
     b = sub.add_parser("browse")
     for name in ("source", "space", "prefix"):
         b.add_argument(f"--{name}")
-    for name in ("sources", "status", "health", "reindex", "serve", "demo"):
+    for name in ("sources", "status", "health", "reindex", "demo"):
         sub.add_parser(name)
+    v = sub.add_parser("serve", help="answers on standard input and output, or by HTTP; LOAMDEX_HTTP_TOKEN, or its setting, is asked of clients")
+    v.add_argument("--transport", choices=("stdio", "http"), default="stdio")
+    v.add_argument("--host", default=HOST, help="other machines are served with a token only")
+    v.add_argument("--port", type=int, default=PORT)
     sub.add_parser("publish").add_argument("target", help="folder that takes the tables")
     i = sub.add_parser("init", help="adds NAME=value lines to the settings file")
     i.add_argument("values", nargs="+", metavar="NAME=value")
@@ -140,7 +144,12 @@ def main(args: list[str] | None = None) -> int:
             time.sleep(max(5, a.every))
     service = Service.open(spark, a.data, settings=Settings.load(a.settings))
     if a.command == "serve":
-        Server(service, a.data).serve()
+        server = Server(service, a.data)
+        if a.transport == "stdio":
+            server.serve()
+            return 0
+        with server.http(a.host, a.port, service.settings.http_token) as found:
+            found.serve_forever()
         return 0
     if a.command == "search":
         hits, facets = service.search(a.query, a.k, a.offset, a.user, sources=a.sources, spaces=a.spaces, tags=a.tags, authors=a.authors)

@@ -1,14 +1,19 @@
 """Serves the tools to assistants by the Model Context Protocol: JSON-RPC 2.0, one message a line, on standard input and
-output. Tools are the typed methods of `Tools`; their input schemas are derived from the signatures."""
+output, or by HTTP, where one process serves many clients. Tools are the typed methods of `Tools`; their input schemas are derived
+from the signatures."""
 
 from __future__ import annotations
 
+import hmac
 import inspect
 import json
 import sys
+import threading
 import time
 import typing
+import urllib.parse
 from collections.abc import Callable, Iterable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import TextIO
 
 from pyspark.sql import DataFrame
@@ -17,6 +22,9 @@ from loamdex.service import VERSION, Service
 
 PROTOCOL = "2024-11-05"
 SCHEME = "loamdex://documents/"
+#: Where the HTTP transport listens, and the largest message that it takes.
+HOST, PORT, ENDPOINT, MOST_BYTES = "127.0.0.1", 8765, "/mcp", 4 << 20
+LOCAL = ("127.0.0.1", "localhost", "::1")
 _JSON_TYPES = {str: "string", int: "integer", float: "number", bool: "boolean"}
 
 PROMPTS: dict[str, tuple[str, tuple[str, ...], str]] = {
@@ -46,12 +54,12 @@ class Tools:
     """What an assistant can call. A search, and the opening of a document, are logged if the settings name a log."""
 
     def __init__(self, service: Service, path: str):
-        self._service, self._path = service, path
+        self._service, self._path, self._writing = service, path, threading.Lock()
 
     def _log(self, **what) -> None:
         name = self._service.settings.search_log
         if name:
-            with open(name, "a", encoding="utf-8") as f:
+            with self._writing, open(name, "a", encoding="utf-8") as f:
                 f.write(json.dumps({"ts": time.time(), **what}, ensure_ascii=False) + "\n")
 
     def _document(self, doc_id: str, compress: bool = False, max_tokens: int | None = None) -> dict:
@@ -225,6 +233,84 @@ class Server:
                 out.write(json.dumps(answer, ensure_ascii=False, default=str) + "\n")
                 out.flush()
 
+    def http(self, host: str = HOST, port: int = PORT, token: str = "") -> ThreadingHTTPServer:
+        """A server of HTTP, bound to its port, whose `serve_forever` answers. A message is posted to `ENDPOINT`, and its answer
+        is the reply; requests run beside each other. Without a token, only this machine can be served."""
+        if not token and host not in LOCAL:
+            raise ValueError("a token is needed to serve other machines")
+        found = ThreadingHTTPServer((host, port), type("Endpoint", (_Endpoint,), {"handled": self, "token": token, "own": host}))
+        found.daemon_threads = True
+        return found
+
+
+class _Endpoint(BaseHTTPRequestHandler):
+    handled: Server
+    token, own = "", HOST
+    protocol_version, timeout = "HTTP/1.1", 60
+
+    def _refused(self) -> int | None:
+        """The status of a request that isn't served. A web page that a browser has open must not reach the tools: neither by a
+        foreign origin, nor by a name of its own that it has pointed at this machine."""
+        if urllib.parse.urlsplit(self.path).path.rstrip("/") != ENDPOINT:
+            return 404
+        origin, asked = self.headers.get("Origin"), _host(f"//{self.headers.get('Host', '')}")
+        if self.own in LOCAL and asked not in LOCAL:
+            return 403
+        if origin is not None and _host(origin) != asked and not (_host(origin) in LOCAL and asked in LOCAL):
+            return 403
+        if self.token and not hmac.compare_digest(self.headers.get("Authorization", "").encode(), f"Bearer {self.token}".encode()):
+            return 401
+        return None
+
+    def _reply(self, status: int, answer: dict | None = None, **headers: str) -> None:
+        body = b"" if answer is None else json.dumps(answer, ensure_ascii=False, default=str).encode()
+        self.send_response(status)
+        for name, value in headers.items():
+            self.send_header(name, value)
+        if answer is not None:
+            self.send_header("Content-Type", "application/json")
+        if status >= 400:  # the body of what is refused isn't read, so the connection can't be used again
+            self.send_header("Connection", "close")
+            self.close_connection = True
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def do_POST(self) -> None:  # noqa: N802
+        refused = self._refused()
+        length = self.headers.get("Content-Length", "")
+        if refused is None and not (length.isascii() and length.isdigit()):
+            refused = 411
+        elif refused is None and int(length) > MOST_BYTES:
+            refused = 413
+        elif refused is None and self.headers.get_content_type() != "application/json":
+            refused = 415
+        if refused is not None:
+            return self._reply(refused, **({"WWW-Authenticate": "Bearer"} if refused == 401 else {}))
+        try:
+            message = json.loads(self.rfile.read(int(length)))
+        except (UnicodeDecodeError, json.JSONDecodeError, RecursionError) as e:
+            return self._reply(400, _failure(None, -32700, str(e)))
+        answer = self.handled.handle(message)
+        return self._reply(202) if answer is None else self._reply(200, answer)
+
+    def _other(self) -> None:
+        """There are no streams to open and no sessions to end."""
+        refused = self._refused()
+        self._reply(refused or 405, **({} if refused else {"Allow": "POST"}))
+
+    do_GET = do_DELETE = do_PUT = do_OPTIONS = _other  # noqa: N815
+
+    def log_message(self, *args) -> None:
+        pass
+
+
+def _host(url: str) -> str | None:
+    try:
+        return urllib.parse.urlsplit(url).hostname
+    except ValueError:
+        return None
+
 
 def _failure(id_, code: int, text: str) -> dict:
     return {"jsonrpc": "2.0", "id": id_, "error": {"code": code, "message": text}}

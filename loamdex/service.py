@@ -32,6 +32,7 @@ class Settings:
     auto_dictionary: bool = False
     allow_reindex: bool = False
     search_log: str = ""
+    http_token: str = ""
 
     @classmethod
     def load(cls, file: str | None = None) -> Settings:

@@ -84,3 +84,57 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["--data", other, "serve"]) == 0
     answer = json.loads(capsys.readouterr().out)
     assert json.loads(answer["result"]["content"][0]["text"])["documents"] == 3
+
+
+def test_http(served):
+    import http.client
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    s, _ = served
+    with pytest.raises(ValueError, match="token"):
+        s.http("0.0.0.0", 0)
+
+    def post(port, message, method="POST", path="/mcp", **headers):
+        c = http.client.HTTPConnection("127.0.0.1", port, timeout=60)
+        c.request(method, path, message if isinstance(message, bytes) else json.dumps(message).encode(), {"Content-Type": "application/json"} | {k.replace("_", "-"): v for k, v in headers.items()})
+        r = c.getresponse()
+        body = r.read()
+        c.close()
+        return r.status, json.loads(body) if body else None
+
+    request = lambda method, **p: {"jsonrpc": "2.0", "id": 7, "method": method, "params": p}
+    with s.http(port=0) as open_, s.http("0.0.0.0", 0, "secret") as closed:
+        for server_ in (open_, closed):
+            threading.Thread(target=server_.serve_forever, daemon=True).start()
+        port, other = open_.server_port, closed.server_port
+        assert post(port, request("ping")) == (200, {"jsonrpc": "2.0", "id": 7, "result": {}})
+        assert post(port, {"jsonrpc": "2.0", "method": "notifications/initialized"}) == (202, None)
+        assert post(port, b"{")[1]["error"]["code"] == -32700 and post(port, b"\xff")[0] == 400
+        assert post(port, [request("ping")])[1]["error"]["code"] == -32600
+        assert post(port, request("nothing"))[1]["error"]["code"] == -32601
+        assert [post(port, b"", m)[0] for m in ("GET", "DELETE", "PUT")] == [405] * 3 and post(port, request("ping"), path="/other")[0] == 404
+        assert post(port, request("ping"), Content_Type="text/plain")[0] == 415
+        # Pages of the browser: a foreign origin, and a foreign name for this machine.
+        assert post(port, request("ping"), Origin="http://localhost:3000")[0] == 200
+        assert post(port, request("ping"), Origin="https://evil.example")[0] == post(port, request("ping"), Origin="null")[0] == 403
+        assert post(port, request("ping"), Host="evil.example", Origin="http://evil.example")[0] == 403
+        c = http.client.HTTPConnection("127.0.0.1", port, timeout=60)
+        c.putrequest("POST", "/mcp")
+        c.putheader("Content-Length", str(server.MOST_BYTES + 1))
+        c.endheaders()
+        assert c.getresponse().status == 413
+        # One connection, several requests; several clients at once.
+        c = http.client.HTTPConnection("127.0.0.1", port, timeout=60)
+        for _ in range(2):
+            c.request("POST", "/mcp", json.dumps(request("ping")).encode(), {"Content-Type": "application/json"})
+            assert json.loads(c.getresponse().read())["result"] == {}
+        c.close()
+        find = lambda q: json.loads(post(port, request("tools/call", name="search", arguments={"query": q}))[1]["result"]["content"][0]["text"])
+        with ThreadPoolExecutor(4) as pool:
+            found = [[h["title"] for h in r["hits"]] for r in pool.map(find, ["payments", "deploying", "ledger", "nothing"])]
+        assert sorted(found[0]) == ["Ledger design", "Payment guide"] and found[1:] == [["Deployment runbook"], ["Ledger design"], []]
+        assert post(other, request("ping"))[0] == post(other, request("ping"), Authorization="Bearer wrong")[0] == 401
+        assert post(other, request("ping"), Authorization="Bearer secret")[0] == 200
+        for server_ in (open_, closed):
+            server_.shutdown()
