@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from loamdex.operators import ingest
 from loamdex.session import materialize
@@ -128,11 +129,10 @@ class Change:
         self.next = Snapshot(spark, self.base.path, 0, dict(self.base.tables), dict(self.base.folders))
         self._files = _Files(spark, path)
 
-    def _write(self, rows: DataFrame, schema: T.StructType, keys: list[str], buckets: int) -> tuple[str, list[int]]:
-        """The new folder, and the buckets that it has. A bucket's rows together; adaptive execution splits large ones."""
+    def _write(self, rows: DataFrame) -> tuple[str, list[int]]:
+        """The new folder of rows that are dealt by bucket, and the buckets that it has."""
         folder = uuid.uuid4().hex
-        dealt = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).withColumn(BUCKET, _bucket(schema, keys, buckets))
-        dealt.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *keys).write.partitionBy(BUCKET).parquet(f"{self.base.path}/_data/{folder}")
+        rows.write.partitionBy(BUCKET).parquet(f"{self.base.path}/_data/{folder}")
         return folder, [int(n.partition("=")[2]) for n in self._files.names(f"_data/{folder}") if n.startswith(f"{BUCKET}=")]
 
     def put(self, name: str, rows: DataFrame, keys: list[str], buckets: int | None = None) -> None:
@@ -143,58 +143,68 @@ class Change:
         if buckets is None:
             rows = materialize(rows, "put")
             buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-        folder, found = self._write(rows, schema, keys, buckets)
+        # A bucket's rows together; adaptive execution splits large ones.
+        dealt = rows.withColumn(BUCKET, _bucket(schema, keys, buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *keys)
+        folder, found = self._write(dealt)
         self.next.tables[name] = Table(schema.json(), list(keys), buckets, {str(b): folder for b in found})
 
     def merge(self, name: str, rows: DataFrame, gone: DataFrame | None = None, force: bool = False, keep: tuple[str, ...] = ("static_score",)) -> dict[str, int]:
         """Merges rows by key, as `ingest.merge`, and takes out the keys `gone`, rows of which don't count as given. Rows
-        whose content_hash is the stored one leave their bucket alone; without such a column all rows are written. Of stored
-        rows, those of the buckets that the keys fall into are read: keys and hashes first, whole rows only where something
-        changes. Returns the numbers of inserted, updated, skipped and deleted rows, and of written buckets. A key that is
-        null or repeated is refused by ValueError."""
+        whose content_hash is the stored one leave their bucket alone; without such a column all rows are written. Updated rows
+        keep the stored values of `keep` and of columns that `rows` lack. Which buckets change is found by keys and hashes alone;
+        whole rows are read, and shuffled once, for these. `rows` are read more than once, so they should be stored ones
+        (`materialize`). Returns the numbers of inserted, updated, skipped and deleted rows, and of written buckets. A key that
+        is null or repeated is refused by ValueError."""
         t = self.next.tables[name]
         schema = T.StructType.fromJson(json.loads(t.schema))
-        kept = [f for f in schema if f.name in rows.columns]
-        new = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kept])
+        new = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in rows.columns])
+        hashed = "content_hash" in schema.names and "content_hash" in new.columns
+        seen = [*t.keys, *(["content_hash"] if hashed else [])]
+        slim = new.select(*seen)
         if gone is not None:
-            out = gone.select(*[F.col(k).cast(schema[k].dataType).alias(k) for k in t.keys]).distinct()
-            gone = materialize(out, "gone")
-            new = new.join(gone, t.keys, "left_anti")
-        new = materialize(new, "merge")
+            gone = materialize(gone.select(*[F.col(k).cast(schema[k].dataType).alias(k) for k in t.keys]).distinct(), "gone")
+            slim = slim.join(gone, t.keys, "left_anti")
+        slim = materialize(slim, "merge")
         null = F.lit(False)
         for k in t.keys:
             null = null | F.col(k).isNull()
-        if new.filter(null).take(1) or new.groupBy(*t.keys).count().filter("count > 1").take(1):
+        if slim.filter(null).take(1) or slim.groupBy(*t.keys).count().filter("count > 1").take(1):
             raise ValueError(f"a key of {name} is null or repeated")
-        before = self.next.table(name, among=new).select(*t.keys, *([F.col("content_hash")] if "content_hash" in schema.names else [])).withColumn("was_", F.lit(True))
-        before = before.withColumnRenamed("content_hash", "had_")
-        same = F.col("content_hash").eqNullSafe(F.col("had_")) if "content_hash" in new.columns and "had_" in before.columns else F.lit(False)
-        status = F.when(F.col("was_").isNull(), "inserted").when(same & F.lit(not force), "skipped").otherwise("updated")
-        told = materialize(new.join(before, t.keys, "left").withColumn("status_", status).drop("was_", "had_"), "told")
+        before = self.next.table(name, among=slim).select(*seen).withColumnRenamed("content_hash", "had_").withColumn("was_", F.lit(True))
+        same = F.col("content_hash").eqNullSafe(F.col("had_")) if hashed and not force else F.lit(False)
+        status = F.when(F.col("was_").isNull(), "inserted").when(same, "skipped").otherwise("updated")
+        told = materialize(slim.join(before, t.keys, "left").select(*t.keys, status.alias("status_")), "told")
         stats = {r.status_: r.n for r in told.groupBy("status_").agg(F.count("*").alias("n")).collect()}
-        changed = told.filter("status_ <> 'skipped'").drop("status_")
-        touched = set(buckets_of(changed, t))
+        touched = set(buckets_of(told.filter("status_ <> 'skipped'"), t))
         if gone is not None:
-            leaving = materialize(self.next.table(name, among=gone).join(gone, t.keys, "left_semi").select(*t.keys), "leaving")
+            leaving = materialize(self.next.table(name, among=gone).select(*t.keys).join(gone, t.keys, "left_semi"), "leaving")
             n = leaving.count()
             if n:
                 stats["deleted"] = n
                 touched |= set(buckets_of(leaving, t))
         stats["buckets"] = len(touched)
-        if not touched:
-            return stats
-        merged = ingest.merge(self.next.table(name, buckets=sorted(touched)), changed, tuple(t.keys), True, keep).drop("status") if "content_hash" in schema.names and "content_hash" in new.columns else self._overlaid(name, changed, touched)
-        if gone is not None:
-            merged = merged.join(gone, t.keys, "left_anti")
-        folder, found = self._write(merged, schema, t.keys, t.buckets)
-        parts = {b: f for b, f in t.parts.items() if int(b) not in touched} | {str(b): folder for b in found}
-        self.next.tables[name] = Table(t.schema, t.keys, t.buckets, parts)
+        if touched:
+            folder, found = self._write(self._merged(t, schema, self.next.table(name, buckets=sorted(touched)), new, gone, sorted(touched), hashed and not force, keep))
+            parts = {b: f for b, f in t.parts.items() if int(b) not in touched} | {str(b): folder for b in found}
+            self.next.tables[name] = Table(t.schema, t.keys, t.buckets, parts)
         return stats
 
-    def _overlaid(self, name: str, changed: DataFrame, touched: set[int]) -> DataFrame:
-        t = self.next.tables[name]
-        stay = self.next.table(name, buckets=sorted(touched)).join(changed.select(*t.keys), t.keys, "left_anti")
-        return stay.unionByName(changed, allowMissingColumns=True)
+    def _merged(self, t: Table, schema: T.StructType, old: DataFrame, new: DataFrame, gone: DataFrame | None, touched: list[int], hashed: bool, keep: tuple[str, ...]) -> DataFrame:
+        """The rows of the touched buckets after the merge, dealt by bucket. Stored rows (0), new ones (1) and keys that go (2)
+        of a key meet in one shuffle by bucket, which is also that of the folders."""
+        side = lambda df, n: df.withColumn("side_", F.lit(n))
+        both = side(old, 0).unionByName(side(new, 1), allowMissingColumns=True)
+        if gone is not None:
+            both = both.unionByName(side(gone, 2), allowMissingColumns=True)
+        both = both.withColumn(BUCKET, _bucket(schema, t.keys, t.buckets)).filter(F.col(BUCKET).isin(touched)).repartition(BUCKET)
+        own = W.partitionBy(BUCKET, *t.keys)
+        of = lambda n, c: F.first(F.when(F.col("side_") == n, c), ignorenulls=True).over(own)
+        there = lambda n: F.max(F.col("side_") == n).over(own)
+        same = there(0) & there(1) & of(0, F.col("content_hash")).eqNullSafe(of(1, F.col("content_hash"))) if hashed else F.lit(False)
+        stored = [f.name for f in schema if f.name not in new.columns or f.name in keep]
+        facts = {"had_": there(0), "has_": there(1), "goes_": there(2), "same_": same} | {f"old_{c}": of(0, F.col(c)) for c in stored}
+        known = both.withColumns(facts).filter(~F.col("goes_") & F.when(F.col("side_") == 0, ~F.col("has_") | F.col("same_")).otherwise(~F.col("same_")))
+        return known.select(*[F.coalesce(f"old_{f.name}", f.name).alias(f.name) if f.name in stored else F.col(f.name) for f in schema], BUCKET).sortWithinPartitions(BUCKET, *t.keys)
 
     def folder(self, name: str) -> str:
         """A new place for a folder of this name, to be written before the commit."""

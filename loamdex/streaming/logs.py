@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loamdex.operators import ingest, snapshots
+from loamdex.session import materialize
 
 
 def read_events(spark: SparkSession, path: str, schema=None, max_files: int | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def merge_into_buckets(path: str, table: str = "documents", order: tuple[str, ..
         with ingest.writer_lock(spark, path) as lease:
             change = snapshots.Change(spark, path, lease)
             keys = change.base.tables[table].keys
-            fresh = ingest.first_wins(batch, keys, *[F.desc(c) for c in order], F.col("content_hash"))
+            fresh = materialize(ingest.first_wins(batch, keys, *[F.desc(c) for c in order], F.col("content_hash")), "batch")
             if change.merge(table, fresh)["buckets"]:
                 change.commit()
 

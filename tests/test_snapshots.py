@@ -81,7 +81,7 @@ def test_without_hashes_all_rows_are_written(spark, tmp_path):
     change = snapshots.Change(spark, path)
     assert change.merge("links", spark.createDataFrame([(1, 2), (5, 6)], "src long, dst long")) == {"updated": 1, "inserted": 1, "buckets": 1}
     change.commit()
-    assert sorted(map(tuple, snapshots.latest(spark, path).table("links").collect())) == [(1, 2, None), (2, 3, None), (5, 6, None)]
+    assert sorted(map(tuple, snapshots.latest(spark, path).table("links").collect())) == [(1, 2, "x"), (2, 3, None), (5, 6, None)]  # what the rows lack stays
 
 
 @pytest.mark.parametrize("step", ["write", "rename"])
