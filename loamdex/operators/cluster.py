@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loamdex.functions.text import normalize_words
-from loamdex.operators import descent
+from loamdex.operators import descent, pairs
 from loamdex.operators.vector import dot
 from loamdex.session import materialize
 
@@ -38,30 +36,8 @@ def centred(rows: DataFrame) -> DataFrame:
 
 def neighbours(rows: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
     """(a, near, n, s, ss) for each row: its k most similar others as structs (d, b) with d = -similarity (equal ones by
-    id), and the number, sum and sum of squares of its similarities. The definition looks at all pairs: rows meet in
-    blocks, each pair of blocks is multiplied as matrices, and of each only k neighbours and the sums leave the task."""
-    n = max(1, -(-rows.count() // block))
-    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    left = packed.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"), F.col("rows").alias("x"))
-    pairs = left.join(packed.select(F.col("block").alias("other"), F.col("rows").alias("y")), "other")
-
-    def run(batches):
-        for pdf in batches:
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                ids = [np.array([r["id"] for r in side]) for side in (x, y)]
-                a, b = (np.stack([r["v"] for r in side]) for side in (x, y))
-                sims = a @ b.T
-                other = ids[0][:, None] != ids[1][None]
-                held = np.where(other, sims, 0.0)
-                order = np.argsort(ids[1], kind="stable")
-                best = order[np.argsort(-np.where(other, sims, -np.inf)[:, order], axis=1, kind="stable")[:, :k]]
-                near = [[{"d": -float(sims[i, j]), "b": ids[1][j]} for j in best[i] if other[i, j]] for i in range(len(a))]
-                yield pd.DataFrame({"a": ids[0], "near": near, "n": other.sum(1), "s": held.sum(1), "ss": (held * held).sum(1)})
-
-    kind = dict(rows.dtypes)["id"]
-    parts = pairs.select("x", "y").mapInPandas(run, f"a {kind}, near array<struct<d: double, b: {kind}>>, n long, s double, ss double")
-    near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-    return parts.groupBy("a").agg(near.alias("near"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    id), and the number, sum and sum of squares of its similarities, over all pairs (`pairs.neighbours`)."""
+    return pairs.neighbours(rows, k, block)
 
 
 def threshold(found: DataFrame, alpha: float = 1.0) -> DataFrame:
