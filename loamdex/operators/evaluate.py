@@ -58,27 +58,40 @@ def latency(searches: DataFrame, column: str = "latency_ms") -> DataFrame:
     return upto.crossJoin(F.broadcast(n)).groupBy("n", "p50").agg(F.min(F.when(F.col("upto") >= at, F.col(column))).alias("p95"))
 
 
-#: Size of a latency sketch; the rank of a quantile is off by 0.1 % of the searches or less, in 99 of 100 cases.
-SKETCH_K = 4096
+_COUNTS = "array<struct<value: bigint, n: bigint>>"
+
+
+def _states(counts: DataFrame) -> DataFrame:
+    """(day, n, state) of (day, value, n), in which a value may occur more than once."""
+    once = counts.groupBy("day", "value").agg(F.sum("n").alias("n"))
+    return once.groupBy("day").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("value", "n"))).cast(_COUNTS).alias("state"))
 
 
 def daily_latency(searches: DataFrame, column: str = "latency_ms", at: str = "ts") -> DataFrame:
-    """(day, n, state): a mergeable quantile sketch of each day's latencies, to be stored."""
+    """(day, n, state): how often each whole latency occurs on a day, to be stored. Such counts merge without loss, and
+    grow with the different latencies of a day, not with its searches."""
     given = searches.filter(F.col(column).isNotNull())
-    return given.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias("n"), F.kll_sketch_agg_bigint(F.col(column).cast("long"), SKETCH_K).alias("state"))
+    return _states(given.groupBy(F.to_date(at).alias("day"), F.col(column).cast("long").alias("value")).agg(F.count("*").alias("n")))
+
+
+def _counts(states: DataFrame, by: str) -> DataFrame:
+    return states.select(by, F.explode("state").alias("x")).groupBy(by, "x.value").agg(F.sum("x.n").alias("n"))
 
 
 def add_days(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """The stored states with those of newly read searches merged in; no earlier search is read again."""
-    both = stored.select("day", "n", "state").unionByName(fresh.select("day", "n", "state"))
-    return both.groupBy("day").agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("state", SKETCH_K).alias("state"))
+    return _states(_counts(stored.select("day", "state").unionByName(fresh.select("day", "state")), "day"))
 
 
 def period_latency(states: DataFrame, period: Column | None = None) -> DataFrame:
-    """(period, n, p50, p95) of stored days, by an expression over `day` (all days are one period without it)."""
-    by = states.withColumn("period", period if period is not None else F.lit("all"))
-    merged = by.groupBy("period").agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("state", SKETCH_K).alias("state"))
-    return merged.select("period", "n", *[F.kll_sketch_get_quantile_bigint("state", F.lit(q)).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95))])
+    """(period, n, p50, p95) of stored days, by an expression over `day` (all days are one period without it): the least
+    latencies that at least half and 95 % of the period's searches don't exceed."""
+    counts = _counts(states.withColumn("period", period if period is not None else F.lit("all")), "period")
+    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("period").orderBy("value")))  # a row for each value
+    total = counts.groupBy(F.col("period").alias("of")).agg(F.sum("n").alias("total"))
+    both = upto.join(total, F.col("period").eqNullSafe(F.col("of")))
+    least = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("value"))).alias(name) for name, q in (("p50", 50), ("p95", 95))]
+    return both.groupBy("period").agg(F.max("total").alias("n"), *least)
 
 
 def rank_quality(selections: DataFrame) -> DataFrame:

@@ -105,6 +105,14 @@ def test_one_writer_at_a_time(spark, tmp_path):
         pass
 
 
+def test_latency_of_many_searches_is_exact(spark):
+    """Each latency once, in two batches: a sketch's quantiles would be off by some."""
+    log = spark.range(40_000).select((F.col("id") * 7919 % 40_000 + 1).alias("latency_ms"), F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, CAST(id % 9 AS INT))").alias("ts"), "id")
+    days = evaluate.add_days(evaluate.daily_latency(log.filter("id % 2 = 0")), evaluate.daily_latency(log.filter("id % 2 = 1")))
+    assert evaluate.period_latency(days).collect() == [("all", 40_000, 20_000, 38_000)]
+    assert sorted(r.n for r in days.collect()) == [4444] * 5 + [4445] * 4
+
+
 def test_latency_of_stored_days(spark, tmp_path):
     import random
 
