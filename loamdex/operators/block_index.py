@@ -35,6 +35,8 @@ SLOT_DOCS = 128
 FIRST = 8
 #: Blocks that are read at once, as finding out which to leave costs more.
 FEW = 1024
+#: Places of a score that count in the order; what sums of doubles differ by otherwise is no order.
+PLACES = 9
 #: Terms whose frequencies an open index keeps.
 KEPT_TERMS = 10_000
 #: Postings that a task hands on at once, at least.
@@ -217,6 +219,10 @@ def phrase_blocks(index: BlockIndex, phrase: Unit) -> DataFrame:
     return materialize(_blocks(_counted(at).filter("tf_title + tf_body > 0")), "phrase")
 
 
+def by_score() -> Column:
+    return F.round("bm25", PLACES)
+
+
 def _part(tf: Column, length: Column, average: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
 
@@ -278,23 +284,23 @@ class Best:
 
 
 def best(index: BlockIndex, units: list[Unit], k: int, allowed: DataFrame | None = None, only: str | None = None, first: int = FIRST, few: int = FEW) -> Best:
-    """The k best documents, the same as by summing all postings; ties go to the smaller doc_id. `allowed` limits them to
+    """The k best documents, the same as by summing all postings; ties at `PLACES` places go to the smaller doc_id. `allowed` limits them to
     its doc_ids; statistics cover all. A query of `few` blocks at most reads them all at once."""
     scorer = Scorer(index, units, only)
     kept = lambda rows: rows if allowed is None else rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
     if scorer.n_blocks <= few:
-        return Best(kept(scorer.scores()).orderBy("bm25", "doc_id").limit(k), scorer.n_blocks, scorer.n_blocks)
+        return Best(kept(scorer.scores()).orderBy(by_score(), "doc_id").limit(k), scorer.n_blocks, scorer.n_blocks)
     bounds = scorer.bounds()
     top = [r.slot for r in bounds.orderBy(F.desc("bound"), "slot").limit(first).collect()]
-    early = kept(scorer.scores(scorer.blocks.filter(F.col("slot").isin(top)))).orderBy("bm25", "doc_id").limit(k)
+    early = kept(scorer.scores(scorer.blocks.filter(F.col("slot").isin(top)))).orderBy(by_score(), "doc_id").limit(k)
     found = early.collect()  # k rows
     rest = bounds.filter(~F.col("slot").isin(top))
     if len(found) >= k:
-        rest = rest.filter(F.col("bound") >= -found[-1].bm25 * (1 - 1e-9))  # sums of doubles differ by their order
+        rest = rest.filter(F.col("bound") >= -found[-1].bm25 * (1 - 1e-9) - 2 * 10.0**-PLACES)  # what rounds to the floor
     later = scorer.blocks.join(rest.select("slot"), "slot", "left_semi")
     head = index.blocks.sparkSession.createDataFrame(found, early.schema)
     read = scorer.blocks.filter(F.col("slot").isin(top)).select("slot").unionByName(later.select("slot"))
-    return Best(head.unionByName(kept(scorer.scores(later))).orderBy("bm25", "doc_id").limit(k), read, scorer.n_blocks)
+    return Best(head.unionByName(kept(scorer.scores(later))).orderBy(by_score(), "doc_id").limit(k), read, scorer.n_blocks)
 
 
 def all_scores(index: BlockIndex, units: list[Unit], only: str | None = None) -> DataFrame:

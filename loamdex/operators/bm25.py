@@ -71,7 +71,7 @@ def index_scores(index: TermIndex, terms: list[str], field: str | None = None, t
     return index.postings.filter(F.col("term").isin(*times)).filter(tf > 0).groupBy("doc_id").agg(F.sum(part).alias("bm25"))
 
 
-def ranked(scores: DataFrame, k: int, offset: int = 0, by: str = "bm25") -> DataFrame:
+def ranked(scores: DataFrame, k: int, offset: int = 0, by: str | Column = "bm25") -> DataFrame:
     """The best rows after `offset`, with `rank` from offset + 1. Ties go to the smaller doc_id."""
     best = scores.orderBy(by, "doc_id").offset(offset).limit(k) if offset else scores.orderBy(by, "doc_id").limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(by, "doc_id")) + offset)  # k rows
@@ -93,7 +93,8 @@ def keyword_search(docs: DataFrame, query: str, k: int = 10, offset: int = 0, wh
         scores = block_index.best(index, units, k + offset, None if where is None else kept).rows
     else:
         scores = index_scores(index, terms) if index is not None else scan_scores(docs, terms)
-    hits = ranked(scores.join(kept.select("doc_id", "title", "updated_at"), "doc_id"), k, offset)
+    by = block_index.by_score() if isinstance(index, BlockIndex) else "bm25"
+    hits = ranked(scores.join(kept.select("doc_id", "title", "updated_at"), "doc_id"), k, offset, by)
     in_title = F.lit(True)
     for t in terms:
         in_title = in_title & F.lower("title").contains(t)
@@ -136,5 +137,5 @@ def advanced_search(docs: DataFrame, title: str | None = None, body: str | None
         own = own.withColumnRenamed("bm25", f"bm25_{f}")
         scores = own if scores is None else scores.join(own, "doc_id")
     total = sum((F.col(f"bm25_{f}") for f in fields), F.lit(0.0))
-    hits = ranked(scores.select("doc_id", total.alias("bm25")).join(kept.select("doc_id", "title"), "doc_id"), k, offset)
+    hits = ranked(scores.select("doc_id", total.alias("bm25")).join(kept.select("doc_id", "title"), "doc_id"), k, offset, "bm25" if index is None else block_index.by_score())
     return hits.select("rank", "doc_id", "title", F.lit(1.0).alias("score"))

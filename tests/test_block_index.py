@@ -122,3 +122,11 @@ def test_fielded_search_of_an_index_reads_no_texts(spark, saved):
     docs, index = spark.read.parquet(saved + "/documents"), block_index.load(spark, saved + "/index")
     found = bm25.advanced_search(docs.drop("body"), "payment", None, index=index)
     assert ids(found) == ["a"]
+
+
+def test_scores_that_are_equal_at_nine_places_are_ties(spark):
+    """A word of all documents has next to no weight, so a slightly shorter text doesn't come first."""
+    docs = docs_of(spark, [("a", "", "word " * 500 + "more"), ("z", "", "word " * 500)])
+    index = block_index.build(docs)
+    assert ids(bm25.keyword_search(docs, "word", 2, index=index)) == ["a", "z"]
+    assert ids(block_index.best(index, query_units("word"), 1, few=0).rows) == ["a"]
