@@ -151,12 +151,61 @@ def _totals(lengths: DataFrame, slots: int) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length")).withColumn("slots", F.lit(slots))
 
 
+def _slot_blocks() -> Callable[[pa.Table], pa.Table]:
+    """A slot's documents to its blocks, and one block of no term that has the length of each document."""
+    known: dict[str, str] = {}
+
+    def stems(words: list[str]) -> list[str]:
+        for w in words:
+            if w not in known:
+                known[w] = analysis.stem(w)
+        return [s for s in map(known.__getitem__, words) if s]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        if len(known) > 500_000:
+            known.clear()
+        found: dict[str | None, list[tuple]] = {None: []}
+        for i, texts in enumerate(zip(table["t"].to_pylist(), table["b"].to_pylist(), strict=True)):
+            at: dict[str, tuple[list[int], list[int]]] = {}
+            length = ID_TOKENS
+            for which, words in enumerate(map(stems, texts)):
+                length += len(words)
+                for place, term in enumerate(words):
+                    at.setdefault(term, ([], []))[which].append(place)
+            found[None].append((i, length, [], []))
+            for term, both in at.items():
+                found.setdefault(term, []).append((i, length, *both))
+        rows = [r for rs in found.values() for r in rs]
+        at, length, title, body = zip(*rows, strict=True)
+        places = pa.list_(pa.int32())
+        tf = [pa.array([len(x) for x in f], pa.int32()) for f in (title, body)]
+        items = [table["doc_id"].combine_chunks().take(pa.array(at)), pa.array(length, pa.int32()), *tf, pa.array(title, places), pa.array(body, places)]
+        offsets = [0]
+        for rs in found.values():
+            offsets.append(offsets[-1] + len(rs))
+        postings = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(items, ["doc_id", "length", "tf_title", "tf_body", "title_at", "body_at"]))
+        heads = [(len(rs), sum(map(bool, t)), sum(map(bool, b)), max(map(len, t)), max(map(len, b)), min(n)) for rs in found.values() for _, n, t, b in [tuple(zip(*rs, strict=True))]]
+        n, n_title, n_body, max_title, max_body, least = zip(*heads, strict=True)
+        slot = table["slot"][0].as_py()
+        columns = [pa.array(list(found), pa.string()), pa.array([slot] * len(found), pa.int64()), *(pa.array(c, pa.int64()) for c in (n, n_title, n_body)), *(pa.array(c, pa.int32()) for c in (max_title, max_body, least)), postings]
+        return pa.table(columns, [*HEAD, "postings"])
+
+    return run
+
+
 def build(docs: DataFrame, slot_docs: int = SLOT_DOCS) -> BlockIndex:
-    """The index of rows with doc_id, title and body. The texts are analysed once and the postings written."""
+    """The index of rows with doc_id, title and body. Texts are brought together by slot, each once, so a task makes whole
+    blocks and no posting is shuffled. Written."""
     slots = max(1, math.ceil(docs.count() / slot_docs))
-    rows = materialize(postings(docs, slots), "positions")
-    lengths = rows.filter("term IS NULL").select("slot", "doc_id", "length")
-    return BlockIndex(_blocks(_counted(rows)), lengths, _totals(lengths, slots))
+    kind = dict(docs.dtypes)["doc_id"]
+    dealt = docs.select("doc_id", "title", "body", slot_of("doc_id", slots).alias("slot")).repartition("slot")
+    words = dealt.select("doc_id", "slot", analysis.raw_words(F.col("title")).alias("t"), analysis.raw_words(F.col("body")).alias("b"))
+    schema = f"""term string, slot long, n long, n_title long, n_body long, max_title int, max_body int, least_length int,
+        postings array<struct<doc_id: {kind}, length: int, tf_title: int, tf_body: int, title_at: array<int>, body_at: array<int>>>"""
+    rows = materialize(words.groupBy("slot").applyInArrow(_slot_blocks(), schema), "blocks")
+    lengths = rows.filter("term IS NULL").select("slot", F.explode("postings").alias("p")).select("slot", "p.doc_id", "p.length")
+    return BlockIndex(rows.filter("term IS NOT NULL"), lengths, _totals(lengths, slots))
 
 
 def refresh(stored: BlockIndex, changed: DataFrame, live: DataFrame, slot_docs: int = SLOT_DOCS) -> BlockIndex:

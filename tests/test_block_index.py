@@ -130,3 +130,14 @@ def test_scores_that_are_equal_at_nine_places_are_ties(spark):
     index = block_index.build(docs)
     assert ids(bm25.keyword_search(docs, "word", 2, index=index)) == ["a", "z"]
     assert ids(block_index.best(index, query_units("word"), 1, few=0).rows) == ["a"]
+
+
+def test_no_posting_is_shuffled_by_the_build(spark):
+    """Blocks are made where a slot's texts meet: what is stored has no exchange behind it, and blocks are whole."""
+    docs = docs_of(spark, ROWS)
+    index = block_index.build(docs, slot_docs=3)
+    assert "Aggregate" not in index.blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert index.blocks.count() == index.blocks.select("term", "slot").distinct().count()
+    slow = block_index._blocks(block_index._counted(block_index.postings(docs, 3))).select(*index.blocks.columns)
+    assert sorted(map(str, index.blocks.collect())) == sorted(map(str, slow.collect()))
+    assert index.lengths.count() == len(ROWS) and block_index.build(docs.limit(0)).blocks.collect() == []
