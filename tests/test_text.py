@@ -81,7 +81,7 @@ def test_rules_from_a_setting():
 def test_texts_go_to_python_in_small_batches(spark):
     """Not as Arrow batches, which hold up to 10,000 texts and their copies."""
     rows = spark.createDataFrame([("a\n```\n1\n2\n3\n4\n```\n|h|\n|-|\n|1|",), (None,)], "v string")
-    for made in (markdown.compress(F.col("v")), markdown.adf_text(F.col("v"))):
+    for made in (markdown.compress(F.col("v")), markdown.html_to_markdown(F.col("v")), markdown.adf_text(F.col("v"))):
         df = rows.select(made.alias("x"))
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
