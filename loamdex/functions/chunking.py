@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -28,9 +27,10 @@ def pack(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     return [*chunks, "\n\n".join(now)] if now else chunks
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def chunk_texts(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(pack)
+# Plain UDFs, which get 100 rows at a time: a worker holds a few texts and their chunks, however many a task has.
+@F.udf(ArrayType(StringType()))
+def chunk_texts(text: str | None) -> list[str]:
+    return pack(text or "")
 
 
 def chunks(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -54,9 +54,9 @@ def lead(text: str, limit: int = 280) -> str:
     return (out or first)[:limit]
 
 
-@F.pandas_udf(StringType())
-def _leads(text: pd.Series) -> pd.Series:
-    return text.map(lead, na_action="ignore")
+@F.udf(StringType())
+def _leads(text: str | None) -> str | None:
+    return None if text is None else lead(text)
 
 
 def summary(text: Column, limit: int = 280) -> Column:

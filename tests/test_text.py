@@ -86,3 +86,15 @@ def test_texts_go_to_python_in_small_batches(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
         assert [r.x is None for r in df.collect()] == [False, True]
+
+
+def small_batches(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_bodies_are_cut_into_chunks_in_small_batches(spark):
+    docs = spark.createDataFrame([(1, "a\n\nb"), (2, None), (3, "")], "doc_id int, body string")
+    made = chunking.chunks(docs)
+    assert small_batches(made) and [tuple(r) for r in made.collect()] == [("1#0", 1, 0, "a\n\nb")]
+    assert small_batches(docs.select(chunking.summary(F.col("body")).alias("x")))
