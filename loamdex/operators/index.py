@@ -40,7 +40,7 @@ def tokenized(docs: DataFrame, stem: bool = False) -> DataFrame:
         from loamdex.functions.analysis import raw_words
         from loamdex.functions.stem import stem_tokens
 
-        t, b = (F.filter(stem_tokens(raw_words(F.col(f))), lambda w: w != "") for f in ("title", "body"))
+        t, b = (stem_tokens(raw_words(F.col(f))) for f in ("title", "body"))
     return docs.select("doc_id", t.alias("title_tokens"), b.alias("body_tokens"))
 
 

@@ -112,3 +112,11 @@ def test_service_round_trip(spark, toy, tmp_path):
     assert s.status().first().documents == 5
     with pytest.raises(PermissionError):
         s.reindex(str(tmp_path))
+
+
+def test_stems_go_to_python_in_small_batches(spark):
+    docs = spark.createDataFrame([(1, "Écrans", "motoring ponies"), (2, None, "")], "doc_id int, title string, body string")
+    df = index.tokenized(docs, stem=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [tuple(r) for r in df.orderBy("doc_id").collect()] == [(1, ["ecran"], ["motor", "poni"]), (2, [], [])]
