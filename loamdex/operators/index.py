@@ -32,6 +32,10 @@ class TermIndex:
             self._stats = (row.n_docs, row.avg_length or 1.0)
         return self._stats
 
+    def frequencies(self) -> DataFrame:
+        """(term, df, df_title, df_body), counted from the postings, which needs no join of them."""
+        return _frequencies(self.postings)
+
 
 def tokenized(docs: DataFrame, stem: bool = False) -> DataFrame:
     """(doc_id, title_tokens, body_tokens) of rows with doc_id, title and body."""
@@ -44,31 +48,46 @@ def tokenized(docs: DataFrame, stem: bool = False) -> DataFrame:
     return docs.select("doc_id", t.alias("title_tokens"), b.alias("body_tokens"))
 
 
-def _marked(tokens: str, in_title: int) -> Column:
-    return F.transform(tokens, lambda w: F.struct(w.alias("term"), F.lit(in_title).alias("t")))
+def _counted(docs: DataFrame, stem: bool) -> DataFrame:
+    """(term, doc_id, length, tf_title, tf_body), and for each row of `docs` a row of no term. Tokens are counted within their row,
+    as runs of the sorted ones, so nothing is shuffled."""
+    words = tokenized(docs, stem)
+    length = (F.size("title_tokens") + F.size("body_tokens") + ID_TOKENS).alias("length")
+    words = words.select("doc_id", length, "title_tokens", F.sort_array(F.concat("title_tokens", "body_tokens")).alias("all"))
+    first = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: (i == 0) | (F.get("all", i) != F.get("all", i - 1)))
+    starts = words.withColumn("starts", F.when(F.size("all") > 0, first).otherwise(F.array().cast("array<int>")))
 
+    def run(i: Column, k: Column) -> Column:
+        term = F.get("all", i)
+        in_title = F.when(F.array_contains("title_tokens", term), F.size(F.filter("title_tokens", lambda w: w == term))).otherwise(0)
+        n = F.coalesce(F.get("starts", k + 1), F.size("all")) - i
+        return F.struct(term.alias("term"), n.cast("long").alias("n"), in_title.cast("long").alias("tf_title"))
 
-def _counted(docs: DataFrame, stem: bool) -> DataFrame:
-    words = tokenized(docs, stem).withColumn("length", F.size("title_tokens") + F.size("body_tokens") + ID_TOKENS)
-    both = F.concat(_marked("title_tokens", 1), _marked("body_tokens", 0), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("t"))))
-    return (
-        words.select("doc_id", "length", F.explode(both).alias("w"))
-        .groupBy(F.col("w.term").alias("term"), "doc_id", "length")
-        .agg(F.sum("w.t").alias("tf_title"), F.sum(1 - F.col("w.t")).alias("tf_body"))
-    )
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("tf_title"))
+    rows = starts.select("doc_id", "length", F.explode(F.concat(F.transform("starts", run), F.array(none))).alias("w"))
+    return rows.select("w.term", "doc_id", "length", "w.tf_title", (F.col("w.n") - F.col("w.tf_title")).alias("tf_body"))
+
+
+def _frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("tf_title") > 0).alias("df_title"), F.count_if(F.col("tf_body") > 0).alias("df_body"))
 
 
 def _finished(counted: DataFrame) -> TermIndex:
-    """From (term, doc_id, length, tf_title, tf_body), where each document has a row of no term for its length."""
+    """From (term, doc_id, length, tf_title, tf_body), where each document has a row of no term for its length. It is written: it is
+    read for lengths, for frequencies, and twice for the ranges of terms. Rows that share a doc_id are one document's; only
+    where there are such, counts are added by a shuffle."""
+    counted = materialize(counted, "postings")
+    if not counted.filter("term IS NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        counted = materialize(counted.groupBy("term", "doc_id", "length").agg(F.sum("tf_title").alias("tf_title"), F.sum("tf_body").alias("tf_body")), "postings")
     lengths, counted = counted.filter("term IS NULL").select("doc_id", "length"), counted.filter("term IS NOT NULL")
-    frequency = counted.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("tf_title") > 0).alias("df_title"), F.count_if(F.col("tf_body") > 0).alias("df_body"))
-    postings = counted.join(frequency, "term").select("term", "doc_id", "tf_title", "tf_body", "length", "df", "df_title", "df_body")
+    # Every term has its frequencies, so this is an inner join; as a left one, Spark leaves it out where no frequency is read.
+    postings = counted.join(_frequencies(counted), "term", "left").select("term", "doc_id", "tf_title", "tf_body", "length", "df", "df_title", "df_body")
     return TermIndex(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length")))
 
 
 def build(docs: DataFrame, stem: bool = False) -> TermIndex:
-    """One pass over the texts for postings. A document's equal tokens are counted before the shuffle."""
-    return _finished(materialize(_counted(docs, stem), "postings"))  # read for the frequencies, and twice for the ranges of terms
+    """One pass over the texts for postings."""
+    return _finished(_counted(docs, stem))
 
 
 def refresh(stored: TermIndex, changed: DataFrame, live: DataFrame, stem: bool = False) -> TermIndex:
@@ -77,7 +96,7 @@ def refresh(stored: TermIndex, changed: DataFrame, live: DataFrame, stem: bool =
     rows = stored.postings.select("term", "doc_id", "length", "tf_title", "tf_body")
     none = stored.lengths.select(F.lit(None).cast("string").alias("term"), "doc_id", "length", F.lit(0).cast("long").alias("tf_title"), F.lit(1).cast("long").alias("tf_body"))
     kept = rows.unionByName(none).join(same, "doc_id", "left_semi")
-    return _finished(materialize(kept.unionByName(_counted(changed, stem)), "postings"))
+    return _finished(kept.unionByName(_counted(changed, stem)))
 
 
 def save(index: TermIndex, path: str, partitions: int | None = None) -> None:

@@ -114,6 +114,20 @@ def test_service_round_trip(spark, toy, tmp_path):
         s.reindex(str(tmp_path))
 
 
+def test_postings_are_read_without_a_join(spark):
+    """Only frequencies need one; rows that share a doc_id are one document's, and a body without words has its length alone."""
+    rows = [(1, "a_b x", "x y x"), (1, "z z z", "x y"), (2, "", None), (3, "y", "y")]
+    built = index.build(spark.createDataFrame(rows, "doc_id int, title string, body string"))
+    postings = built.postings.select("term", "doc_id", "tf_title", "tf_body")
+    for df in (postings, built.frequencies()):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in postings.collect()} == {("a_b", 1, 1, 0), ("x", 1, 1, 3), ("y", 1, 0, 2), ("z", 1, 3, 0), ("y", 3, 1, 1)}
+    frequencies = {tuple(r) for r in built.frequencies().collect()}
+    assert frequencies == {("a_b", 1, 1, 0), ("x", 1, 1, 1), ("y", 2, 1, 2), ("z", 1, 1, 0)}
+    assert frequencies == {tuple(r) for r in built.postings.select("term", "df", "df_title", "df_body").distinct().collect()}
+    assert sorted(tuple(r) for r in built.lengths.collect()) == [(1, 6), (2, 1), (3, 3)]
+
+
 def test_stems_go_to_python_in_small_batches(spark):
     docs = spark.createDataFrame([(1, "Écrans", "motoring ponies"), (2, None, "")], "doc_id int, title string, body string")
     df = index.tokenized(docs, stem=True)
