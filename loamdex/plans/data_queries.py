@@ -467,7 +467,7 @@ def w4(spark: SparkSession, sf: str) -> DataFrame:
     stored, new = _merge_input(spark, sf)
     table, changes = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
     stored.write.parquet(table)
-    new.withColumn("updated_at", as_of()).repartition(2).write.parquet(changes)
+    new.withColumn("updated_at", as_of()).write.parquet(changes)
     stream = spark.readStream.schema(spark.read.parquet(changes).schema).parquet(changes)
     run = stream.writeStream.foreachBatch(logs.merge_into(table)).option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).start()
     run.awaitTermination()

@@ -243,3 +243,19 @@ def test_backfills_are_idempotent(spark):
     assert once.collect() == ingest.backfill_dates(once).collect()
     assert once.first().created_at is not None and once.first().updated_at is None
     assert once.filter(F.col("updated_at").isNotNull()).count() == 0
+
+
+def test_changes_are_written_by_as_many_tasks_as_read_them(spark, tmp_path):
+    """The stream's changes once went through two tasks, whatever their size."""
+    from pathlib import Path
+
+    from loamdex.plans import registry
+    from loamdex.session import shared_dir
+
+    spark.range(400).selectExpr("id AS doc_id", "'s' AS source", "concat('t', id) AS text").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("changes-*"))
+    rows = registry.queries()["w4_stream_merge"](spark, str(tmp_path))
+    assert rows.count() == sum(1 for i in range(400) if i % 5 or i % 3)
+    (made,) = set(folder.glob("changes-*")) - before
+    assert len(list(made.glob("part-*"))) > 2
