@@ -237,18 +237,15 @@ def validate_questions(rows: DataFrame, anchors: int = 1) -> DataFrame:
 
 
 def distinct_questions(rows: DataFrame, most: float = 0.6) -> DataFrame:
-    """Of each document's questions (doc_id, at, question), in order, those that aren't too like a kept one."""
-    kinds = dict(rows.dtypes)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        kept, out = [], []
-        for r in pdf.sort_values("at").to_dict("records"):
-            words = set(re.findall("[가-힣A-Za-z0-9]{2,}", r["question"].lower()))
-            if all(len(words & w) <= most * max(1, len(words | w)) for w in kept):
-                kept.append(words)
-                out.append(r)
-        return pd.DataFrame(out, columns=list(pdf.columns))
-
-    return rows.groupBy("doc_id").applyInPandas(keep, ", ".join(f"{c} {kinds[c]}" for c in rows.columns))
+    """Of each document's questions (doc_id, at, question), in order, those that aren't too like a kept one. A document's rows
+    meet as one array, which column expressions walk."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "at", "question")]
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("question", F.lit(""))), F.lit("([가-힣A-Za-z0-9]{2,})")))
+    asked = rows.select("doc_id", F.struct("at", "question", words.alias("words"), *rest).alias("q")).groupBy("doc_id").agg(F.array_sort(F.collect_list("q")).alias("asked"))
+
+    def alike(x: Column, y: Column) -> Column:
+        return F.size(F.array_intersect(x["words"], y["words"])) > most * F.greatest(F.lit(1), F.size(F.array_union(x["words"], y["words"])))
+
+    none = F.filter("asked", lambda x: F.lit(False))
+    kept = F.aggregate("asked", none, lambda kept, x: F.when(F.exists(kept, lambda k: alike(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    return asked.select("doc_id", F.explode(kept).alias("q")).select(*[F.col("doc_id") if c == "doc_id" else F.col("q")[c].alias(c) for c in rows.columns])

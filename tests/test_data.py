@@ -259,3 +259,11 @@ def test_changes_are_written_by_as_many_tasks_as_read_them(spark, tmp_path):
     assert rows.count() == sum(1 for i in range(400) if i % 5 or i % 3)
     (made,) = set(folder.glob("changes-*")) - before
     assert len(list(made.glob("part-*"))) > 2
+
+
+def test_distinct_questions_walk_a_document_without_python(spark):
+    rows = [(1, 1, "how does payment work", "b"), (1, 0, "how does payment work today", "a"), (1, 2, "who owns the ledger", "c"), (1, 3, None, "d"), (2, 0, "how does payment work", "e"), (None, 0, "x y", "f")]
+    kept = mining.distinct_questions(spark.createDataFrame(rows, "doc_id int, at int, question string, by string"))
+    assert kept.columns == ["doc_id", "at", "question", "by"]
+    assert "Python" not in (plan := kept._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan
+    assert values(kept, "doc_id", "at", "by") == [(1, 0, "a"), (1, 2, "c"), (1, 3, "d"), (2, 0, "e"), (None, 0, "f")]
