@@ -62,6 +62,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(f"([{WORD_CHARS}]+)"))
 
 
+def run_starts(words: str) -> Column:
+    """Where runs of equal words begin in a sorted array column. It has to be a column of its own, since its elements are looked
+    up one by one."""
+    first = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+    return F.when(F.size(words) > 0, first).otherwise(F.array().cast("array<int>"))
+
+
 def query_terms(query: str) -> list[str]:
     """A query's terms as the index holds them: words of two characters or more, without particles, in order."""
     import re

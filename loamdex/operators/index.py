@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.functions.text import tokens
+from loamdex.functions.text import run_starts, tokens
 from loamdex.session import materialize
 
 #: The identifier's column counts as one token of a document's length, as in the score's definition.
@@ -54,8 +54,7 @@ def _counted(docs: DataFrame, stem: bool) -> DataFrame:
     words = tokenized(docs, stem)
     length = (F.size("title_tokens") + F.size("body_tokens") + ID_TOKENS).alias("length")
     words = words.select("doc_id", length, "title_tokens", F.sort_array(F.concat("title_tokens", "body_tokens")).alias("all"))
-    first = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: (i == 0) | (F.get("all", i) != F.get("all", i - 1)))
-    starts = words.withColumn("starts", F.when(F.size("all") > 0, first).otherwise(F.array().cast("array<int>")))
+    starts = words.withColumn("starts", run_starts("all"))
 
     def run(i: Column, k: Column) -> Column:
         term = F.get("all", i)

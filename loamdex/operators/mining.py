@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loamdex.functions.text import clean_question, word_set
+from loamdex.session import materialize
 
 # Korean nouns that are no synonyms, common abbreviations, column names that mean something else in each
 # table, words of SQL, and audit columns.
@@ -214,11 +215,24 @@ def query_words(text: Column) -> Column:
 def rare_term_queries(docs: DataFrame, terms: int = 3, part: float = 0.05, most_queries: int | None = None) -> DataFrame:
     """(doc_id, title, query): the rarest words of a body that aren't in its title, are in two documents at least and in
     max(5 %, 3) at most; ties by frequency in the body, then by the word. Documents with fewer give none."""
-    tf = docs.select("doc_id", F.explode(query_words(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    titles = docs.select("doc_id", F.explode(query_words(F.col("title"))).alias("term")).select("doc_id", F.lower("term").alias("low")).distinct()
+    from loamdex.functions.text import run_starts
+
+    texts = docs.select("doc_id", "title", "body")
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # rows of one document are read as one text
+        texts = texts.groupBy("doc_id").agg(*[F.array_join(F.collect_list(c), "\n").alias(c) for c in ("title", "body")])
+    words = texts.select("doc_id", F.transform(query_words(F.col("title")), F.lower).alias("lows"), F.sort_array(query_words(F.col("body"))).alias("all"))
+    words = words.withColumn("starts", run_starts("all"))
+
+    def run(i: Column, k: Column) -> Column:
+        term = F.get("all", i)
+        n = F.coalesce(F.get("starts", k + 1), F.size("all")) - i
+        return F.struct(term.alias("term"), n.alias("tf"), F.array_contains("lows", F.lower(term)).alias("in_title"))
+
+    # Counted within the rows and written, as frequencies and the words themselves read it; only the latter are shuffled.
+    tf = materialize(words.select("doc_id", F.explode(F.transform("starts", run)).alias("w")).select("doc_id", "w.*"), "query-words")
     limit = docs.agg(F.greatest(F.floor(F.count("*") * part), F.lit(3)).alias("most"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(limit)).filter("df >= 2 AND df <= most").select("term", "df")  # limit is one row
-    rare = tf.join(df, "term").withColumn("low", F.lower("term")).join(titles, ["doc_id", "low"], "left_anti")
+    rare = tf.filter("NOT in_title").select("doc_id", "term", "tf").join(df, "term")
     first = rare.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("df", F.desc("tf"), "term"))).filter(F.col("n") <= terms)
     made = first.groupBy("doc_id").agg(F.count("*").alias("c"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]), " ").alias("query"))
     out = made.filter(F.col("c") == terms).join(docs.select("doc_id", "title"), "doc_id").select("doc_id", "title", "query")

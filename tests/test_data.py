@@ -267,3 +267,15 @@ def test_distinct_questions_walk_a_document_without_python(spark):
     assert kept.columns == ["doc_id", "at", "question", "by"]
     assert "Python" not in (plan := kept._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan
     assert values(kept, "doc_id", "at", "by") == [(1, 0, "a"), (1, 2, "c"), (1, 3, "d"), (2, 0, "e"), (None, 0, "f")]
+
+
+def test_rare_words_are_counted_within_rows(spark):
+    """Shuffled are words for their frequencies, words that meet these, what is left by document, and titles; two rows of a
+    document are one text."""
+    rows = [(1, "one", "alpha beta gamma delta one"), (2, "two", "alpha beta"), (2, "alpha", "gamma alpha gamma"), (3, "delta", "delta alpha beta gamma"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, title string, body string")
+    made = mining.rare_term_queries(docs)
+    # alpha is in three documents, as the others but delta (two); the title of one row keeps alpha out of document 2.
+    assert values(made.select("doc_id", "query").distinct(), "doc_id", "query") == [(1, "delta alpha beta"), (3, "alpha beta gamma")]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Exchange hashpartitioning") <= 6
