@@ -93,7 +93,7 @@ def keyword_search(docs: DataFrame, query: str, k: int = 10, offset: int = 0, wh
         scores = block_index.best(index, units, k + offset, None if where is None else kept).rows
     else:
         scores = index_scores(index, terms) if index is not None else scan_scores(docs, terms)
-    by = block_index.by_score() if isinstance(index, BlockIndex) else "bm25"
+    by = block_index.by_score() if index is not None else "bm25"
     hits = ranked(scores.join(kept.select("doc_id", "title", "updated_at"), "doc_id"), k, offset, by)
     in_title = F.lit(True)
     for t in terms:

@@ -134,3 +134,9 @@ def test_stems_go_to_python_in_small_batches(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     assert [tuple(r) for r in df.orderBy("doc_id").collect()] == [(1, ["ecran"], ["motor", "poni"]), (2, [], [])]
+
+
+def test_scores_apart_by_the_order_of_additions_are_equal(toy, spark, monkeypatch):
+    noisy = spark.createDataFrame([("d1", -1.0), ("d2", -1.0000000000000002), ("d4", -2.0)], "doc_id string, bm25 double")
+    monkeypatch.setattr(bm25, "index_scores", lambda *a: noisy)
+    assert values(bm25.keyword_search(toy, "pie", index=index.build(toy)), "doc_id") == [("d4",), ("d1",), ("d2",)]
