@@ -89,6 +89,31 @@ def build(docs: DataFrame, stem: bool = False) -> TermIndex:
     return _finished(_counted(docs, stem))
 
 
+def _distinct_words(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, df, df_title, df_body): a row's distinct words, each with three booleans (counts for a document, for its title,
+    its body). A word of both fields has two rows, of which one counts for the document. Without doc_id, a row counts for none."""
+    words = tokenized(docs).select("doc_id", F.array_distinct("title_tokens").alias("title"), F.array_distinct("body_tokens").alias("body"))
+    words = words.withColumn("both", F.array_intersect("body", "title")).withColumn("title", F.array_except("title", "both"))
+    n = F.when(F.col("doc_id").isNotNull(), F.size("body"))
+    rows = words.select("doc_id", n.alias("n_body"), (n + F.size("title")).alias("n_all"), F.posexplode(F.concat("body", "title", "both")).alias("at", "term"))
+    return rows.select("term", "doc_id", F.expr("at < n_all").alias("df"), F.expr("at >= n_body").alias("df_title"), F.expr("at < n_body").alias("df_body"))
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df, df_title, df_body) of rows with doc_id, title and body, as an index of them has, without its postings: distinct words
+    are told apart within a row, and tasks add up theirs before the shuffle, so nothing is written and only sums by term
+    move. Rows that share a doc_id are one document's: their words alone are first brought together by document."""
+    names = ("df", "df_title", "df_body")
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if ids.isEmpty():
+        rows = _distinct_words(docs)
+    else:
+        ids = materialize(ids, "shared_ids")
+        alone, shared = (_distinct_words(docs.join(ids, "doc_id", how)) for how in ("left_anti", "left_semi"))
+        rows = alone.unionByName(shared.groupBy("term", "doc_id").agg(*(F.bool_or(c).alias(c) for c in names)))
+    return rows.groupBy("term").agg(*(F.count_if(F.col(c)).alias(c) for c in names))
+
+
 def refresh(stored: TermIndex, changed: DataFrame, live: DataFrame, stem: bool = False) -> TermIndex:
     """The index after a change: only the texts of `changed` are read again. `live` has the doc_id of all documents."""
     same = live.select("doc_id").join(changed.select("doc_id"), "doc_id", "left_anti")

@@ -128,6 +128,35 @@ def test_postings_are_read_without_a_join(spark):
     assert sorted(tuple(r) for r in built.lengths.collect()) == [(1, 6), (2, 1), (3, 3)]
 
 
+def test_document_frequencies_write_no_postings(spark, tmp_path, monkeypatch):
+    """Nor do they shuffle them, but those of rows that share a doc_id. Words of rows without one are terms of no document."""
+    import re
+
+    import duckdb
+
+    from loamdex.plans import registry
+
+    def ids_alone(df, name):
+        assert (name, df.columns) == ("shared_ids", ["doc_id"])
+        return materialize(df, name)
+
+    materialize = index.materialize
+    monkeypatch.setattr(index, "materialize", ids_alone)
+    long = "w " * 70 + "tail tail"  # a title of the first 120 characters
+    rows = [(1, "a_b x\nx y x"), (2, None), (3, ""), (4, "y"), (5, long), (None, "x lone"), (None, "lone")]
+    shared = [(1, "z z\nx"), (1, "q\na_b"), (4, "other\ny y")]
+    for name, found, by_document in (("apart", rows, False), ("shared", rows + shared, True)):
+        spark.createDataFrame(found, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        df = registry.queries()["n10_document_frequencies"](spark, f"{tmp_path}/{name}")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ("LeftAnti" in plan) == bool(re.search(r"Exchange hashpartitioning\(term#\d+, doc_id", plan)) == by_document
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        wanted = con.execute(registry.oracle_sql()["n10_document_frequencies"]).fetchall()
+        assert sorted(tuple(r) for r in df.collect()) == sorted(wanted)
+        assert ("lone", 0, 0, 0) in wanted and ("tail", 1, 0, 1) in wanted
+
+
 def test_stems_go_to_python_in_small_batches(spark):
     docs = spark.createDataFrame([(1, "Écrans", "motoring ponies"), (2, None, "")], "doc_id int, title string, body string")
     df = index.tokenized(docs, stem=True)
